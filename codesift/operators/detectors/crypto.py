@@ -185,7 +185,7 @@ GCM_TAG = Detector(
 )
 TLS_DISABLED = Detector(
     "C003", "rejectUnauthorized|NODE_TLS_REJECT|verify[^a-z0-9_(]|_create_unverified|CERT_NONE",
-    tls_disabled, before=2, after=2, allowed=_not_test,
+    tls_disabled, before=2, after=2, allowed=_not_test, keep_indent=True,
 )
 UNVERIFIED_TOKEN = Detector(
     "A002", r"jwt\.decode", unverified_token,

@@ -86,7 +86,7 @@ def drop_aliased(imports: DataFrame) -> DataFrame:
 
 def fresh_registry(registry: DataFrame, as_of: Column, max_age: int = P.REGISTRY_TTL_SECONDS) -> DataFrame:
     """Newest entry per package, unless it is older than ``max_age`` seconds."""
-    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("checked_at")
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("checked_at").cast("timestamp"))
     return (
         registry.groupBy("ecosystem", "name")
         .agg(F.max(F.struct("checked_at", "exists")).alias("newest"))
