@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,49 @@ def words(text: Column) -> Column:
     return extract_all(text, r"\w+")
 
 
+# Unicode case folding maps these four letters to i, k and s.
+FOLDING_LETTERS = "\u0130\u0131\u017f\u212a"
+
+
+def _by_first_letter(words: Iterable[str]) -> dict[str, list[str]]:
+    groups: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        groups.setdefault(word[:1], []).append(word[1:])
+    return groups
+
+
+def _prefix_tree(words: Iterable[str]) -> str:
+    groups = _by_first_letter(words)
+    if "" in groups:
+        return ""
+    branches = [re.escape(first) + _prefix_tree(rest) for first, rest in groups.items()]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def word_search(words: Iterable[str]) -> str:
+    """Pattern that finds any of the (lower-case) words without case, as a prefilter.
+
+    Shared prefixes are merged and the first letter is tested as a set, because a
+    plain alternation tries every word at every position.
+    """
+    words = list(words)
+    first = "".join(sorted({re.escape(c) for w in words for c in (w[0], w[0].upper())}))
+    return f"(?i)(?=[{first}]){_prefix_tree(words)}"
+
+
+def has_word(text: Column, words: Iterable[str]) -> Column:
+    """The text may hold one of the words: it does in ASCII, or has a letter that folds to one."""
+    found = text.rlike(word_search(words))
+    for letter in FOLDING_LETTERS:
+        found = found | F.contains(text, F.lit(letter))
+    return found
+
+
+def search(text: Column, words: Iterable[str], pattern: str) -> Column:
+    """``matches`` behind a quick search for words of which every match contains one."""
+    return has_word(text, words) & matches(text, pattern)
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
     hit = matches(text, patterns[0])
     for pattern in patterns[1:]:
@@ -39,7 +85,9 @@ def any_match(text: Column, patterns: list[str]) -> Column:
 
 def normalize_newlines(code: Column) -> Column:
     """``\\r\\n`` and ``\\r`` become ``\\n``, as when a text file is read."""
-    return F.regexp_replace(code, "\r\n?", "\n")
+    return F.when(
+        F.contains(code, F.lit("\r")), F.regexp_replace(code, "\r\n?", "\n")
+    ).otherwise(code)
 
 
 def split_lines(code: Column) -> Column:

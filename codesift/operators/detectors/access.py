@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codesift.functions import patterns as P
-from codesift.functions.text import is_comment, matches, strip, window_text
+from codesift.functions.text import is_comment, matches, search, strip
 from codesift.operators.engine import GAP, Detector, FileFlag, Line, report
 
+def has_auth_words(text: Column) -> Column:
+    return search(text, P.AUTH_HINTS, P.AUTH_WORDS)
+
+
 LOOK_BACK = 60
 LOOK_AHEAD = 29
 
@@ -29,31 +33,40 @@ def _router_level_auth() -> Column:
             text, P.ROUTER_LEVEL_AUTH
         )
 
-    anywhere = matches(_text(), P.ROUTER_LEVEL_AUTH)
-    return anywhere & (matches(head, P.ROUTER_LEVEL_AUTH) | F.exists(lines, import_line))
+    return matches(head, P.ROUTER_LEVEL_AUTH) | F.exists(lines, import_line)
 
 
 def _handler_line() -> Column:
     """Number of the first line that exports a serverless handler, else null."""
-    is_script = F.col("language").isin("javascript", "typescript")
     hits = F.transform("lines", lambda line: matches(line, P.SERVERLESS_EXPORT))
     position = F.array_position(hits, F.lit(True)).cast("int")
-    return F.when(is_script & matches(_text(), P.SERVERLESS_EXPORT) & (position > 0), position)
+    is_script = F.col("language").isin("javascript", "typescript")
+    return F.when(is_script & matches(_text(), P.SERVERLESS_EXPORT), F.nullif(position, F.lit(0)))
 
 
 def _open_handler_file() -> Column:
     """A sensitive operation and no auth word left once outbound credentials are removed."""
     text = _text()
     inbound = F.regexp_replace(text, P.rx(P.OUTBOUND_AUTH), "")
-    has_auth = matches(text, P.AUTH_WORDS) & matches(inbound, P.AUTH_WORDS)
-    return matches(text, P.SENSITIVE_OPERATION) & ~has_auth
+    has_auth = has_auth_words(text) & has_auth_words(inbound)
+    is_handler = matches(text, P.SERVERLESS_EXPORT)
+    return is_handler & matches(text, P.SENSITIVE_OPERATION) & ~has_auth
+
 
+_HANDLER_WORDS = ("module.exports", "export", "exports.handler")
+ROUTER_AUTH = FileFlag("router_auth", _router_level_auth, tuple(P.ROUTER_LEVEL_HINTS))
+HANDLER_LINE = FileFlag(
+    "handler_line", _handler_line, _HANDLER_WORDS, lambda: F.lit(None).cast("int")
+)
+OPEN_HANDLER = FileFlag("open_handler", _open_handler_file, _HANDLER_WORDS)
+
+
+def _has_handler() -> Column:
+    return F.col("handler_line").isNotNull()
 
-ROUTER_AUTH = FileFlag("router_auth", _router_level_auth)
-HANDLER_LINE = FileFlag("handler_line", _handler_line)
-HAS_HANDLER = FileFlag("has_handler", lambda: _handler_line().isNotNull())
-NO_HANDLER = FileFlag("no_handler", lambda: _handler_line().isNull())
-OPEN_HANDLER = FileFlag("open_handler", lambda: F.when(_handler_line().isNotNull(), _open_handler_file()))
+
+def _no_handler() -> Column:
+    return F.col("handler_line").isNull()
 
 
 def _is_excluded_path(path: Column) -> Column:
@@ -114,10 +127,10 @@ def _has_auth(line: Line) -> Column:
     )
     return (
         matches(line.text, P.ROUTE_LINE_AUTH)
-        | matches(line.window(0, LOOK_AHEAD), P.AUTH_WORDS)
+        | has_auth_words(line.window(0, LOOK_AHEAD))
         | matches(line.window(-1, 10), P.INLINE_AUTH)
-        | matches(body, P.AUTH_WORDS)
-        | matches(decorators, P.AUTH_WORDS)
+        | has_auth_words(body)
+        | has_auth_words(decorators)
     )
 
 
@@ -156,20 +169,24 @@ def _not_test() -> Column:
 
 
 SERVERLESS = Detector(
-    "A001", r"exports|export", open_serverless_handler, after=10,
-    flags=(ROUTER_AUTH, HANDLER_LINE, HAS_HANDLER, OPEN_HANDLER), gate="has_handler",
+    "A001", ("export",), "export", open_serverless_handler, after=10,
+    flags=(ROUTER_AUTH, HANDLER_LINE, OPEN_HANDLER), gate=_has_handler,
     allowed=_not_test,
 )
 _ROUTE_HINT = (
     r"(?:app|router|fastify|blueprint)\.(?:route|get|post|put|patch|delete)" + GAP + r"\(|"
     r"@(?:get|post|put|patch|delete)\(|api_view\(|def (?:get|post|put|patch|delete)\(self"
 )
+_ROUTE_WORDS = (
+    "app.", "router.", "fastify.", "blueprint.", "@get(", "@post(", "@put(", "@patch(", "@delete(",
+    "api_view(", "def get(self", "def post(self", "def put(self", "def patch(self", "def delete(self",
+)
 ROUTE = Detector(
-    "A001", _ROUTE_HINT, open_route, before=LOOK_BACK, after=LOOK_AHEAD,
-    flags=(ROUTER_AUTH, HANDLER_LINE, NO_HANDLER), gate="no_handler", allowed=_not_test,
+    "A001", _ROUTE_WORDS, _ROUTE_HINT, open_route, before=LOOK_BACK, after=LOOK_AHEAD,
+    flags=(ROUTER_AUTH, HANDLER_LINE), gate=_no_handler, allowed=_not_test,
 )
 ROUTE_STRICT = Detector(
-    "A001", _ROUTE_HINT, lambda line: open_route(line, strict=True), before=LOOK_BACK,
-    after=LOOK_AHEAD, flags=(ROUTER_AUTH, HANDLER_LINE, NO_HANDLER), gate="no_handler",
+    "A001", _ROUTE_WORDS, _ROUTE_HINT, lambda line: open_route(line, strict=True), before=LOOK_BACK,
+    after=LOOK_AHEAD, flags=(ROUTER_AUTH, HANDLER_LINE), gate=_no_handler,
     allowed=_not_test,
 )

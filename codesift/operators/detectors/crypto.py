@@ -35,6 +35,11 @@ def weak_randomness(line: Line) -> Column:
     return F.when(fires, report("R001", F.when(low, "low").otherwise("high"), variant, call))
 
 
+def _no_names() -> Column:
+    empty = F.array().cast("array<struct<name: string, since: int>>")
+    return F.struct(empty.alias("digests"), empty.alias("macs"))
+
+
 def _digest_names() -> Column:
     """Names that hold a digest, with the line from which each does and from which it is a MAC.
 
@@ -42,7 +47,6 @@ def _digest_names() -> Column:
     whose right side calls a MAC or uses a name that already is one.
     """
     lines = F.col("lines")
-    state = "array<struct<name: string, since: int>>"
 
     def assignment(text: Column, index: Column) -> Column:
         name = F.concat(extract(text, P.DIGEST_ASSIGN, 1), extract(text, P.DIGEST_ASSIGN, 2))
@@ -69,14 +73,16 @@ def _digest_names() -> Column:
             add_once(acc["macs"], item, item["direct"] | inherits).alias("macs"),
         )
 
-    empty = F.array().cast(state)
-    start = F.struct(empty.alias("digests"), empty.alias("macs"))
     assignments = F.array_compact(F.transform(lines, assignment))
-    folded = F.aggregate(assignments, start, step)
-    return F.when(matches(F.array_join(lines, "\n"), P.DIGEST_CALL), folded).otherwise(start)
+    return F.aggregate(assignments, _no_names(), step)
 
 
-DIGEST_NAMES = FileFlag("digest_names", _digest_names)
+_DIGEST_WORDS = ("digest", "createhmac", "hmac.new", "hashlib.")
+_WEBHOOK_WORDS = (
+    "verification_token", "webhook_", "_signature", "signature_token", "callback_token",
+    "hook_secret", "hook_token",
+)
+DIGEST_NAMES = FileFlag("digest_names", _digest_names, _DIGEST_WORDS, lambda: _no_names())
 
 
 def _digest_or_webhook() -> Column:
@@ -168,27 +174,31 @@ def _not_test() -> Column:
 
 WEAK_RANDOMNESS = Detector(
     "R001",
+    ("math.random", "uuid", "random.random", "random.randint", "random.choice", "random.uniform",
+     "random.shuffle", "random.sample"),
     r"Math\.random|uuidv?1|uuid\.v1|random\.(?:random|randint|choice|uniform|shuffle|sample)\(",
     weak_randomness, before=2, after=2, allowed=lambda: ~F.col("is_benchmark"),
 )
 TIMING_COMPARISON = Detector(
-    "R002", "[=!]=", timing_comparison, before=2, after=3,
-    flags=(DIGEST_NAMES, FileFlag("secret_compared", _digest_or_webhook)),
-    gate="secret_compared",
-    file_hint=(
-        r"digest|createHmac|hmac\.new|hashlib\.|verification_token|webhook_|_signature|"
-        r"signature_token|callback_token|hook_secret|hook_token"
+    "R002", ("==", "!="), "[=!]=", timing_comparison, before=2, after=3,
+    flags=(
+        DIGEST_NAMES,
+        FileFlag("secret_compared", _digest_or_webhook, _DIGEST_WORDS + _WEBHOOK_WORDS),
     ),
+    gate=lambda: F.col("secret_compared"),
+    file_words=_DIGEST_WORDS + _WEBHOOK_WORDS,
 )
 GCM_TAG = Detector(
-    "R003", "createDecipheriv", gcm_tag_length, before=0, after=20, allowed=_not_test
+    "R003", ("createdecipheriv",), "createDecipheriv", gcm_tag_length, after=20,
+    allowed=_not_test,
 )
 TLS_DISABLED = Detector(
-    "C003", "rejectUnauthorized|NODE_TLS_REJECT|verify[^a-z0-9_(]|_create_unverified|CERT_NONE",
+    "C003", ("rejectunauthorized", "node_tls_reject", "verify", "_create_unverified", "cert_none"),
+    "rejectUnauthorized|NODE_TLS_REJECT|verify[^a-z0-9_(]|_create_unverified|CERT_NONE",
     tls_disabled, before=2, after=2, allowed=_not_test, keep_indent=True,
 )
 UNVERIFIED_TOKEN = Detector(
-    "A002", r"jwt\.decode", unverified_token,
-    flags=(FileFlag("token_unverified", _token_library_unverified),), gate="token_unverified",
-    keep_indent=True,
+    "A002", ("jwt.decode",), r"jwt\.decode", unverified_token,
+    flags=(FileFlag("token_unverified", _token_library_unverified, ("jwt.decode",)),),
+    gate=lambda: F.col("token_unverified"), keep_indent=True,
 )

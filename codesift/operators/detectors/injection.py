@@ -10,7 +10,10 @@ from codesift.functions.taint import has_taint
 from codesift.functions.text import any_match, extract, extract_all, is_comment, matches
 from codesift.operators.engine import GAP, Detector, FileFlag, Line, report
 
-SQL_SINK = FileFlag("sql_sink", lambda: matches(F.array_join("lines", "\n"), P.SQL_SINK))
+_SINK_WORDS = ("execute", "cursor.", "db.query", "db.run", ".raw", "knex.", "sequelize.", "prisma.")
+SQL_SINK = FileFlag(
+    "sql_sink", lambda: matches(F.array_join("lines", "\n"), P.SQL_SINK), _SINK_WORDS
+)
 
 
 def _is_quiet(line: Line) -> Column:
@@ -155,28 +158,38 @@ _SQL_HINT = (
 )
 
 SQL_INJECTION = Detector(
-    "I001", _SQL_HINT, sql_injection, before=19, after=5, flags=(SQL_SINK,), gate="sql_sink",
-    file_hint=r"execute" + GAP + r"\(|cursor\.|db\.(?:query|run)|\.raw" + GAP
-    + r"\(|knex\.|sequelize\.|prisma\.",
+    "I001",
+    ("select", "insert", "update", "delete", "drop", "create", "where", "query", "sql", "stmt",
+     "text", ".execute", ".run", ".all"),
+    _SQL_HINT, sql_injection, before=19, after=5, flags=(SQL_SINK,),
+    gate=lambda: F.col("sql_sink"), file_words=_SINK_WORDS,
 )
 COMMAND_INJECTION = Detector(
-    "I002", r"(?:exec|spawn|execFile|spawnSync|system|popen|call|run)" + GAP + r"\(|shell" + GAP + "=",
+    "I002",
+    ("exec", "spawn", "system", "popen", "subprocess.call", "subprocess.run", "shell"),
+    r"(?:exec|spawn|execFile|spawnSync|system|popen|call|run)" + GAP + r"\(|shell" + GAP + "=",
     command_injection, before=4, after=5, allowed=lambda: ~F.col("is_test"),
 )
 CODE_INJECTION = Detector(
-    "I003", r"(?:eval|exec|function|__import__|compile|import_module)" + GAP + r"\(",
+    "I003", ("eval", "exec", "function", "__import__", "compile", "import_module"),
+    r"(?:eval|exec|function|__import__|compile|import_module)" + GAP + r"\(",
     code_injection, before=19, after=5, allowed=lambda: ~F.col("is_benchmark"),
 )
 NOSQL_INJECTION = Detector(
-    "I004", r"\$where|mapReduce|(?:find|delete|update|count)\w*" + GAP + r"\(.*req",
+    "I004",
+    ("$where", "mapreduce", ".find", ".deleteone", ".deletemany", ".updateone", ".updatemany", ".count"),
+    r"\$where|mapReduce|(?:find|delete|update|count)\w*" + GAP + r"\(.*req",
     nosql_injection, before=4, after=5,
 )
 PROTOTYPE_POLLUTION = Detector(
-    "I005", r"\]" + GAP + "=", prototype_pollution, before=15, after=0,
+    "I005", ("]",), r"\]" + GAP + "=", prototype_pollution, before=15, after=0,
     allowed=lambda: ~F.col("is_test"),
 )
 PATH_TRAVERSAL = Detector(
     "T001",
+    ("sendfile", "createreadstream", "createwritestream", "readfile", "writefile", "unlink", "open",
+     "send_file", "send_from_directory", "fileresponse", "read_text", "read_bytes", "write_text",
+     "write_bytes", "shutil."),
     r"(?:sendFile|ReadStream|WriteStream|readFile|readFileSync|writeFile|writeFileSync|unlink|"
     r"unlinkSync|open|send_file|send_from_directory|FileResponse|read_text|read_bytes|write_text|"
     r"write_bytes|copy|move|rmtree)" + GAP + r"\(",

@@ -166,17 +166,21 @@ def session_secret(line: Line) -> Column:
 
 
 _CREDENTIAL_HINT = (
-    "(?:passwo?r?d|pwd|secret|api_?key|auth_token|access_token|private_key|token|key)"
+    "(?:password|passwd|pwd|secret|api_?key|auth_token|access_token|private_key|token|key)"
     "[\"']?" + GAP + "[=:]|[sr]k_live_|AKIA|aws|ghp_|github_pat_|eyJ"
 )
 
 FALLBACK_SECRET = Detector(
-    "C001", r"process\.env|environ\.get|getenv", fallback_secret, allowed=_credential_policy
+    "C001", ("process.env", "environ.get", "getenv"), r"process\.env|environ\.get|getenv",
+    fallback_secret, allowed=_credential_policy,
 )
 RAW_CREDENTIAL = Detector(
-    "C001", _CREDENTIAL_HINT, raw_credential, before=19, after=2, allowed=_credential_policy
+    "C001",
+    ("password", "passwd", "pwd", "secret", "token", "key", "sk_live_", "rk_live_", "akia", "aws",
+     "ghp_", "github_pat_", "eyj"),
+    _CREDENTIAL_HINT, raw_credential, before=19, after=2, allowed=_credential_policy,
 )
 SESSION_SECRET = Detector(
-    "C002", "secret|cookieParser", session_secret, before=4, after=1,
+    "C002", ("secret", "cookieparser"), "secret|cookieParser", session_secret, before=4, after=1,
     allowed=lambda: ~F.col("is_test"),
 )

@@ -15,24 +15,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesift.functions import patterns as P
 from codesift.functions import paths
-from codesift.functions.text import rstrip, split_lines, strip, window_text
+from codesift.functions.text import (
+    FOLDING_LETTERS,
+    has_word,
+    rstrip,
+    split_lines,
+    strip,
+    window_text,
+)
 
 BLOCK_LINES = 256
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
-# A prefilter is ASCII-only; these four letters fold to i, k and s, and a gap may
-# hold white space outside ASCII, so such lines always pass on to the exact test.
-_FOLDING_LETTERS = "[İıſK]"
+# White space as a hint sees it: ASCII, or anything outside ASCII.
 GAP = r"(?:\s*|\s*[^\x00-\x7F]\s*)"
 
 
 @dataclass(frozen=True)
 class FileFlag:
-    """A whole-file fact, evaluated once per file over its lines and text."""
+    """A whole-file fact over ``lines`` and ``code``, evaluated once per file.
+
+    ``words`` (lower case) restrict the costly part: without any of them in the
+    file the flag is ``otherwise``.
+    """
 
     name: str
     build: Callable[[], Column]
+    words: tuple[str, ...] = ()
+    otherwise: Callable[[], Column] = lambda: F.lit(False)
+
+    def column(self) -> Column:
+        if not self.words:
+            return self.build()
+        found = has_word(F.col("code"), self.words)
+        return F.when(found, self.build()).otherwise(self.otherwise())
 
 
 class Line:
@@ -57,19 +74,23 @@ class Line:
 class Detector:
     """A rule: when it may run, what it looks for, what it reports.
 
-    ``finding`` returns a struct made by ``report`` or null. ``gate`` names a flag
-    the whole file must have before its lines are candidates. ``allowed`` is the
-    file policy of the rule over ``is_test`` and the other path flags.
+    Every line the rule can report contains one of ``words`` (lower case, compared
+    without case; none means any line may be reported) and matches ``hint``; every
+    such file contains one of ``file_words`` (by default the same words). ``gate``
+    tests the flags of the file before its lines are candidates.
+    ``finding`` returns a struct made by ``report`` or null. ``allowed`` is the file
+    policy of the rule over ``is_test`` and the other path flags.
     """
 
     rule_id: str
+    words: tuple[str, ...]
     hint: str
     finding: Callable[[Line], Column]
     before: int = 0
     after: int = 0
     flags: tuple[FileFlag, ...] = ()
-    gate: str | None = None
-    file_hint: str | None = None
+    gate: Callable[[], Column] | None = None
+    file_words: tuple[str, ...] = ()
     allowed: Callable[[], Column] | None = None
     keep_indent: bool = False
 
@@ -90,8 +111,19 @@ def report(
     )
 
 
-def _hint(hints: Sequence[str]) -> str:
-    return "(?i)" + "|".join([*dict.fromkeys(hints), _FOLDING_LETTERS])
+def _may_interest(text: Column, detectors: Sequence[Detector]) -> Column:
+    """The text has a word of some detector and, line by line, its hint."""
+    hints = dict.fromkeys(d.hint for d in detectors)
+    hint = "(?i)" + "|".join([*hints, f"[{FOLDING_LETTERS}]"])
+    if not all(d.words for d in detectors):
+        return text.rlike(hint)
+    return has_word(text, [w for d in detectors for w in d.words]) & text.rlike(hint)
+
+
+def _has_words(code: Column, detectors: Sequence[Detector]) -> Column:
+    if not all(d.words for d in detectors):
+        return F.lit(True)
+    return has_word(code, [w for d in detectors for w in d.file_words or d.words])
 
 
 def scannable(files: DataFrame, denied_suffixes: Sequence[str] = ()) -> DataFrame:
@@ -102,6 +134,21 @@ def scannable(files: DataFrame, denied_suffixes: Sequence[str] = ()) -> DataFram
     return files.filter(~skip)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Spread a small input over the cores; a large one is left as it was read.
+
+    Scans of less than a few megabytes per core can come out as one task (a single
+    row group). Shuffling such an input costs little, and its size is checked first.
+    """
+    if files.isStreaming:
+        return files
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SPREAD_BYTES_PER_CORE:
+        return files
+    return files.repartition(cores * 2, "repo", "path")
+
+
 def candidates(
     files: DataFrame, detectors: Sequence[Detector], skip_minified: bool = True
 ) -> DataFrame:
@@ -110,16 +157,21 @@ def candidates(
     before = max(d.before for d in detectors)
     after = max(d.after for d in detectors)
 
-    rows = files.filter(F.col("code").rlike(_hint([d.file_hint or d.hint for d in detectors]))).select(
-        "repo", "path", "language", split_lines(F.col("code")).alias("lines")
+    # No filter here: Catalyst would move the search below the shuffle that spreads the input.
+    searched = F.when(_has_words(F.col("code"), detectors), split_lines(F.col("code")))
+    rows = spread(files.select("repo", "path", "language", "code")).select(
+        "*", searched.alias("lines")
     )
     rows = rows.select(
-        "*",
+        "repo",
+        "path",
+        "language",
+        "lines",
         paths.is_test_file(F.col("path")).alias("is_test"),
         paths.in_example_dir(F.col("path")).alias("is_example"),
         paths.is_demo_path(F.col("path")).alias("is_demo"),
         paths.is_benchmark_path(F.col("path")).alias("is_benchmark"),
-        *[flag.build().alias(name) for name, flag in flags.items()],
+        *[F.when(F.col("lines").isNotNull(), flag.column()).alias(name) for name, flag in flags.items()],
     )
 
     lines = F.col("lines")
@@ -146,7 +198,7 @@ def candidates(
     ).filter(F.col("block").isNotNull())
     blocks = blocks.select(*kept, "block.*")
 
-    by_gate: dict[str | None, list[Detector]] = {}
+    by_gate: dict[Callable[[], Column] | None, list[Detector]] = {}
     for detector in detectors:
         by_gate.setdefault(detector.gate, []).append(detector)
 
@@ -154,8 +206,8 @@ def candidates(
         text = F.element_at("segment", at + 1)
         found = F.lit(False)
         for gate, group in by_gate.items():
-            hit = text.rlike(_hint([d.hint for d in group]))
-            found = found | (hit if gate is None else F.col(gate) & hit)
+            hit = _may_interest(text, group)
+            found = found | (hit if gate is None else gate() & hit)
         return found
 
     hits = blocks.select(
@@ -184,17 +236,18 @@ def detect(
     findings = []
     for detector in detectors:
         # The detector's own hint first: most candidates interest only one detector.
-        wanted = line.text.rlike(_hint([detector.hint]))
+        wanted = _may_interest(line.text, [detector])
         if detector.gate is not None:
-            wanted = F.col(detector.gate) & wanted
+            wanted = detector.gate() & wanted
         if policy and detector.allowed is not None:
             wanted = wanted & detector.allowed()
         findings.append(F.when(wanted, detector.finding(line)))
     indented = [d.rule_id for d in detectors if d.keep_indent]
     kept = ["repo", "path", "language", "is_test", "is_demo", "line_no", "line"]
-    # The array is its own projection, which is compiled; inside the generator it would not be.
+    # The plain array is its own projection, which is compiled; a higher-order function around
+    # it, or the generator itself, would interpret every pattern test.
     found = candidates(files, detectors, skip_minified).select(
-        *kept, F.array_compact(F.array(*findings)).alias("findings")
+        *kept, F.array(*findings).alias("findings")
     )
     found = found.select(*kept, F.explode_outer("findings").alias("finding"))
     found = found.filter(F.col("finding").isNotNull())

@@ -25,7 +25,7 @@ class RuleSpec:
     rule_id: str
     trigger: str
     severity: str = "high"
-    hint: str | None = None
+    words: tuple[str, ...] = ()
     before: int = 0
     after: int = 0
     languages: tuple[str, ...] = ()
@@ -36,7 +36,7 @@ class RuleSpec:
 
 
 def detector_of(spec: RuleSpec) -> Detector:
-    """Columns for a rule given as data. The default hint lets every line through."""
+    """Columns for a rule given as data. Without ``words`` every line is tested."""
     if spec.severity not in ("high", "medium", "low"):
         raise ValueError(f"unknown severity {spec.severity!r}")
     if not (0 <= spec.before <= MAX_WINDOW and 0 <= spec.after <= MAX_WINDOW):
@@ -56,7 +56,7 @@ def detector_of(spec: RuleSpec) -> Detector:
         return F.when(fires, report(spec.rule_id, spec.severity))
 
     return Detector(
-        spec.rule_id, spec.hint or ".", finding, spec.before, spec.after,
+        spec.rule_id, tuple(w.lower() for w in spec.words), "", finding, spec.before, spec.after,
         allowed=(lambda: ~F.col("is_test")) if spec.skip_tests else None,
     )
 

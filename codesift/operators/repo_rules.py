@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesift.functions import patterns as P
 from codesift.functions import paths
-from codesift.functions.text import matches
+from codesift.operators.detectors.access import has_auth_words
 
 
 def first_access_finding_per_file(findings: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def first_access_finding_per_file(findings: DataFrame) -> DataFrame:
 
 def repos_with_auth(files: DataFrame) -> DataFrame:
     """Repositories in which any file has an auth word (partial aggregation per task)."""
-    return files.filter(matches(F.col("code"), P.AUTH_WORDS)).select("repo").distinct()
+    return files.filter(has_auth_words(F.col("code"))).select("repo").distinct()
 
 
 def drop_access_findings_without_auth(findings: DataFrame, files: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ def rule_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repo_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.code_corpus(spark, sf_dir)
     return files.groupBy("repo").agg(
-        F.bool_or(matches(F.col("code"), P.AUTH_WORDS)).alias("has_auth")
+        F.bool_or(access.has_auth_words(F.col("code"))).alias("has_auth")
     )
 
 

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from codesift.functions import patterns as P
-from codesift.functions.text import matches
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import detect
-from codesift.operators.repo_rules import first_access_finding_per_file
+from codesift.operators.repo_rules import first_access_finding_per_file, repos_with_auth
 from codesift.sources.sinks import export_findings
 
 
@@ -36,8 +34,7 @@ def scan_stream(files: DataFrame, findings_path: str, auth_path: str) -> DataStr
         export_findings(found).write.mode("overwrite").parquet(
             f"{findings_path}/batch={batch_id}"
         )
-        auth = batch.filter(matches(F.col("code"), P.AUTH_WORDS)).select("repo").distinct()
-        auth.write.mode("overwrite").parquet(f"{auth_path}/batch={batch_id}")
+        repos_with_auth(batch).write.mode("overwrite").parquet(f"{auth_path}/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write)
 
