@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions import paths
@@ -26,7 +26,6 @@ from codesift.functions.text import (
 )
 
 BLOCK_LINES = 256
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
 # White space as a hint sees it: ASCII, or anything outside ASCII.
 GAP = r"(?:\s*|\s*[^\x00-\x7F]\s*)"
@@ -134,21 +133,6 @@ def scannable(files: DataFrame, denied_suffixes: Sequence[str] = ()) -> DataFram
     return files.filter(~skip)
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Spread a small input over the cores; a large one is left as it was read.
-
-    Scans of less than a few megabytes per core can come out as one task (a single
-    row group). Shuffling such an input costs little, and its size is checked first.
-    """
-    if files.isStreaming:
-        return files
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > cores * SPREAD_BYTES_PER_CORE:
-        return files
-    return files.repartition(cores * 2, "repo", "path")
-
-
 def candidates(
     files: DataFrame, detectors: Sequence[Detector], skip_minified: bool = True
 ) -> DataFrame:
@@ -157,11 +141,10 @@ def candidates(
     before = max(d.before for d in detectors)
     after = max(d.after for d in detectors)
 
-    # No filter here: Catalyst would move the search below the shuffle that spreads the input.
+    # Not a filter: Catalyst would move the search below a shuffle that spreads a small input,
+    # and into the scan's single task.
     searched = F.when(_has_words(F.col("code"), detectors), split_lines(F.col("code")))
-    rows = spread(files.select("repo", "path", "language", "code")).select(
-        "*", searched.alias("lines")
-    )
+    rows = files.select("repo", "path", "language", "code", searched.alias("lines"))
     rows = rows.select(
         "repo",
         "path",
@@ -222,6 +205,25 @@ def candidates(
     )
 
 
+_findings: dict[tuple, tuple[Column, Detector]] = {}
+
+
+def _finding(spark: SparkSession, detector: Detector, policy: bool) -> Column:
+    """The detector as one column. Kept per application: a stream builds its plan every batch."""
+    key = (spark.sparkContext.applicationId, id(detector), policy)
+    if key not in _findings:
+        line = Line()
+        # The detector's own hint first: most candidates interest only one detector.
+        wanted = _may_interest(line.text, [detector])
+        if detector.gate is not None:
+            wanted = detector.gate() & wanted
+        if policy and detector.allowed is not None:
+            wanted = wanted & detector.allowed()
+        # The detector is kept alive with its column, so that its id stays unique.
+        _findings[key] = (F.when(wanted, detector.finding(line)), detector)
+    return _findings[key][0]
+
+
 def detect(
     files: DataFrame,
     detectors: Sequence[Detector],
@@ -232,16 +234,7 @@ def detect(
     """Findings of the selected detectors, file policy applied, metadata not yet attached."""
     if skip_minified:
         files = scannable(files, denied_suffixes)
-    line = Line()
-    findings = []
-    for detector in detectors:
-        # The detector's own hint first: most candidates interest only one detector.
-        wanted = _may_interest(line.text, [detector])
-        if detector.gate is not None:
-            wanted = detector.gate() & wanted
-        if policy and detector.allowed is not None:
-            wanted = wanted & detector.allowed()
-        findings.append(F.when(wanted, detector.finding(line)))
+    findings = [_finding(files.sparkSession, detector, policy) for detector in detectors]
     indented = [d.rule_id for d in detectors if d.keep_indent]
     kept = ["repo", "path", "language", "is_test", "is_demo", "line_no", "line"]
     # The plain array is its own projection, which is compiled; a higher-order function around

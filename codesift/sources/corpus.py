@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift.functions import paths
 from codesift.sources.cases import cases
+from codesift.sources.files import spread
 
 GHOSTS = 97
 REGISTRY_AS_OF = "2024-01-02 00:00:00"
@@ -27,6 +28,8 @@ def _with_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part keys joined to the fixed snippet table (a few dozen kilobytes, so broadcast)."""
     number = (F.col("p_partkey") % len(cases())).cast("int").alias("number")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size", number)
+    # Each key stands for a whole file, so even a small key table is spread before it grows.
+    parts = spread(parts, "p_partkey")
     joined = parts.join(F.broadcast(_snippets(spark)), "number")
 
     def filled(name: str):

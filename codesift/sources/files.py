@@ -12,6 +12,7 @@ from codesift.functions import patterns as P
 from codesift.functions import paths
 from codesift.functions.text import normalize_newlines
 
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 _SUFFIX_GLOB = "*.{py,js,jsx,ts,tsx,PY,JS,JSX,TS,TSX,Py,Js,Jsx,Ts,Tsx}"
 
 
@@ -107,13 +108,30 @@ def file_table_stream(spark: SparkSession, path: str, max_files: int = 1000) ->
     )
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small table over the cores; a large one is left as it was read.
+
+    A few megabytes can come out as one task (one row group), whose rows may stand
+    for much work. The table's size is checked first: above some megabytes per core
+    the scan has splits enough and nothing is shuffled.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SPREAD_BYTES_PER_CORE:
+        return table
+    return table.repartition(cores * 2, *keys)
+
+
 def text_corpus(
     table: DataFrame, id_col: str, text_col: str, repo_col: str | None = None,
     language: str = "python", suffix: str = ".txt",
 ) -> DataFrame:
     """Any table of texts in the shape of source files."""
     repo = F.col(repo_col).cast("string") if repo_col else F.lit(text_col)
-    return table.select(
+    used = [id_col, text_col, *([repo_col] if repo_col else [])]
+    return spread(table.select(*used), id_col).select(
         repo.alias("repo"),
         F.concat(F.col(id_col).cast("string"), F.lit(suffix)).alias("path"),
         F.lit(language).alias("language"),
