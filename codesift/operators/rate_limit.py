@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,26 +46,43 @@ def busy_segments(requests: DataFrame, window_seconds: int) -> DataFrame:
 
 
 def _accept(limit: int, width: int):
-    """Fold over sorted batches; the state is one segment's last accepted times."""
+    """Fold over sorted batches; the state is one segment's last accepted times.
+
+    Only accepted requests cost a step: while the limit is reached, a binary search
+    jumps to the first request after the oldest accepted one has left the window.
+    """
+
+    def fold(micros: np.ndarray, recorded: deque[int], accepted: np.ndarray) -> None:
+        at, size = 0, len(micros)
+        while at < size:
+            if len(recorded) == limit:
+                at += int(np.searchsorted(micros[at:], recorded[0] + width, side="left"))
+                if at == size:
+                    return
+                recorded.popleft()
+            accepted[at] = True
+            recorded.append(int(micros[at]))
+            at += 1
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = None
         recorded: deque[int] = deque()
         for batch in batches:
-            accepted = []
-            for key, segment, now in zip(batch["key"], batch["segment"], batch["micros"]):
-                if key is None or pd.isna(key):
-                    accepted.append(True)
-                    continue
-                if (key, segment) != current:
-                    current = (key, segment)
-                    recorded.clear()
-                while recorded and now - recorded[0] >= width:
-                    recorded.popleft()
-                admitted = len(recorded) < limit
-                if admitted:
-                    recorded.append(now)
-                accepted.append(admitted)
+            accepted = batch["key"].isna().to_numpy().copy()
+            keyed = np.flatnonzero(~accepted)
+            if len(keyed):
+                keys = batch["key"].to_numpy()[keyed]
+                segments = batch["segment"].to_numpy()[keyed]
+                micros = batch["micros"].to_numpy()[keyed]
+                decided = np.zeros(len(keyed), dtype=bool)
+                changes = (keys[1:] != keys[:-1]) | (segments[1:] != segments[:-1])
+                bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(keyed)]
+                for start, stop in zip(bounds, bounds[1:]):
+                    if (keys[start], segments[start]) != current:
+                        current = (keys[start], segments[start])
+                        recorded.clear()
+                    fold(micros[start:stop], recorded, decided[start:stop])
+                accepted[keyed] = decided
             yield batch.assign(accepted=accepted).drop(columns=["segment", "micros"])
 
     return decide

@@ -58,23 +58,20 @@ def fleet_report(findings: DataFrame, attempted: DataFrame) -> DataFrame:
         F.bool_or(F.col("severity") == "high").alias("has_high"),
         F.bool_or(F.col("severity") == "medium").alias("has_medium"),
     )
-    joined = attempted.join(per_repo, "repo", "left").filter("scanned")
+    scanned = F.col("scanned")
 
     def percent(condition):
-        share = F.count_if(condition) * 100 / F.count("*")
+        share = F.count_if(scanned & condition) * 100 / F.nullif(F.count_if(scanned), F.lit(0))
         return F.coalesce(F.round(share, 1), F.lit(0.0))
 
-    totals = attempted.agg(
+    return attempted.join(per_repo, "repo", "left").agg(
         F.count("*").alias("total_repos_attempted"),
-        F.count_if("scanned").alias("total_scanned"),
-        F.count_if(~F.col("scanned")).alias("failed_to_reclone"),
-    )
-    shares = joined.agg(
+        F.count_if(scanned).alias("total_scanned"),
+        F.count_if(~scanned).alias("failed_to_reclone"),
         percent(F.col("has_high")).alias("pct_high"),
         percent(F.col("has_medium")).alias("pct_medium"),
         percent(F.col("has_high").isNull()).alias("pct_clean"),
     )
-    return totals.join(F.broadcast(shares))
 
 
 def top_rules(findings: DataFrame, k: int = 10) -> DataFrame:

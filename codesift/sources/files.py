@@ -13,6 +13,7 @@ from codesift.functions import paths
 from codesift.functions.text import normalize_newlines
 
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+CAP_SALTS = 64
 _SUFFIX_GLOB = "*.{py,js,jsx,ts,tsx,PY,JS,JSX,TS,TSX,Py,Js,Jsx,Ts,Tsx}"
 
 
@@ -147,36 +148,53 @@ def _in_scope(files: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def cap_files(files: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` files per repository by path, with ``truncated`` for the rest.
+def cap_files(paths_table: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows (by path) of each repository.
 
-    Ranked over paths only: contents are not part of ``files`` here, and the rank
-    limit runs before the shuffle, so a huge repository sends few rows per task.
+    Ranked in two steps, within salted parts of a repository and then within it. The
+    rank limit runs before each shuffle, so a hot repository sends few rows anywhere.
     """
-    by_path = Window.partitionBy("repo").orderBy("path")
+    salted = paths_table.withColumn("_salt", F.pmod(F.hash("path"), F.lit(CAP_SALTS)))
+    for keys in (["repo", "_salt"], ["repo"]):
+        by_path = Window.partitionBy(*keys).orderBy("path")
+        salted = (
+            salted.withColumn("_rank", F.row_number().over(by_path))
+            .filter(F.col("_rank") <= limit)
+            .drop("_rank")
+        )
+    return salted.drop("_salt")
+
+
+def _cutoffs(paths_table: DataFrame, limit: int) -> DataFrame:
+    """The last admitted path of each repository that fills the cap: one small row each."""
     return (
-        files.withColumn("_rank", F.row_number().over(by_path))
-        .filter(F.col("_rank") <= limit)
-        .drop("_rank")
+        cap_files(paths_table.select("repo", "path"), limit)
+        .groupBy("repo")
+        .agg(F.max("path").alias("_last"), F.count("*").alias("_read"))
+        .filter(F.col("_read") == limit)
+        .select("repo", "_last")
     )
 
 
 def select_files(files: DataFrame, profile: Profile, listing: DataFrame | None = None) -> DataFrame:
     """The files a profile reads.
 
-    Where the profile caps the number of files, the cap is decided on the paths
+    Where the profile caps the number of files, the cap is decided on paths alone
     (``listing`` with ``repo, path, size_bytes``, by default the path columns of
-    ``files``) and applied to the contents by a semi join.
+    ``files``). Contents are only joined with one row per capped repository.
     """
-    chosen = _in_scope(files, profile)
     small = F.col("size_bytes") <= profile.max_bytes if profile.max_bytes else F.lit(True)
+    chosen = _in_scope(files, profile).filter(small)
     if profile.max_files is None:
-        return chosen.filter(small)
+        return chosen
     keys = _in_scope((listing or files).select("repo", "path", "size_bytes"), profile)
     if profile.size_before_cap:
         keys = keys.filter(small)
-    capped = cap_files(keys, profile.max_files).filter(small).select("repo", "path")
-    return chosen.filter(small).join(capped, ["repo", "path"], "left_semi")
+    return (
+        chosen.join(_cutoffs(keys, profile.max_files), "repo", "left")
+        .filter(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
+        .select(*files.columns)
+    )
 
 
 def scan_scope(files: DataFrame, profile: Profile) -> DataFrame:
