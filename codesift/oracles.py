@@ -923,7 +923,31 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
         sql[f"detect_{name}"] = _detector_sql(CORPUS, name)
     tables, select = open_route(P.PUBLIC_ROUTE_STRICT)
     sql["detect_open_route_strict"] = with_([CORPUS, scanned(), *tables], select)
+    sql["taint_windows"] = with_(
+        [CORPUS, SPLIT,
+         "ln AS (SELECT repo, path, lines, unnest(range(1, len(lines) + 1)) AS n FROM split)",
+         f"near AS (SELECT repo, path, n, {win(4, 5)} AS w FROM ln)"],
+        f"SELECT repo, path, CAST(n AS INTEGER) AS line_no FROM near WHERE {taint('w')}",
+    )
+    digest_tables, _ = timing_comparison()
+    sql["digest_names"] = with_(
+        [CORPUS, scanned(), *digest_tables[:3]],
+        "SELECT repo, path, 'digest' AS kind, name, CAST(min(n) AS INTEGER) AS since FROM dig GROUP BY ALL "
+        "UNION ALL SELECT repo, path, 'mac', name, CAST(min(since) AS INTEGER) FROM macs GROUP BY ALL",
+        recursive=True,
+    )
     sql["findings_policy"] = raw_sql("SELECT * FROM raw")
+    sql["denied_paths"] = with_(
+        all_findings(CORPUS),
+        "SELECT repo, path, line_no, rule_id, severity FROM found_all "
+        "WHERE NOT ends_with(path, 'users.js') AND NOT ends_with(path, '/db.py')",
+        recursive=True,
+    )
+    route_tables, route_select = open_route()
+    sql["first_access_finding"] = with_(
+        [CORPUS, scanned(), *route_tables, f"routes AS ({route_select})"],
+        "SELECT repo, path, min(line_no) AS line_no FROM routes GROUP BY repo, path",
+    )
     extra, _ = sql_injection()
     sql["sql_var_lookback"] = with_(
         [CORPUS, scanned(False), *extra[:3]], "SELECT repo, path, CAST(n AS INTEGER) AS line_no FROM via"
@@ -958,6 +982,12 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
         [CORPUS, IMPORTS], "SELECT repo, path, package, line_no FROM unaliased"
     )
     sql["registry_fresh"] = with_([REGISTRY], "SELECT ecosystem, name, is_known, checked_at FROM fresh")
+    sql["missing_imports"] = with_(
+        [CORPUS, IMPORTS, REGISTRY],
+        "SELECT i.repo, i.path, i.package, i.line_no FROM imps i JOIN fresh f ON f.ecosystem = i.ecosystem "
+        "AND NOT f.is_known AND f.name = CASE WHEN i.ecosystem = 'pypi' "
+        "THEN lower(replace(i.package, '-', '_')) ELSE i.package END",
+    )
     sql["project_roots"] = with_([CORPUS, LISTING, ROOTS], "SELECT repo, dir, root FROM roots")
     sql["local_packages"] = with_(
         [CORPUS, LISTING, IMPORTS.replace("unaliased AS", "unaliased_ AS"), ROOTS,
@@ -978,6 +1008,21 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
         "owasp_category, owasp_rank FROM final f JOIN texts t ON t.rule_id = f.rule_id AND t.variant = f.variant",
         f"texts(rule_id, variant, title, fix) AS (VALUES {_MESSAGE_ROWS})",
     )
+    rules = (
+        "rules(rule_id, rule_seq, vuln_class, cwe, owasp_category, owasp_rank) AS "
+        f"(VALUES {_RULE_ROWS})"
+    )
+    sql["attach_metadata"] = raw_sql(
+        "SELECT repo, path, line_no, rule_id, CAST(rule_seq AS INTEGER) AS rule_seq, vuln_class, cwe, "
+        "owasp_category, CAST(owasp_rank AS INTEGER) AS owasp_rank, "
+        "replace(t.title, '{evidence}', evidence) AS title "
+        "FROM raw JOIN rules USING (rule_id) JOIN texts t USING (rule_id, variant)",
+        rules, f"texts(rule_id, variant, title, fix) AS (VALUES {_MESSAGE_ROWS})",
+    )
+    sql["report_blocks"] = raw_sql(
+        f"SELECT CAST({_SEV} AS INTEGER) AS sev_rank, severity, repo, path, line_no, rule_id FROM raw "
+        "ORDER BY sev_rank, repo, path, line_no"
+    )
     counts = ", ".join(
         f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("high", "medium", "low")
     )

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions import identifiers, paths, values
+from codesift.functions import patterns as P
 from codesift.functions.imports import normalize_package
 from codesift.functions.repos import normalize_repo_url, repo_name
+from codesift.functions.taint import has_taint
 from codesift.functions.text import matches, split_lines, strip, window_text
-from codesift.functions import patterns as P
 from codesift.operators import packages, reports, repo_rules
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS, access
-from codesift.operators.engine import Line, detect
+from codesift.operators.detectors.crypto import DIGEST_NAMES
+from codesift.operators.detectors.injection import SQL_INJECTION, assigned_sql_above
+from codesift.operators.engine import Line, candidates, detect, scannable
 from codesift.operators.extension import RuleSpec, detector_of
 from codesift.operators.rate_limit import rate_limit
-from codesift.plans.scan import order_findings, raw_findings, scan
+from codesift.plans.scan import order_findings, raw_findings, report_order, scan
 from codesift.sources import corpus
 from codesift.sources.batches import dedupe_repos
 from codesift.sources.files import PROFILES, cap_files, scan_scope, select_files, text_corpus
@@ -220,6 +223,38 @@ def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def taint_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the corpus whose five-line neighbourhood carries a caller's value."""
+    lines = split_lines(F.col("code"))
+    tainted = F.transform("lines", lambda _, at: has_taint(window_text(F.col("lines"), at, 4, 5)))
+    return (
+        corpus.code_corpus(spark, sf_dir)
+        .select("repo", "path", lines.alias("lines"))
+        .select("repo", "path", F.posexplode_outer(tainted).alias("at", "tainted"))
+        .filter(F.col("tainted"))
+        .select("repo", "path", (F.col("at") + 1).alias("line_no"))
+    )
+
+
+def digest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that hold a digest or a MAC, with the line from which they do."""
+    files = scannable(corpus.code_corpus(spark, sf_dir)).select(
+        "repo", "path", "code", split_lines(F.col("code")).alias("lines")
+    )
+    names = files.filter(~paths.has_long_line(F.col("lines"))).select(
+        "repo", "path", DIGEST_NAMES.column().alias("names")
+    )
+    entries = F.concat(
+        F.transform("names.digests", lambda d: F.struct(F.lit("digest").alias("kind"), d["name"], d["since"])),
+        F.transform("names.macs", lambda d: F.struct(F.lit("mac").alias("kind"), d["name"], d["since"])),
+    )
+    return (
+        names.select("repo", "path", F.explode_outer(entries).alias("entry"))
+        .filter(F.col("entry").isNotNull())
+        .select("repo", "path", "entry.*")
+    )
+
+
 # --- detectors -----------------------------------------------------------------
 
 
@@ -239,11 +274,22 @@ def findings_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select(*DETECTOR_COLUMNS)
 
 
+def denied_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors without the files whose path ends as a deny list says."""
+    found = detect(
+        corpus.code_corpus(spark, sf_dir), list(DETECTORS.values()),
+        denied_suffixes=["users.js", "/db.py"],
+    )
+    return found.select("repo", "path", "line_no", "rule_id", "severity")
+
+
+def first_access_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect(corpus.code_corpus(spark, sf_dir), [DETECTORS["open_route"]])
+    return repo_rules.first_access_finding_per_file(found).select("repo", "path", "line_no")
+
+
 def sql_var_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed names with their SQL assignment in the 14 lines above, without other gates."""
-    from codesift.operators.detectors.injection import SQL_INJECTION, assigned_sql_above
-    from codesift.operators.engine import candidates
-
     rows = candidates(corpus.code_corpus(spark, sf_dir), [SQL_INJECTION], skip_minified=False)
     return rows.filter(assigned_sql_above(Line())).select("repo", "path", "line_no")
 
@@ -316,6 +362,12 @@ def registry_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def missing_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of())
+    found = packages.import_lines(corpus.code_corpus(spark, sf_dir))
+    return packages.missing_imports(found, registry).select("repo", "path", "package", "line_no")
+
+
 def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.project_roots(corpus.code_listing(spark, sf_dir))
 
@@ -355,6 +407,20 @@ def exported_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attached_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attach_metadata(_raw(spark, sf_dir)).select(
+        "repo", "path", "line_no", "rule_id", "rule_seq", "vuln_class", "cwe", "owasp_category",
+        "owasp_rank", "title",
+    )
+
+
+def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report: high, medium and low blocks over all files."""
+    return report_order(attach_metadata(_raw(spark, sf_dir))).select(
+        "sev_rank", "severity", "repo", "path", "line_no", "rule_id"
+    )
+
+
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.scan_summary(corpus_scan(spark, sf_dir), _scope(spark, sf_dir))
 
@@ -451,9 +517,13 @@ QUERIES: dict[str, Query] = {
     "security_target": security_target,
     "line_values": line_values,
     "comment_lines": comment_lines,
+    "taint_windows": taint_windows,
+    "digest_names": digest_names,
     **{f"detect_{name}": _detector(name) for name in list(DETECTORS)},
     "detect_open_route_strict": strict_routes,
     "findings_policy": findings_policy,
+    "denied_paths": denied_paths,
+    "first_access_finding": first_access_finding,
     "sql_var_lookback": sql_var_lookback,
     "secret_scan_documents": _text_scan(documents),
     "secret_scan_documents_skipping": secret_scan_skipping,
@@ -467,11 +537,14 @@ QUERIES: dict[str, Query] = {
     "distinct_imports": distinct_imports,
     "unaliased_imports": unaliased_imports,
     "registry_fresh": registry_fresh,
+    "missing_imports": missing_imports,
     "project_roots": project_roots,
     "local_packages": local_packages,
     "unknown_packages": unknown_packages,
     "scan_directory": scan_directory,
     "export_findings": exported_findings,
+    "attach_metadata": attached_metadata,
+    "report_blocks": report_blocks,
     "scan_summary": scan_summary,
     "severity_gate": severity_gate,
     "severity_rollup": severity_rollup,

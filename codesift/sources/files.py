@@ -55,12 +55,12 @@ def _decoded(content):
     return normalize_newlines(F.replace(F.make_valid_utf8(content), F.lit("�"), F.lit("")))
 
 
-def _file_rows(raw: DataFrame, root: str) -> DataFrame:
-    """``root/<repo>/<path>`` becomes a row of the source-file table."""
+def _file_rows(raw: DataFrame, root: str, name: str | None = None) -> DataFrame:
+    """``root/<repo>/<path>``, or ``root/<path>`` of one named repository, as source-file rows."""
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
     below = F.regexp_extract("path", r"\Q" + base + r"\E/+(.*)$", 1)
-    repo = F.substring_index(below, "/", 1)
-    path = F.regexp_replace(below, "^[^/]*/", "")
+    repo = F.substring_index(below, "/", 1) if name is None else F.lit(name)
+    path = F.regexp_replace(below, "^[^/]*/", "") if name is None else below
     return raw.select(
         repo.alias("repo"),
         path.alias("path"),
@@ -70,21 +70,24 @@ def _file_rows(raw: DataFrame, root: str) -> DataFrame:
     )
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """Source files below ``root/<repo>/``; other suffixes are not opened."""
+def source_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """Source files below ``root/<repo>/``, or below ``root`` when ``repo`` names it.
+
+    Other suffixes are not opened, and a later filter on ``size_bytes`` reaches the reader.
+    """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _SUFFIX_GLOB)
         .load(root)
     )
-    return _file_rows(raw, root)
+    return _file_rows(raw, root, repo)
 
 
-def repo_listing(spark: SparkSession, root: str) -> DataFrame:
+def repo_listing(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """Every file below ``root/<repo>/``. The content column is pruned, so nothing is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return _file_rows(raw, root).select("repo", "path", F.lit(False).alias("is_dir"))
+    return _file_rows(raw, root, repo).select("repo", "path", F.lit(False).alias("is_dir"))
 
 
 def source_files_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:

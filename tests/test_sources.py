@@ -48,6 +48,13 @@ def test_directory_source(spark, tree):
     assert main["size_bytes"] == 44 and main["language"] == "python"
 
 
+def test_one_repository(spark, tree):
+    rows = source_files(spark, f"{tree}/two", repo="second").filter("size_bytes <= 100")
+    assert {(r["repo"], r["path"]) for r in rows.collect()} == {
+        ("second", "web/A.JS"), ("second", "web/view.TSX")}
+    assert "LessThanOrEqual(length,100)" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_directory_scan(spark, tree):
     files = source_files(spark, tree)
     found = scan(files, PROFILES["directory"], repo_listing(spark, tree)).collect()
