@@ -4,6 +4,12 @@ A request is accepted while fewer than ``limit`` accepted requests of its key
 are younger than the window; rejected requests are not recorded. The decision
 depends on earlier decisions, so it is a fold in time order, but only within a
 segment: after a silence as long as the window nothing is remembered.
+
+Segments of usual size are folded side by side, each streaming through a task.
+A segment too large for one task is walked one window at a time: within a window
+at most ``limit`` requests can be accepted, and they are among the first few
+after the known times at which a place becomes free, so every task only passes
+on those few.
 """
 
 from __future__ import annotations
@@ -17,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.functions import patterns as P
+from codesift.session import new_table_path
 
+HOT_REQUESTS = 100_000_000
 _SALTS = 1024
+_BYTES_PER_REQUEST = 8
+_FLUSH_ROWS = 200_000
 
 
 def _micros() -> Column:
@@ -26,7 +36,7 @@ def _micros() -> Column:
 
 
 def busy_segments(requests: DataFrame, window_seconds: int) -> DataFrame:
-    """(key, cell, segment): cells of one window length, numbered by the silences between them.
+    """(key, cell, segment, requests): cells of one window length, numbered by silences.
 
     Requests are first reduced to one row per key and cell, so the ordered window
     holds at most one row per cell however hot the key is. A silence as long as
@@ -37,12 +47,14 @@ def busy_segments(requests: DataFrame, window_seconds: int) -> DataFrame:
     cells = (
         requests.filter(F.col("key").isNotNull())
         .groupBy("key", F.floor(micros / width).alias("cell"))
-        .agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
+        .agg(F.min(micros).alias("first"), F.max(micros).alias("last"), F.count("*").alias("requests"))
     )
     in_order = Window.partitionBy("key").orderBy("cell")
     silence = F.col("first") - F.lag("last").over(in_order)
     started = cells.withColumn("starts", F.when(silence >= width, 1).otherwise(0))
-    return started.select("key", "cell", F.sum("starts").over(in_order).alias("segment"))
+    return started.select(
+        "key", "cell", F.sum("starts").over(in_order).alias("segment"), "requests"
+    )
 
 
 def _accept(limit: int, width: int):
@@ -88,18 +100,7 @@ def _accept(limit: int, width: int):
     return decide
 
 
-def rate_limit(
-    requests: DataFrame, limit: int = P.SCAN_LIMIT, window_seconds: int = P.SCAN_WINDOW_SECONDS
-) -> DataFrame:
-    """Requests (``key, ts, request_id``) with ``accepted``. A null key is never limited.
-
-    Rows stream through each task in order, so no segment is ever held as a whole.
-    """
-    width = window_seconds * 1_000_000
-    cell = F.floor(_micros() / width)
-    placed = requests.withColumn("cell", cell).join(
-        busy_segments(requests, window_seconds), ["key", "cell"], "left"
-    )
+def _fold_segments(placed: DataFrame, schema: str, limit: int, width: int) -> DataFrame:
     # Requests without a key need no order: a salt spreads them over the tasks.
     salt = F.when(F.col("key").isNull(), F.pmod(F.hash("request_id"), F.lit(_SALTS)))
     ordered = (
@@ -107,8 +108,135 @@ def rate_limit(
         .repartition("key", "segment", salt)
         .sortWithinPartitions("key", "segment", "micros", "request_id")
     )
+    return ordered.mapInPandas(_accept(limit, width), schema)
+
+
+def hot_cells(segments: DataFrame, hot_requests: int) -> DataFrame:
+    """Cells of the segments that hold more requests than one task should see."""
+    total = F.sum("requests").over(Window.partitionBy("key", "segment"))
+    return (
+        segments.withColumn("total", total)
+        .filter(F.col("total") > hot_requests)
+        .select("key", "cell")
+    )
+
+
+def _first_after(window: DataFrame, free: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` requests at or after each free time.
+
+    The rank limit runs before the shuffle, so each task sends ``limit`` rows per
+    place. ``free`` holds at most ``limit + 1`` rows for each hot key.
+    """
+    in_order = Window.partitionBy("key", "place").orderBy("micros", "request_id")
+    return (
+        window.join(F.broadcast(free), "key")
+        .filter(F.col("micros") >= F.col("free_from"))
+        .withColumn("rank", F.row_number().over(in_order))
+        .filter(F.col("rank") <= limit)
+        .select("key", "micros", "request_id")
+        .distinct()
+    )
+
+
+def _walk_hot_keys(
+    requests: DataFrame, cells: list[tuple], limit: int, width: int
+) -> DataFrame:
+    """(key, request_id) accepted in the given (key, cell) pairs, window by window.
+
+    Each step reads one window of the hot keys in parallel and brings at most
+    ``limit * (limit + 1)`` requests per hot key to the driver; there are fewer hot
+    keys than requests divided by the hot size. Accepted requests go to a table.
+    """
+    spark = requests.sparkSession
+    key_type = requests.schema["key"].dataType.simpleString()
+    id_type = requests.schema["request_id"].dataType.simpleString()
+    ts_type = requests.schema["ts"].dataType.simpleString()
+    by_cell: dict[int, list] = {}
+    for key, cell in cells:
+        by_cell.setdefault(cell, []).append(key)
+
+    table = new_table_path(spark, "accepted")
+    recorded: dict = {}
+    rows: list[tuple] = []
+
+    def flush() -> None:
+        frame = spark.createDataFrame(rows, f"key {key_type}, request_id {id_type}")
+        frame.write.mode("append").parquet(table)
+        rows.clear()
+
+    for cell, keys in sorted(by_cell.items()):
+        start = cell * width
+        free = []
+        for key in keys:
+            # Places of requests that are still young at the start become free later.
+            held = [t for t in recorded.get(key, []) if start - t < width]
+            recorded[key] = held
+            times = [start] * (len(held) < limit) + [t + width for t in held]
+            free += [(key, place, time) for place, time in enumerate(times)]
+        bounds = [F.timestamp_micros(F.lit(t)).cast(ts_type) for t in (start, start + width)]
+        window = requests.filter(
+            (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1])
+        ).withColumn("micros", _micros())
+        places = spark.createDataFrame(free, f"key {key_type}, place int, free_from long")
+        nearest: dict = {}
+        for key, micros, request_id in _first_after(window, places, limit).collect():
+            nearest.setdefault(key, []).append((micros, request_id))
+        for key in keys:
+            held = recorded[key]
+            times = sorted([start] * (limit - len(held)) + [t + width for t in held])
+            queue = iter(sorted(nearest.get(key, [])))
+            for time in times:
+                request = next((r for r in queue if r[0] >= time), None)
+                if request is None:
+                    break
+                held.append(request[0])
+                rows.append((key, request[1]))
+        if len(rows) >= _FLUSH_ROWS:
+            flush()
+    flush()
+    return spark.read.parquet(table)
+
+
+def _may_be_hot(requests: DataFrame, hot_requests: int) -> bool:
+    """A segment can only be hot if the whole table holds that many requests."""
+    size = int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size > hot_requests * _BYTES_PER_REQUEST
+
+
+def rate_limit(
+    requests: DataFrame,
+    limit: int = P.SCAN_LIMIT,
+    window_seconds: int = P.SCAN_WINDOW_SECONDS,
+    hot_requests: int = HOT_REQUESTS,
+) -> DataFrame:
+    """Requests (``key, ts, request_id``) with ``accepted``. A null key is never limited.
+
+    Rows stream through each task in order, so no segment is held as a whole; segments
+    of more than ``hot_requests`` requests never meet in one task at all.
+    """
+    width = window_seconds * 1_000_000
+    segments = busy_segments(requests, window_seconds)
+    placed = requests.withColumn("cell", F.floor(_micros() / width)).join(
+        segments.drop("requests"), ["key", "cell"], "left"
+    )
     types = {name: requests.schema[name].dataType.simpleString() for name in requests.columns}
     schema = (
         f"key {types['key']}, ts {types['ts']}, request_id {types['request_id']}, accepted boolean"
     )
-    return ordered.mapInPandas(_accept(limit, width), schema)
+    cells: list[tuple] = []
+    if _may_be_hot(requests, hot_requests):
+        hot = hot_cells(segments, hot_requests)
+        cells = [tuple(row) for row in hot.collect()]
+    if not cells:
+        return _fold_segments(placed, schema, limit, width)
+
+    spark = requests.sparkSession
+    hot = spark.createDataFrame(cells, f"key {types['key']}, cell long")
+    usual = placed.join(hot, ["key", "cell"], "left_anti")
+    accepted = _walk_hot_keys(requests, cells, limit, width).withColumn("accepted", F.lit(True))
+    decided = (
+        placed.join(hot, ["key", "cell"], "left_semi")
+        .join(accepted, ["key", "request_id"], "left")
+        .select("key", "ts", "request_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    )
+    return _fold_segments(usual, schema, limit, width).unionByName(decided)

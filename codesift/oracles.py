@@ -1100,6 +1100,7 @@ FROM (SELECT rule_id, count(*) AS cases, count(DISTINCT repo) AS repos,
     sql["rate_limit_events"] = _rate_limit_sql(
         "CASE WHEN user_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) END", 5, 86_400
     )
+    sql["rate_limit_hot_keys"] = _rate_limit_sql("event_type", 20, 5 * 86_400)
     sql["rate_limit_types"] = _rate_limit_sql("event_type", P.SCAN_LIMIT, P.SCAN_WINDOW_SECONDS)
     return sql
 

@@ -504,6 +504,14 @@ def rate_limit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_limit(requests)
 
 
+def rate_limit_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk for segments too large for one task, with a low bound for what that is."""
+    requests = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("key"), "ts", F.col("event_id").alias("request_id")
+    )
+    return rate_limit(requests, 20, 5 * DAY, hot_requests=100)
+
+
 QUERIES: dict[str, Query] = {
     "lines_explode": lines_explode,
     **{f"select_files_{name}": _selected(name) for name in PROFILES},
@@ -560,4 +568,5 @@ QUERIES: dict[str, Query] = {
     "scan_totals": scan_totals,
     "rate_limit_events": rate_limit_events,
     "rate_limit_types": rate_limit_types,
+    "rate_limit_hot_keys": rate_limit_hot_keys,
 }

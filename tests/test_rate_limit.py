@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from codesift.operators.rate_limit import busy_segments, rate_limit
+from codesift.operators.rate_limit import busy_segments, hot_cells, rate_limit
 from codesift.streaming.rate_limit import rate_limit_stream
 
 START = datetime(2024, 1, 1)
@@ -43,6 +43,24 @@ def test_batch_is_the_loop(spark, limit, window):
     assert got == _loop(rows, limit, window)
 
 
+@pytest.mark.parametrize("limit,window", [(5, 3600), (1, 600), (3, 1800)])
+def test_hot_segments_are_walked_window_by_window(spark, limit, window):
+    rng = random.Random(limit)
+    rows, now = [], START
+    for number in range(900):
+        now += timedelta(seconds=rng.choice([0, 1, 20, 200, 200, 9000 if rng.random() < 0.1 else 3]))
+        key = "hot" if rng.random() < 0.6 else rng.choice(["warm", "a", "b", None])
+        rows.append((key, now, number))
+    # Requests at the same instant and exactly one window apart.
+    rows += [("hot", START, 10_000 + i) for i in range(12)]
+    rows += [("hot", START + timedelta(seconds=window), 20_000 + i) for i in range(12)]
+    frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long").repartition(4)
+    segments = busy_segments(frame, window)
+    assert 0 < hot_cells(segments, 30).count() < segments.count()
+    got = {r["request_id"]: r["accepted"] for r in rate_limit(frame, limit, window, 30).collect()}
+    assert got == _loop(rows, limit, window)
+
+
 def test_small_arrow_batches_carry_state(spark):
     rows = _requests(9)
     frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long")
