@@ -52,9 +52,14 @@ class FileFlag:
 
 
 class Line:
-    """The candidate line a detector looks at."""
+    """The candidate line a detector looks at, and the windows it asks for.
+
+    Windows are columns of their own: several detectors share them, and expressions
+    over them stay small.
+    """
 
     def __init__(self) -> None:
+        self.windows: dict[str, tuple[int, int]] = {}
         self.text = F.col("line")
         self.number = F.col("line_no")
         self.language = F.col("language")
@@ -63,7 +68,9 @@ class Line:
         self.is_script = F.col("language").isin("javascript", "typescript")
 
     def window(self, before: int, after: int) -> Column:
-        return window_text(F.col("segment"), F.col("at"), before, after)
+        name = f"window_{before}_{after}".replace("-", "minus")
+        self.windows[name] = (before, after)
+        return F.col(name)
 
     def flag(self, name: str) -> Column:
         return F.col(name)
@@ -205,11 +212,16 @@ def candidates(
     )
 
 
-_findings: dict[tuple, tuple[Column, Detector]] = {}
+_findings: dict[tuple, tuple[Column, dict, Detector]] = {}
+
 
+def _finding(
+    spark: SparkSession, detector: Detector, policy: bool
+) -> tuple[Column, dict[str, tuple[int, int]]]:
+    """The detector as one column, with the windows it reads.
 
-def _finding(spark: SparkSession, detector: Detector, policy: bool) -> Column:
-    """The detector as one column. Kept per application: a stream builds its plan every batch."""
+    Kept per application, because a stream builds its plan for every batch.
+    """
     key = (spark.sparkContext.applicationId, id(detector), policy)
     if key not in _findings:
         line = Line()
@@ -220,8 +232,9 @@ def _finding(spark: SparkSession, detector: Detector, policy: bool) -> Column:
         if policy and detector.allowed is not None:
             wanted = wanted & detector.allowed()
         # The detector is kept alive with its column, so that its id stays unique.
-        _findings[key] = (F.when(wanted, detector.finding(line)), detector)
-    return _findings[key][0]
+        finding = F.when(wanted, detector.finding(line))
+        _findings[key] = (finding, line.windows, detector)
+    return _findings[key][:2]
 
 
 def detect(
@@ -234,14 +247,22 @@ def detect(
     """Findings of the selected detectors, file policy applied, metadata not yet attached."""
     if skip_minified:
         files = scannable(files, denied_suffixes)
-    findings = [_finding(files.sparkSession, detector, policy) for detector in detectors]
+    findings = []
+    windows: dict[str, tuple[int, int]] = {}
+    for detector in detectors:
+        finding, used = _finding(files.sparkSession, detector, policy)
+        findings.append(finding)
+        windows |= used
     indented = [d.rule_id for d in detectors if d.keep_indent]
     kept = ["repo", "path", "language", "is_test", "is_demo", "line_no", "line"]
     # The plain array is its own projection, which is compiled; a higher-order function around
     # it, or the generator itself, would interpret every pattern test.
-    found = candidates(files, detectors, skip_minified).select(
-        *kept, F.array(*findings).alias("findings")
-    )
+    texts = [
+        window_text(F.col("segment"), F.col("at"), before, after).alias(name)
+        for name, (before, after) in windows.items()
+    ]
+    found = candidates(files, detectors, skip_minified).select("*", *texts)
+    found = found.select(*kept, F.array(*findings).alias("findings"))
     found = found.select(*kept, F.explode_outer("findings").alias("finding"))
     found = found.filter(F.col("finding").isNotNull())
     shown = F.when(F.col("finding.rule_id").isin(indented), rstrip(F.col("line"))).otherwise(
