@@ -16,6 +16,7 @@ from codesift.operators.engine import Detector, Line, detect, report
 from codesift.operators.reports import rule_evaluation
 
 MAX_WINDOW = 200
+MAX_RULES = 1000
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,23 @@ class RuleSpec:
     skip_tests: bool = True
 
 
+def rule_specs(table: DataFrame) -> list[RuleSpec]:
+    """Rules from a table with a column per field of ``RuleSpec`` (nulls take the default).
+
+    A rule table is configuration: more than ``MAX_RULES`` rows are refused.
+    """
+    rows = table.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a rule table may hold at most {MAX_RULES} rows")
+    return [
+        RuleSpec(**{
+            name: tuple(value) if isinstance(value, list) else value
+            for name, value in row.asDict().items() if value is not None
+        })
+        for row in rows
+    ]
+
+
 def detector_of(spec: RuleSpec) -> Detector:
     """Columns for a rule given as data. Without ``words`` every line is tested."""
     if spec.severity not in ("high", "medium", "low"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions import patterns as P
@@ -13,18 +13,6 @@ from codesift.functions.text import split_lines, strip
 _IMPORT_HINT = "import|require|from"
 
 
-def builtin_modules(spark: SparkSession) -> DataFrame:
-    rows = [("pypi", name) for name in dict.fromkeys(P.PYTHON_STDLIB)]
-    rows += [("npm", name) for name in P.JS_BUILTINS]
-    return spark.createDataFrame(rows, "ecosystem STRING, module STRING")
-
-
-def import_aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(P.IMPORT_ALIASES.items()), "import_name STRING, package STRING"
-    )
-
-
 def _is_migration(path: Column) -> Column:
     return F.array_contains(paths.parts(path), "migrations") & (paths.suffix(path) == ".py")
 
@@ -53,7 +41,7 @@ def import_lines(files: DataFrame) -> DataFrame:
     compared = F.when(language == "python", package_of(F.col("module"), language)).otherwise(
         F.col("module")
     )
-    builtin = F.when(language == "python", compared.isin(list(dict.fromkeys(P.PYTHON_STDLIB)))).otherwise(
+    builtin = F.when(language == "python", compared.isin(P.PYTHON_STDLIB)).otherwise(
         compared.isin(P.JS_BUILTINS)
     )
     alias_path = (language != "python") & F.col("module").startswith("@/")

@@ -27,7 +27,7 @@ from codesift.session import new_table_path
 
 HOT_REQUESTS = 100_000_000
 _SALTS = 1024
-_BYTES_PER_REQUEST = 8
+_BYTES_PER_REQUEST = 1
 _FLUSH_ROWS = 200_000
 
 
@@ -198,7 +198,7 @@ def _walk_hot_keys(
 
 
 def _may_be_hot(requests: DataFrame, hot_requests: int) -> bool:
-    """A segment can only be hot if the whole table holds that many requests."""
+    """A segment can only be hot if the whole table holds that many (compressed) requests."""
     size = int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size > hot_requests * _BYTES_PER_REQUEST
 

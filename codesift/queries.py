@@ -358,7 +358,8 @@ def unaliased_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of()).select(
-        "ecosystem", "name", F.col("exists").alias("is_known"), "checked_at"
+        "ecosystem", "name", F.col("exists").alias("is_known"),
+        F.col("checked_at").cast("timestamp_ntz").alias("checked_at"),
     )
 
 

@@ -9,10 +9,11 @@ from codesift.operators import packages, reports
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import detect
-from codesift.operators.extension import RuleSpec, detector_of, register_detector, validate_rule
+from codesift.operators.extension import (
+    RuleSpec, detector_of, register_detector, rule_specs, validate_rule,
+)
 from codesift.operators.repo_rules import (
     dirs_with_settings, drop_access_findings_without_auth, first_access_finding_per_file,
-    lower_django_routes,
 )
 from codesift.plans.scan import order_findings, raw_findings, report_order
 
@@ -200,6 +201,19 @@ def test_rules_as_data(spark):
     assert (row["true_positives"], row["false_negatives"], row["accepted"]) == (1, 1, True)
 
 
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame(
+        [("Z002", "low", r"danger\(", ["danger("], 0, 0, ["python"], None, None, False, True)],
+        "rule_id string, severity string, trigger string, words array<string>, before int, after int, "
+        "languages array<string>, cleared_by_line array<string>, cleared_by_window array<string>, "
+        "needs_taint boolean, skip_tests boolean")
+    files = spark.createDataFrame([("r", "a.py", "python", "x\ndanger(1)")], CODE)
+    found = detect(files, [detector_of(spec) for spec in rule_specs(table)])
+    assert [(r["rule_id"], r["severity"], r["line_no"]) for r in found.collect()] == [("Z002", "low", 2)]
+    with pytest.raises(ValueError):
+        rule_specs(spark.range(2000).selectExpr("cast(id as string) rule_id", "'x' trigger"))
+
+
 def test_bad_specs_and_names_are_refused():
     with pytest.raises(ValueError):
         detector_of(RuleSpec("Z", "x", severity="fatal"))
