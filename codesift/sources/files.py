@@ -190,7 +190,8 @@ def select_files(files: DataFrame, profile: Profile, listing: DataFrame | None =
     chosen = _in_scope(files, profile).filter(small)
     if profile.max_files is None:
         return chosen
-    keys = _in_scope((listing or files).select("repo", "path", "size_bytes"), profile)
+    table = files if listing is None else listing
+    keys = _in_scope(table.select("repo", "path", "size_bytes"), profile)
     if profile.size_before_cap:
         keys = keys.filter(small)
     return (
