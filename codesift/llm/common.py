@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a slot number in a bitmap: 8 MB on the driver and in every worker, whatever the input.
+BITMAP_BITS = 26
+
+
+def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
+    """A bit for every slot that a long key of ``keys`` falls into. Its size is fixed; keys may share a slot."""
+    place = F.pmod(F.col(column), F.lit(1 << bits)) + 1
+    rows = (
+        keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect()  # 4 KB for 32768 slots
+    )
+    whole = bytearray(1 << (bits - 3))
+    for row in rows:
+        first = (row["bucket"] - 1) * 4096
+        whole[first : first + len(row["map"])] = row["map"]
+    return bytes(whole)
+
+
+def in_bitmap(whole: bytes, keys: np.ndarray) -> np.ndarray:
+    """For every 64-bit key whether its slot's bit is set."""
+    slots = keys.view(np.uint64) & np.uint64(len(whole) * 8 - 1)
+    bits = np.frombuffer(whole, dtype=np.uint8)[(slots >> np.uint64(3)).astype(np.int64)]
+    return (bits >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids`` (one column). Rows without id stay.
+
+    Only rows whose id may be in the list, by a bitmap of fixed size, are joined with it; all others go straight through.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(ids.columns[0]).alias("key")), "key"))
+
+    @F.arrow_udf("boolean")
+    def may_be(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, keys.to_numpy(zero_copy_only=False)))
+
+    listed = may_be(F.xxhash64(column(id_col)))
+    name = spare_name(docs.columns, "_listed")
+    some = docs.filter(listed).join(ids.toDF(name), column(id_col) == F.col(name), "left_anti")
+    return docs.filter(~listed).unionByName(some)

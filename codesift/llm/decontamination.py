@@ -34,7 +34,7 @@ PASSES = 2
 #: Window lengths in words; an item is compared with windows of the longest one that is not longer than itself.
 LENGTHS = (4, 8, 16, 32, 64)
 #: Least cosine in the latent space, and least share of a window's weight on the benchmark's terms.
-LEAST_COSINE, LEAST_SHARE = 0.5, 0.2
+LEAST_COSINE, LEAST_SHARE = 0.5, 0.4
 #: Share of an item's words in the common subsequence that confirms it alone, or together with its answer.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Share of an item's last words that count as its answer.

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import (
-    bpe, decontamination, exact_dedup, language_id, sharding, simhash, token_counts, toxicity, url_filter,
+    bpe, decontamination, exact_dedup, language_id, sharding, simhash, substring_dedup, token_counts, toxicity,
+    url_filter,
 )
 from codesift.llm.common import held_out, may_learn, sha256_text, table, text_of
 
@@ -73,6 +74,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept")).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
@@ -102,4 +109,25 @@ ORACLES: dict[str, str] = {
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS content
+            FROM words, unnest(range(1, len(w) - 48)) AS r(i)
+        ), firsts AS (
+            SELECT content, min(doc_id) AS first FROM windows GROUP BY content
+        ), covered AS (
+            SELECT DISTINCT doc_id, i + k AS place FROM windows JOIN firsts USING (content), range(0, 50) AS r(k)
+            WHERE first < doc_id
+        ), each_word AS (
+            SELECT doc_id, place, w[place] AS word FROM words, unnest(range(1, len(w) + 1)) AS r(place)
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+            FROM each_word ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)
+    """,
 }

@@ -36,7 +36,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, remembered per worker."""
     global _powers
     if len(_powers[0]) < size:
@@ -59,7 +59,7 @@ def words_of(texts: list[str], parting: np.ndarray = BLANKS) -> Words:
     blank = parting[data]
     before = np.concatenate([[True], blank[:-1]])
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
