@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import sha256_text, slot, text_of
+from codesift.llm.common import sha256_text, slot, stored, text_of
 
 #: Slots of the tables that are broadcast: at most 2**20 rows of one long.
 SLOTS = 1 << 20
@@ -49,10 +49,10 @@ def exact_dedup(
         .join(F.broadcast(by_prefix), "_slot", "left_semi")
         .select("_id", sha256_text(F.col("_text")).alias("digest"), *carried)
     )
-    groups = (
+    groups = stored(  # a table of its own, so that the join below is one that adaptive execution may split
         suspects.groupBy("digest")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
+        .filter("group_size > 1"), "copies",
     )
     judged = suspects.join(groups, "digest", "left").select(
         "_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
