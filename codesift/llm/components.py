@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat, go either way or join a node to itself; nodes of self-links only are their own root; no links give
     an empty table. Rows with a null end are left out, as they join nothing.
     """
-    links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    links = stored(links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"), "given-links")
     nodes = stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     found = nodes.withColumn("root", F.col("node"))
     rest = stored(links.filter("a <> b").distinct(), "links")
