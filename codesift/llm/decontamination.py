@@ -104,14 +104,16 @@ def svd(passages: DataFrame, rank: int = RANK, extra: int = EXTRA, passes: int =
                     along = weights @ shared.value[terms]
                     for term, weight in zip(terms, weights, strict=True):
                         held[term] = held.get(term, 0.0) + weight * along
-            yield pd.DataFrame({"term": np.fromiter(held, dtype=np.int64, count=len(held)), "sums": list(held.values())})
+            if held:
+                yield pd.DataFrame({"term": np.fromiter(held, dtype=np.int64, count=len(held)), "sums": list(held.values())})
 
         def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, np.ndarray] = {}
             for batch in batches:
                 for term, sums in zip(batch["term"], batch["sums"], strict=True):
                     held[term] = held.get(term, 0.0) + sums
-            yield pd.DataFrame({"term": np.fromiter(held, dtype=np.int64, count=len(held)), "sums": list(held.values())})
+            if held:
+                yield pd.DataFrame({"term": np.fromiter(held, dtype=np.int64, count=len(held)), "sums": list(held.values())})
 
         schema = "term long, sums array<double>"
         rows = passages.mapInPandas(product, schema).repartition("term").mapInPandas(added, schema).collect()
@@ -164,7 +166,8 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_co
                 weights = times * shared.value[terms].astype(float)
                 size = np.sqrt((weights**2).sum()) or 1.0
                 rows.append((terms, weights / size))
-            yield pd.DataFrame(rows, columns=["terms", "weights"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["terms", "weights"])
 
     passages = benchmark.select(item_text_col).mapInPandas(weighted, "terms array<long>, weights array<double>")
     there, vectors = svd(stored(passages.filter(F.size("terms") > 0), "passages"))
