@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import models
 
-from codesift.llm.common import spare_name, stored, text_of
+from codesift.llm.common import parts, spare_name, stored, text_of
 from codesift.llm.pretokens import PreTokenizer, pre_tokenizer
 
 #: Texts of more characters are cut up.
@@ -30,7 +30,7 @@ PIECE_CHARS = 1 << 14
 #: Symbols (bytes) of a pre-token that are encoded at once; longer ones are halved.
 LEAF = 1 << 10
 #: Pre-tokens that a task remembers before it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 class Encoder:
@@ -44,22 +44,31 @@ class Encoder:
         if model["type"] != "BPE":
             raise ValueError("only byte-pair encoding is supported")
         self.suffix = model.get("end_of_word_suffix") or ""
-        self._inner = None
-        if self.suffix:  # the same merges for a part of a word that does not hold its end
-            merges = [tuple(pair if isinstance(pair, list) else pair.split(" ")) for pair in model["merges"]]
-            self._inner = models.BPE(model["vocab"], merges)
+        self._inner: models.BPE | None = None
         self.strings = {number: token for token, number in self.base.tokenizer.get_vocab(True).items()}
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of each pre-token of a text."""
+    @property
+    def inner(self):
+        """The same merges for a part of a word that does not hold its end."""
+        if not self.suffix:
+            return self.base.tokenizer.model
+        if self._inner is None:
+            merges = [tuple(pair if isinstance(pair, list) else pair.split(" ")) for pair in self.base.merges]
+            self._inner = models.BPE(self.base.tokenizer.get_vocab(False), merges)
+        return self._inner
+
+    def encode(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
+        """The ids of each pre-token of each text."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        pieces = self.base.split(text)
-        for piece in pieces:
-            if piece not in known:
-                known[piece] = self.whole(piece)
-        return [known[piece] for piece in pieces]
+        texts_pieces = list(map(self.base.split, texts))
+        fresh = set(chain.from_iterable(texts_pieces)).difference(known)
+        odd = {piece for piece in fresh if 4 * len(piece) > self.leaf or piece in self.base.special}
+        known.update((piece, self.whole(piece)) for piece in odd)
+        if plain := list(fresh - odd):
+            known.update(zip(plain, self.base.ids_of_each(plain), strict=True))
+        return [[known[piece] for piece in pieces] for pieces in texts_pieces]
 
     def whole(self, piece: str) -> tuple[int, ...]:
         """A pre-token; a long one as a tree."""
@@ -86,7 +95,7 @@ class Encoder:
 
     def part(self, mapped: str, last: bool) -> list[int]:
         """A part of a pre-token; ``last`` if it holds the end."""
-        model = self.base.tokenizer.model if last or self._inner is None else self._inner
+        model = self.base.tokenizer.model if last else self.inner
         return [token.id for token in model.tokenize(mapped)]
 
     def joined(self, parts: list[list[int]]) -> list[int]:
@@ -141,9 +150,9 @@ def encode(
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode_text = encoder(tokenizer_path, leaf).encode
+        own = encoder(tokenizer_path, leaf)
         for batch in batches:
-            yield _id_lists([encode_text(text) for text in batch.to_pylist()])
+            yield pa.concat_arrays([_id_lists([])] + [_id_lists(own.encode(part.to_pylist())) for part in parts(batch)])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(tokenizer_path, leaf)
@@ -232,25 +241,28 @@ def decode(
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pre_tokenizer(tokenizer_path)
         tokenizer = own.tokenizer
-        if own.spec.get("decoder") is None:  # then the library puts a blank between the tokens' strings
-            strings = {number: token for token, number in tokenizer.get_vocab(True).items()}
-            size = max(strings, default=-1) + 1
-            names = [strings.get(number) for number in range(size)]
-            for batch in batches:
-                yield pa.array([
-                    " ".join([name for i in ids or () if 0 <= i < size and (name := names[i]) is not None])
-                    for ids in _lists(batch)
-                ], pa.string())
-        else:
-            for batch in batches:
-                yield pa.array(tokenizer.decode_batch(
-                    [list(ids or ()) for ids in _lists(batch)], skip_special_tokens=False
-                ), pa.string())
+        strings = {number: token for token, number in tokenizer.get_vocab(True).items()}
+        names = np.array([strings.get(number, "") for number in range(max(strings, default=-1) + 1)], dtype=object)
+        there = np.array([number in strings for number in range(len(names))])
+
+        def text_of_ids(ids: np.ndarray) -> str:
+            ids = ids[(ids >= 0) & (ids < len(names))]
+            ids = ids[there[ids]]
+            if own.spec.get("decoder") is None:  # then the library puts a blank between the tokens' strings
+                return " ".join(names[ids].tolist())
+            return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+        for batch in batches:
+            yield pa.concat_arrays([pa.array([], pa.string())] + [
+                pa.array([text_of_ids(ids) for ids in _lists(part)], pa.string()) for part in parts(batch)
+            ])
 
     return rows.withColumn(text_col, decoded(F.col(ids_col)))
 
 
-def _lists(batch: pa.Array) -> Iterator[list[int] | None]:
+def _lists(batch: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row; none for a null row."""
+    ids = batch.values.to_numpy(zero_copy_only=False)
+    offsets, there = batch.offsets.to_numpy(), batch.is_valid().to_numpy(zero_copy_only=False)
     for k in range(len(batch)):
-        item = batch[k]
-        yield item.values.to_numpy(zero_copy_only=False).tolist() if item.is_valid else None
+        yield ids[offsets[k] : offsets[k + 1]] if there[k] else ids[:0]

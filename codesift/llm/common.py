@@ -55,6 +55,12 @@ def in_batches(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def parts(batch, rows: int = 256) -> Iterator:
+    """An Arrow array or batch in slices of a few rows, so that little of it is held as Python objects at a time."""
+    for first in range(0, len(batch) if isinstance(batch, pa.Array) else batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def spare_name(columns: list[str], name: str) -> str:
     """A column name that ``columns`` don't have, whatever their case."""
     taken = {column.lower() for column in columns}

@@ -8,6 +8,7 @@ hot. Frequencies are per document, so a repeated pre-token travels once.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import stored, text_of
+from codesift.llm.common import parts, stored, text_of
 from codesift.llm.pretokens import pre_tokenizer
 
 #: Entries of the broadcast part of the dictionary, and the longest one in characters.
@@ -32,8 +33,9 @@ def dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
         split = pre_tokenizer(tokenizer_path).split
         held: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(split(text))
+            for part in parts(batch.column(0)):
+                for text in part.to_pylist():
+                    held.update(split(text))
                 if len(held) > HELD:
                     yield _counts(held)
                     held = Counter()
@@ -69,10 +71,14 @@ def count_tokens(
     """
     spark = docs.sparkSession
     pieces = stored(dictionary(docs, tokenizer_path, text_col), "token-dictionary")
-    top = (
-        pieces.filter(F.length("token") <= FREQUENT_CHARS).orderBy(F.desc("n"), "token").limit(frequent)
-        .select("token", "pieces").collect()
-    )
+    short = pieces.filter(F.length("token") <= FREQUENT_CHARS).withColumn("class", F.floor(8 * F.log2("n")))
+    least, held = math.inf, 0  # the classes of frequency from the top that fit
+    for row in sorted(short.groupBy("class").count().collect(), reverse=True):  # a few hundred classes
+        held += row["count"]
+        if held > frequent:
+            break
+        least = row["class"]
+    top = short.filter(F.col("class") >= least).select("token", "pieces").collect()  # at most ``frequent`` rows
     shared = spark.sparkContext.broadcast(dict(map(tuple, top)))
 
     @F.arrow_udf("struct<known: bigint, tokens: array<string>, numbers: array<int>>")
