@@ -63,13 +63,13 @@ class FMIndex:
         for first, words in zip(self.first, sequences, strict=True):
             text[first : first + len(words)] = self.symbols(words)
         self.size = total
-        ranks = {1: text}
-        size = 1
+        ranks, size = text, 1
         while size < DEPTH:
-            ranks[2 * size] = _pair_ranks(ranks[size], ranks[size], size)
+            if 2 * size == DEPTH:
+                self._half = ranks
+            ranks = _pair_ranks(ranks, ranks, size)
             size *= 2
-        self._half = ranks[32]
-        self.order = np.argsort(ranks[DEPTH], kind="stable")
+        self.order = np.argsort(ranks, kind="stable")
         self.owner = owner[self.order]
         before = text[self.order - 1]  # the word before the first one is the last separator
         levels = max(1, int(len(self.vocabulary)).bit_length())
@@ -91,8 +91,8 @@ class FMIndex:
         return low, np.where(symbols == 0, low, high)
 
     def classes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every row of the index where the rows with the same first ``size`` words (32 to 64) begin and end."""
-        rank = _pair_ranks(self._half, self._half, size - 32)[self.order]
+        """For every row of the index where the rows with the same first ``size`` words (half to all of ``DEPTH``) begin and end."""
+        rank = _pair_ranks(self._half, self._half, size - DEPTH // 2)[self.order]
         fresh = np.concatenate([[True], rank[1:] != rank[:-1]])
         starts = np.flatnonzero(fresh)
         ends = np.append(starts[1:], len(rank))

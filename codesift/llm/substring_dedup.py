@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import bitmap, in_batches, in_bitmap, stored, text_of
+from codesift.llm.common import bitmap, in_batches, in_bitmap, parts, stored, text_of
 from codesift.llm.fm_index import FMIndex, earliest_owners
 from codesift.llm.words import mixed, power_tables, words_of
 
@@ -33,10 +33,12 @@ SHINGLE = 8
 #: Windows of a run at most; a longer run is cut.
 RUN = 128
 #: Words of a shard, about.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Occurrences from which an anchor's windows are dealt by their words.
 HOT = 4096
-BATCH_CHARS = 1 << 20
+#: Slots of the bitmap of such anchors, which are few.
+CROWDED_BITS = 20
+BATCH_CHARS = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -115,7 +117,7 @@ def removed_intervals(
     )
 
     def batches_of(batches: Iterator[pa.RecordBatch], hot_map: bytes | None = None):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             doc, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             strings = batch.column(2).to_pylist()
             for first, end in in_batches(strings, BATCH_CHARS):
@@ -123,8 +125,10 @@ def removed_intervals(
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, _, runs in batches_of(batches):
+            order, first = _grouped(runs.text, runs.anchor)
+            once = order[first]  # one row per anchor and document
             yield pa.RecordBatch.from_arrays(
-                [pa.array(runs.anchor.view(np.int64)), pa.array(doc[runs.text])], ["anchor", "doc"]
+                [pa.array(runs.anchor[once].view(np.int64)), pa.array(doc[runs.text[once]])], ["anchor", "doc"]
             )
 
     seen = stored(
@@ -133,28 +137,37 @@ def removed_intervals(
         .filter("least < most").select("anchor", "n"), "anchors",
     )
     repeated = context.broadcast(bitmap(seen, "anchor"))
-    crowded = context.broadcast(bitmap(seen.filter(F.col("n") > hot), "anchor"))
+    crowded = context.broadcast(bitmap(seen.filter(F.col("n") > hot), "anchor", CROWDED_BITS))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, key, found in batches_of(batches, crowded.value):
             on = np.flatnonzero(in_bitmap(repeated.value, found.anchor))
+            order, first = _grouped(found.text[on], found.key[on])
+            on = on[order]  # equal runs of a document are one row with their starts
             text = found.text[on]
-            columns = (
-                doc[text], key[text], found.key[on].view(np.int64), found.place(on, doc, key),
-                (found.start[on] - found.first[text]).astype(np.int32), found.windows[on].astype(np.int32),
+            starts = (found.start[on] - found.first[text]).astype(np.int32)
+            one, text = on[first], text[first]
+            columns = [
+                doc[text], key[text], found.key[one].view(np.int64), found.place(one, doc, key),
+                found.windows[one].astype(np.int32),
+            ]
+            offsets = pa.array(np.append(first, len(on)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.ListArray.from_arrays(offsets, pa.array(starts))], RUN_COLUMNS
             )
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), RUN_COLUMNS)
 
     runs = stored(
-        texts.mapInArrow(candidates, "doc long, text_key long, run long, place long, start int, windows int"), "runs"
+        texts.mapInArrow(
+            candidates, "doc long, text_key long, run long, place long, windows int, starts array<int>"
+        ), "runs",
     )
     distinct = stored(
-        runs.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("least"), F.max("windows").alias("windows")),
+        runs.groupBy("run").agg(F.min("doc"), F.min_by("place", "doc").alias("place"), F.max("windows").alias("windows")),
         "distinct-runs",
     )
     size = distinct.agg(F.sum(F.col("windows") + F.lit(window - 1))).first()[0] or 0
     shards = max(1, -(-size // shard_words))
-    wanted = context.broadcast(bitmap(distinct.select("least.place"), "place"))
+    wanted = context.broadcast(bitmap(distinct, "place"))
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, key, found in batches_of(batches, crowded.value):
@@ -189,14 +202,18 @@ def removed_intervals(
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, _, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            owners = batch.column(3)
-            offsets = owners.offsets.to_numpy()
-            flat = owners.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            sizes = np.diff(offsets)
-            row = np.repeat(np.arange(len(doc)), sizes)
-            begins = start[row] + np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-            on = np.flatnonzero(flat < doc[row])
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            (starts, start_of), (owners, owner_of) = (_flat(batch.column(k)) for k in (2, 3))
+            low, high = owner_of[:-1], owner_of[1:]
+            repeats = np.diff(start_of)
+            row = np.repeat(np.arange(len(doc)), repeats)  # one for each start, then one for each of its windows
+            sizes = (high - low)[row]
+            each = np.repeat(np.arange(len(row)), sizes)
+            offset = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = row[each]
+            begins = starts[each] + offset
+            on = np.flatnonzero(owners[low[row] + offset] < doc[row])
+            on = on[np.lexsort((begins[on], row[on]))]
             fresh = np.concatenate([[True], (row[on][1:] != row[on][:-1]) | (begins[on][1:] > begins[on][:-1] + window)])
             opens = np.flatnonzero(fresh[: len(on)])
             closes = np.append(opens[1:], len(on))[: len(opens)] - 1
@@ -209,13 +226,26 @@ def removed_intervals(
             )
 
     return (
-        runs.join(earliest, "run").select("doc", "text_key", "start", "owners")
+        runs.join(earliest, "run").select("doc", "text_key", "starts", "owners")
         .mapInArrow(covered, "doc long, text_key long, start int, end int")
         .groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("intervals"))
     )
 
 
-RUN_COLUMNS = ["doc", "text_key", "run", "place", "start", "windows"]
+RUN_COLUMNS = ["doc", "text_key", "run", "place", "windows", "starts"]
+
+
+def _grouped(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by text and key that keeps equal ones as they come, and where each new pair begins in it."""
+    order = np.lexsort((key, text))
+    fresh = np.concatenate([[True], (text[order][1:] != text[order][:-1]) | (key[order][1:] != key[order][:-1])])
+    return order, np.flatnonzero(fresh[: len(order)])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column, from 0."""
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def remove_repeats(
@@ -238,31 +268,47 @@ def remove_repeats(
     def has_intervals(places: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(concerned.value, places.to_numpy(zero_copy_only=False)))
 
-    @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
+    result = "struct<n_words: bigint, n_removed: bigint, kept: string>"
+
+    @F.arrow_udf(result)
     def cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        counts, gone, kept = [], [], []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            words = text.encode("utf-8").split()
-            counts.append(len(words))
-            if own:
-                stays = np.ones(len(words), dtype=bool)
-                for span in own:
-                    stays[span["start"] : span["end"]] = False
-                words = [word for word, stay in zip(words, stays.tolist(), strict=True) if stay]
-            gone.append(counts[-1] - len(words))
-            kept.append(b" ".join(words).decode("utf-8"))
-        return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-            ["n_words", "n_removed", "kept"],
-        )
+        return pa.concat_arrays([
+            _kept_words(text.to_pylist(), own.to_pylist()) for text, own in zip(parts(texts), parts(spans), strict=True)
+        ] or [_kept_words([], [])])
+
+    @F.arrow_udf(result)
+    def untouched(texts: pa.Array, places: pa.Array) -> pa.Array:
+        """Null for texts that may have intervals."""
+        made = [_kept_words([], [])]
+        for text, place in zip(parts(texts), parts(places), strict=True):
+            left_out = in_bitmap(concerned.value, place.to_numpy(zero_copy_only=False)).tolist()
+            strings = [None if out else own for own, out in zip(text.to_pylist(), left_out, strict=True)]
+            made.append(_kept_words(strings, [None] * len(strings)))
+        return pa.concat_arrays(made)
 
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"),
         text_of(text_col).alias("_text"),
     )
-    none = F.lit(None).cast("array<struct<start: int, end: int>>")
-    whole = rows.filter(~has_intervals(place)).select("_id", cleaned("_text", none).alias("r"))
+    whole = rows.select("_id", untouched(F.col("_text"), place).alias("r")).filter("r IS NOT NULL")
     cut = rows.filter(has_intervals(place)).join(intervals, ["doc", "text_key"], "left").select(
         "_id", cleaned("_text", "intervals").alias("r")
     )
     return whole.unionByName(cut).select(F.col("_id").alias(id_col), "r.*")
+
+
+def _kept_words(texts: list[str | None], spans: list[list[dict] | None]) -> pa.Array:
+    rows: list[dict | None] = []
+    for text, own in zip(texts, spans, strict=True):
+        if text is None:
+            rows.append(None)
+            continue
+        words = text.encode("utf-8").split()
+        count = len(words)
+        if own:
+            stays = np.ones(count, dtype=bool)
+            for span in own:
+                stays[span["start"] : span["end"]] = False
+            words = [word for word, stay in zip(words, stays.tolist(), strict=True) if stay]
+        rows.append({"n_words": count, "n_removed": count - len(words), "kept": b" ".join(words).decode("utf-8")})
+    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
