@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import models
 
-from codesift.llm.common import parts, spare_name, stored, text_of
+from codesift.llm.common import column, parts_of, spare_name, stored, text_of
 from codesift.llm.pretokens import PreTokenizer, pre_tokenizer
 
 #: Texts of more characters are cut up.
@@ -30,7 +30,7 @@ PIECE_CHARS = 1 << 14
 #: Symbols (bytes) of a pre-token that are encoded at once; longer ones are halved.
 LEAF = 1 << 10
 #: Pre-tokens that a task remembers before it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class Encoder:
@@ -39,13 +39,13 @@ class Encoder:
     def __init__(self, path: str, leaf: int = LEAF) -> None:
         self.base: PreTokenizer = pre_tokenizer(path)
         self.leaf = leaf
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         model = self.base.spec["model"]
         if model["type"] != "BPE":
             raise ValueError("only byte-pair encoding is supported")
         self.suffix = model.get("end_of_word_suffix") or ""
         self._inner: models.BPE | None = None
-        self.strings = {number: token for token, number in self.base.tokenizer.get_vocab(True).items()}
+        self._strings: dict[int, str] | None = None
 
     @property
     def inner(self):
@@ -53,22 +53,27 @@ class Encoder:
         if not self.suffix:
             return self.base.tokenizer.model
         if self._inner is None:
-            merges = [tuple(pair if isinstance(pair, list) else pair.split(" ")) for pair in self.base.merges]
-            self._inner = models.BPE(self.base.tokenizer.get_vocab(False), merges)
+            self._inner = models.BPE(self.base.tokenizer.get_vocab(False), self.base.merges())
         return self._inner
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """The ids of each pre-token of each text."""
+    @property
+    def strings(self) -> dict[int, str]:
+        if self._strings is None:
+            self._strings = {number: token for token, number in self.base.tokenizer.get_vocab(True).items()}
+        return self._strings
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit numbers."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         texts_pieces = list(map(self.base.split, texts))
         fresh = set(chain.from_iterable(texts_pieces)).difference(known)
         odd = {piece for piece in fresh if 4 * len(piece) > self.leaf or piece in self.base.special}
-        known.update((piece, self.whole(piece)) for piece in odd)
+        known.update((piece, np.array(self.whole(piece), dtype=np.int32).tobytes()) for piece in odd)
         if plain := list(fresh - odd):
-            known.update(zip(plain, self.base.ids_of_each(plain), strict=True))
-        return [[known[piece] for piece in pieces] for pieces in texts_pieces]
+            known.update(zip(plain, self.base.packed_ids(plain), strict=True))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts_pieces]
 
     def whole(self, piece: str) -> tuple[int, ...]:
         """A pre-token; a long one as a tree."""
@@ -131,28 +136,30 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return _encoders[path, leaf]
 
 
-def _id_lists(rows: list[list[tuple[int, ...]]]) -> pa.Array:
-    sizes = [sum(map(len, row)) for row in rows]
-    flat = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), dtype=np.int32, count=sum(sizes))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+def _id_lists(rows: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
 
 def encode(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", long_chars: int = LONG_CHARS,
-    piece_chars: int = PIECE_CHARS, leaf: int = LEAF,
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None,
+    long_chars: int = LONG_CHARS, piece_chars: int = PIECE_CHARS, leaf: int = LEAF,
 ) -> DataFrame:
     """``docs`` with the token ids of each text (array<int>) as ``ids_col``, which replaces a column of that name.
 
+    With a ``decoded_col`` the ids are also decoded, as ``decode`` does, by the same Python worker.
+
     Ids are those of the file's tokenizer without added begin or end tokens, truncation or padding; strings of added
     tokens in a text become those tokens. A null or empty text has no ids (an empty list); rows may repeat; an empty
     table gives an empty result; all other columns stay as they are, whatever their names.
     """
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = encoder(tokenizer_path, leaf)
-        for batch in batches:
-            yield pa.concat_arrays([_id_lists([])] + [_id_lists(own.encode(part.to_pylist())) for part in parts(batch)])
+        own = Encoder(tokenizer_path, leaf)  # what it remembers goes with the task
+        back = Decoder(own.base) if decoded_col else None
+        for part in parts_of(batches):
+            yield _both(_id_lists(own.encode(part.to_pylist())), back)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(tokenizer_path, leaf)
@@ -185,10 +192,14 @@ def encode(
                 open_parts = []
         return pd.DataFrame({"row": pieces["row"].iloc[:1].to_list(), "found": [found]})
 
-    columns = [column for column in docs.columns if column.lower() != ids_col.lower()]
+    made = [ids_col] + [decoded_col] * bool(decoded_col)
+    columns = [column(name) for name in docs.columns if name.lower() not in {new.lower() for new in made}]
     row, text = spare_name(docs.columns, "_row"), text_of(text_col)
+    both = spare_name(docs.columns, "_both")
     is_long = F.length(text) > long_chars
-    short = docs.filter(~is_long).withColumn(ids_col, encoded(text))
+    short = docs.filter(~is_long).withColumn(both, encoded(text)).select(
+        *columns, *[F.col(f"{both}.{part}").alias(new) for part, new in zip(("ids", "decoded"), made, strict=False)]
+    )
     kept = stored(docs.filter(is_long).withColumn(row, F.monotonically_increasing_id()), "long-texts")
     found = (
         kept.select(F.col(row).alias("row"), text.alias("text"))
@@ -200,9 +211,9 @@ def encode(
     found_ids = spare_name([*docs.columns, row], "_found")
     long = (
         kept.join(found.select(F.col("row").alias(row), F.col("found").alias(found_ids)), row, "left")
-        .withColumn(ids_col, F.coalesce(found_ids, F.array().cast("array<int>")))
+        .select(*columns, F.coalesce(found_ids, F.array().cast("array<int>")).alias(ids_col))
     )
-    return short.select(*columns, ids_col).unionByName(long.select(*columns, ids_col))
+    return short.unionByName(decode(long, tokenizer_path, ids_col, decoded_col) if decoded_col else long)
 
 
 #: Kinds of rows of a long text: whole pre-tokens, a part of a long one, the last part of it.
@@ -239,27 +250,39 @@ def decode(
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = pre_tokenizer(tokenizer_path)
-        tokenizer = own.tokenizer
-        strings = {number: token for token, number in tokenizer.get_vocab(True).items()}
-        names = np.array([strings.get(number, "") for number in range(max(strings, default=-1) + 1)], dtype=object)
-        there = np.array([number in strings for number in range(len(names))])
-
-        def text_of_ids(ids: np.ndarray) -> str:
-            ids = ids[(ids >= 0) & (ids < len(names))]
-            ids = ids[there[ids]]
-            if own.spec.get("decoder") is None:  # then the library puts a blank between the tokens' strings
-                return " ".join(names[ids].tolist())
-            return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
-
-        for batch in batches:
-            yield pa.concat_arrays([pa.array([], pa.string())] + [
-                pa.array([text_of_ids(ids) for ids in _lists(part)], pa.string()) for part in parts(batch)
-            ])
+        back = Decoder(pre_tokenizer(tokenizer_path))
+        for part in parts_of(batches):
+            yield back.texts(part)
 
     return rows.withColumn(text_col, decoded(F.col(ids_col)))
 
 
+class Decoder:
+    """Texts of ids by one tokenizer file."""
+
+    def __init__(self, base: PreTokenizer) -> None:
+        self.tokenizer = base.tokenizer
+        strings = {number: token for token, number in base.tokenizer.get_vocab(True).items()}
+        size = max(strings, default=-1) + 1
+        self.names = np.array([strings.get(number, "") for number in range(size)], dtype=object)
+        self.there = np.array([number in strings for number in range(size)], dtype=bool)
+        self.plain = base.spec.get("decoder") is None  # then the library puts a blank between the tokens' strings
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        return pa.array([self.text(ids) for ids in _lists(lists)], pa.string())
+
+    def text(self, ids: np.ndarray) -> str:
+        ids = ids[(ids >= 0) & (ids < len(self.names))]
+        ids = ids[self.there[ids]]
+        if self.plain:
+            return " ".join(self.names[ids].tolist())
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def _both(ids: pa.ListArray, back: Decoder | None) -> pa.Array:
+    return pa.StructArray.from_arrays([ids, back.texts(ids) if back else pa.nulls(len(ids), pa.string())], ["ids", "decoded"])
+
+
 def _lists(batch: pa.ListArray) -> Iterator[np.ndarray]:
     """The ids of each row; none for a null row."""
     ids = batch.values.to_numpy(zero_copy_only=False)

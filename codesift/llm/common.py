@@ -61,6 +61,13 @@ def parts(batch, rows: int = 256) -> Iterator:
         yield batch.slice(first, rows)
 
 
+def parts_of(batches: Iterator) -> Iterator:
+    """The parts of all batches; at the end Arrow gives back what it holds, as a worker goes on to other tasks."""
+    for batch in batches:
+        yield from parts(batch)
+    pa.default_memory_pool().release_unused()
+
+
 def spare_name(columns: list[str], name: str) -> str:
     """A column name that ``columns`` don't have, whatever their case."""
     taken = {column.lower() for column in columns}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import in_batches, stored
+from codesift.llm.common import in_batches, parts_of, stored
 from codesift.llm.words import PUNCTUATION, words_of
 
 #: Hashed terms.
@@ -42,7 +42,7 @@ ANSWER_SHARE = 0.25
 #: Items that executors hold at a time.
 ITEMS = 20_000
 #: Characters of text handled at a time.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 def normal_words(texts: list[str | None]):
@@ -59,8 +59,8 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros(TERMS, dtype=np.int64), 0
-        for batch in batches:
-            texts = [text or "" for text in batch.column(0).to_pylist()]
+        for part in parts_of(batches):
+            texts = [text or "" for text in part.column(0).to_pylist()]
             rows += len(texts)
             for first, end in in_batches(texts, BATCH_CHARS):
                 words = normal_words(texts[first:end])
@@ -328,8 +328,8 @@ def _searched(kind: str, space, items):
         searcher = Searcher(space.value, items.value)
         ids = items.value.ids.tolist()
         found = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64())]))
-        for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
+        for part in parts_of(batches):
+            texts = [text or "" for text in part.to_pylist()]
             hits = []
             for first, end in in_batches(texts, BATCH_CHARS):
                 hits.extend(searcher.search(texts[first:end]))

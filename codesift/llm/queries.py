@@ -50,8 +50,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return decoded.select(
+    return bpe.encode(docs, path, decoded_col="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         sha256_text(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256_text(F.col("decoded")).alias("decoded_sha256"),

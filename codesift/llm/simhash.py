@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import stored
+from codesift.llm.common import parts_of, stored
 from codesift.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -65,8 +65,8 @@ def fingerprint(text_col: str = "text", words: int = SHINGLE_WORDS, seed: int =
 
     @F.arrow_udf("long")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            values = np.array([fingerprint_of(text, words, seed) for text in batch.to_pylist()], dtype=np.uint64)
+        for part in parts_of(batches):
+            values = np.array([fingerprint_of(text, words, seed) for text in part.to_pylist()], dtype=np.uint64)
             yield pa.array(values.view(np.int64))
 
     return made(F.col(text_col))

@@ -19,12 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import bitmap, in_batches, in_bitmap, parts, stored, text_of
+from codesift.llm.common import bitmap, in_batches, in_bitmap, parts, parts_of, stored, text_of
 from codesift.llm.fm_index import FMIndex, earliest_owners
 from codesift.llm.words import mixed, power_tables, words_of
 
@@ -117,7 +116,7 @@ def removed_intervals(
     )
 
     def batches_of(batches: Iterator[pa.RecordBatch], hot_map: bytes | None = None):
-        for batch in (part for whole in batches for part in parts(whole)):
+        for batch in parts_of(batches):
             doc, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             strings = batch.column(2).to_pylist()
             for first, end in in_batches(strings, BATCH_CHARS):
@@ -188,16 +187,21 @@ def removed_intervals(
                 ], ["shard", "run", "doc", "words"],
             )
 
-    def indexed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["run", "doc"]).drop_duplicates("run")
-        sequences = [np.asarray(words).view(np.uint64) for words in rows["words"]]
-        owners = rows["doc"].to_numpy()
-        found = earliest_owners(FMIndex(sequences, owners), sequences, window)
-        return pd.DataFrame({"run": rows["run"].to_numpy(), "owners": found})
+    def indexed(rows: pa.Table) -> pa.Table:
+        run, doc = (rows.column(name).to_numpy() for name in ("run", "doc"))
+        order = np.lexsort((doc, run))
+        order = order[np.concatenate([[True], run[order][1:] != run[order][:-1]])]
+        words, offsets = _flat(rows.column("words").combine_chunks())
+        words = words.view(np.uint64)
+        sequences = [words[offsets[k] : offsets[k + 1]] for k in order]
+        found = earliest_owners(FMIndex(sequences, doc[order]), sequences, window)
+        sizes = np.concatenate([[0], np.cumsum([len(owners) for owners in found])]).astype(np.int32)
+        owners = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found)))
+        return pa.Table.from_arrays([pa.array(run[order]), owners], ["run", "owners"])
 
     earliest = (
         texts.mapInArrow(worded, "shard int, run long, doc long, words array<long>")
-        .groupBy("shard").applyInPandas(indexed, "run long, owners array<long>")
+        .groupBy("shard").applyInArrow(indexed, "run long, owners array<long>")
     )
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,26 +275,26 @@ def remove_repeats(
     result = "struct<n_words: bigint, n_removed: bigint, kept: string>"
 
     @F.arrow_udf(result)
-    def cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.concat_arrays([
-            _kept_words(text.to_pylist(), own.to_pylist()) for text, own in zip(parts(texts), parts(spans), strict=True)
-        ] or [_kept_words([], [])])
+    def cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            for text, own in zip(parts(texts), parts(spans), strict=True):
+                yield _kept_words(text.to_pylist(), own.to_pylist())
 
     @F.arrow_udf(result)
-    def untouched(texts: pa.Array, places: pa.Array) -> pa.Array:
+    def untouched(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         """Null for texts that may have intervals."""
-        made = [_kept_words([], [])]
-        for text, place in zip(parts(texts), parts(places), strict=True):
-            left_out = in_bitmap(concerned.value, place.to_numpy(zero_copy_only=False)).tolist()
-            strings = [None if out else own for own, out in zip(text.to_pylist(), left_out, strict=True)]
-            made.append(_kept_words(strings, [None] * len(strings)))
-        return pa.concat_arrays(made)
+        for texts, places in batches:
+            for text, place in zip(parts(texts), parts(places), strict=True):
+                left_out = in_bitmap(concerned.value, place.to_numpy(zero_copy_only=False)).tolist()
+                strings = [None if out else own for own, out in zip(text.to_pylist(), left_out, strict=True)]
+                yield _kept_words(strings, [None] * len(strings))
 
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"),
         text_of(text_col).alias("_text"),
     )
-    whole = rows.select("_id", untouched(F.col("_text"), place).alias("r")).filter("r IS NOT NULL")
+    once = untouched.asNondeterministic()  # else the filter and the result would each compute it
+    whole = rows.select("_id", once(F.col("_text"), place).alias("r")).filter("r IS NOT NULL")
     cut = rows.filter(has_intervals(place)).join(intervals, ["doc", "text_key"], "left").select(
         "_id", cleaned("_text", "intervals").alias("r")
     )

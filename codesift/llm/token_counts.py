@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import parts, stored, text_of
+from codesift.llm.common import parts_of, stored, text_of
 from codesift.llm.pretokens import pre_tokenizer
 
 #: Entries of the broadcast part of the dictionary, and the longest one in characters.
@@ -32,13 +32,12 @@ def dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pre_tokenizer(tokenizer_path).split
         held: Counter[str] = Counter()
-        for batch in batches:
-            for part in parts(batch.column(0)):
-                for text in part.to_pylist():
-                    held.update(split(text))
-                if len(held) > HELD:
-                    yield _counts(held)
-                    held = Counter()
+        for part in parts_of(batches):
+            for text in part.column(0).to_pylist():
+                held.update(split(text))
+            if len(held) > HELD:
+                yield _counts(held)
+                held = Counter()
         yield _counts(held)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +83,9 @@ def count_tokens(
     @F.arrow_udf("struct<known: bigint, tokens: array<string>, numbers: array<int>>")
     def frequencies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         split, known = pre_tokenizer(tokenizer_path).split, shared.value
-        for batch in batches:
+        for part in parts_of(batches):
             totals, tokens, numbers = [], [], []
-            for text in batch.to_pylist():
+            for text in part.to_pylist():
                 total, rest, times = 0, [], []
                 for token, n in Counter(split(text)).items():
                     size = known.get(token)

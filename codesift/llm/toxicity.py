@@ -20,11 +20,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.common import parts_of
+
 #: Labelled rows that are learned from, at most. Fitting a classifier on a bounded sample is allowed; scoring reads all.
 LEARN_ROWS = 24_000
 #: Stems tried as insults: first letters of a word, and words as they are (marked by a final dollar).
@@ -148,6 +149,12 @@ class ToxicityModel:
 FEATURES = ("matched clauses", "log matched", "evidence", "strongest", "rate", "target", "negated", "reported", "threat")
 
 
+#: Class and evidence of words without a learned stem.
+_PLAIN = {kind: (kind, 1.0 if kind in (INSULT, THREAT) else 0.0) for kind in CLASSES}
+#: Words that a task remembers.
+REMEMBERED = 1 << 17
+
+
 class Scorer:
     """Reads texts with the composed machine; remembers the classes of words it has met."""
 
@@ -162,8 +169,7 @@ class Scorer:
         evidence = max((self.stems.get(stem, 0.0) for stem in stems_of(word)), default=0.0)
         if evidence > 0:
             return INSULT, evidence
-        kind = self.classes.get(word, OTHER)
-        return kind, 1.0 if kind in (INSULT, THREAT) else 0.0
+        return _PLAIN[self.classes.get(word, OTHER)]
 
     def features(self, text: str | None) -> list[float]:
         """``FEATURES`` of a text; all zero without a match, so also for null and empty texts."""
@@ -173,7 +179,7 @@ class Scorer:
         lowered = text.lower()
         words = WORD.findall(lowered)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         hit = False
         for word in set(words):
@@ -239,8 +245,8 @@ def learn(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in parts_of(batches):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall(text.lower()))
                 held[toxic].update({stem for word in words for stem in stems_of(word)})
                 held[toxic][""] += 1  # rows
@@ -271,13 +277,15 @@ def learn(
     vocabulary = {row["stem"]: float(row["odds"]) for row in stems}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            values = [scorer.features(text) for text in batch["_text"]]
-            yield pd.DataFrame({"toxic": batch["_toxic"], "values": values})
+        for part in parts_of(batches):
+            values = [scorer.features(text) for text in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1), pa.array(values, pa.list_(pa.float64()))], ["toxic", "values"]
+            )
 
-    fitted = texts.filter("_part >= 3").select("_text", "_toxic").mapInPandas(measured, "toxic boolean, values array<double>")
+    fitted = texts.filter("_part >= 3").select("_text", "_toxic").mapInArrow(measured, "toxic boolean, values array<double>")
     sample = fitted.groupBy("toxic", "values").count().collect()  # at most two fifths of ``rows`` short rows
     return ToxicityModel(vocabulary, FEATURES, fit(
         np.array([row["values"] for row in sample], dtype=float).reshape(len(sample), len(FEATURES)),
@@ -321,10 +329,10 @@ def score(rows: DataFrame, model: ToxicityModel, text_col: str = "text") -> Colu
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value.stems)
-        for batch in batches:
-            yield pd.Series(score_texts(batch, scorer, shared.value))
+        for part in parts_of(batches):
+            yield pa.array(score_texts(part.to_pylist(), scorer, shared.value))
 
     return scored(F.col(text_col))

@@ -50,8 +50,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, their number and the text that the ids decode to."""
     path = tokenizer_file(TOKENIZER)
     ids, number, decoded = (spare_name(docs.columns, name) for name in ("token_ids", "n_tokens", "decoded"))
-    encoded = bpe.encode(docs, path, ids_col=ids)
-    return bpe.decode(encoded, path, ids_col=ids, text_col=decoded).withColumn(number, F.size(ids).cast("long"))
+    return bpe.encode(docs, path, ids_col=ids, decoded_col=decoded).withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [
