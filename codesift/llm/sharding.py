@@ -107,7 +107,8 @@ def minimax_cuts(ends: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> l
         spans = known.spans(ranges)
         if not spans:
             return known.cuts(surely, shards, False)
-        width = max(1, -(-sum(high - low + 1 for low, high in spans) // cells))
+        widest = max(high - low + 1 for low, high in spans)
+        width = max(1, -(-widest // max(2, cells // len(spans))))  # the widest is divided, so this ends
         known = known.refined(spans, _cells(ends, width, spans))
 
 
