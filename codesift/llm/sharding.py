@@ -97,7 +97,8 @@ def minimax_cuts(ends: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> l
     total = ends.agg(F.max("end")).first()[0]
     if not total:
         return [0] * shards
-    known = Ends(_cells(ends, -(-total // cells), []))
+    width = -(-total // cells)
+    known = Ends(_cells(ends, width, []))
     while True:
         surely, perhaps = known.least_capacity(shards, False), known.least_capacity(shards, True)
         if perhaps == surely and known.cuts(surely, shards, True) == known.cuts(surely, shards, False):
@@ -108,7 +109,7 @@ def minimax_cuts(ends: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> l
         if not spans:
             return known.cuts(surely, shards, False)
         widest = max(high - low + 1 for low, high in spans)
-        width = max(1, -(-widest // max(2, cells // len(spans))))  # the widest is divided, so this ends
+        width = max(1, min(width // 2, -(-widest // max(2, cells // len(spans)))))  # ever finer, so this ends
         known = known.refined(spans, _cells(ends, width, spans))
 
 
