@@ -27,8 +27,8 @@ from codesift.functions.text import (
 
 BLOCK_LINES = 256
 
-# White space as a hint sees it: ASCII, or anything outside ASCII.
-GAP = r"(?:\s*|\s*[^\x00-\x7F]\s*)"
+# White space as a hint sees it: any number of ASCII blanks and of characters outside ASCII.
+GAP = r"(?:\s|[^\x00-\x7F])*"
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,12 @@ def load_repo_batches(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The batch number of a row is the place of its file in ``paths``.
     """
-    names = F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths])
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    rows = (
-        spark.read.schema(schemas.REPO_BATCH_FILE)
-        .option("multiLine", "true")
-        .json(paths)
-        .select(F.array_position(names, name).cast("int").alias("batch_no"), "results")
-    )
+    files = [  # one scan per file, so that equal base names in different folders stay apart
+        spark.read.schema(schemas.REPO_BATCH_FILE).option("multiLine", "true").json(path)
+        .select(F.lit(number).alias("batch_no"), "results")
+        for number, path in enumerate(paths, start=1)
+    ]
+    rows = reduce(DataFrame.unionByName, files)
     return rows.select(
         "batch_no", F.posexplode("results").alias("position", "result")
     ).select("batch_no", "position", "result.owner", "result.repo")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ def _fold(limit: int, width: int):
     ) -> Iterator[pd.DataFrame]:
         waiting, recorded = state.get if state.exists else ([], [])
         waiting = [(int(w[0]), int(w[1])) for w in waiting]
-        recorded = [int(r) for r in recorded]
+        recorded = deque(int(r) for r in recorded)
         for batch in batches:
             waiting += list(zip(batch["micros"].tolist(), batch["request_id"].tolist()))
         # Requests at or behind the watermark can no longer be preceded by others.
@@ -29,14 +30,15 @@ def _fold(limit: int, width: int):
         waiting = [w for w in waiting if w[0] > closed]
         decisions = []
         for now, request_id in due:
-            recorded = [r for r in recorded if now - r < width]
+            while recorded and now - recorded[0] >= width:
+                recorded.popleft()
             accepted = len(recorded) < limit
             if accepted:
                 recorded.append(now)
             decisions.append((key[0], now, request_id, accepted))
         if waiting or recorded:
-            state.update((waiting, recorded))
-            next_micros = min(w[0] for w in waiting) if waiting else max(recorded) + width
+            state.update((waiting, list(recorded)))
+            next_micros = min(w[0] for w in waiting) if waiting else recorded[-1] + width
             state.setTimeoutTimestamp(max(next_micros, closed) // 1000 + 1)
         else:
             state.remove()
@@ -71,4 +73,8 @@ def rate_limit_stream(
             GroupStateTimeout.EventTimeTimeout,
         )
     )
-    return decided.select("key", F.timestamp_micros("micros").alias("ts"), "request_id", "accepted")
+    limited = decided.select("key", F.timestamp_micros("micros").alias("ts"), "request_id", "accepted")
+    free = requests.filter(F.col("key").isNull()).select(
+        "key", F.col("ts"), "request_id", F.lit(True).alias("accepted")
+    )
+    return limited.unionByName(free)
