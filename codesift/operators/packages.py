@@ -165,9 +165,13 @@ def drop_local_packages(imports: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def unknown_packages(files: DataFrame, registry: DataFrame, listing: DataFrame) -> DataFrame:
+def scanned_imports(files: DataFrame) -> DataFrame:
+    """The imports that P001 looks at: those of migrations are left out."""
+    return import_lines(files.filter(~_is_migration(F.col("path"))))
+
+
+def unknown_imports(imports: DataFrame, registry: DataFrame, listing: DataFrame) -> DataFrame:
     """P001 findings. The registry filter comes first: it leaves few rows for the other joins."""
-    imports = import_lines(files.filter(~_is_migration(F.col("path"))))
     missing = drop_aliased(missing_imports(imports, registry))
     first = distinct_imports_per_file(drop_local_packages(missing, listing))
     return first.select(
@@ -178,3 +182,8 @@ def unknown_packages(files: DataFrame, registry: DataFrame, listing: DataFrame)
         F.col("package").alias("evidence"),
         "line",
     )
+
+
+def unknown_packages(files: DataFrame, registry: DataFrame, listing: DataFrame) -> DataFrame:
+    """P001 findings of files."""
+    return unknown_imports(scanned_imports(files), registry, listing)

@@ -33,7 +33,12 @@ def drop_access_findings_without_auth(findings: DataFrame, files: DataFrame) ->
     A left join on a flag table with one row per repository: small tables are
     broadcast by size, large ones shuffle with the skew join splitting hot repositories.
     """
-    auth = repos_with_auth(files).withColumn("_auth", F.lit(True))
+    return drop_access_findings_outside(findings, repos_with_auth(files))
+
+
+def drop_access_findings_outside(findings: DataFrame, auth_repos: DataFrame) -> DataFrame:
+    """Drop A001 in repositories that ``auth_repos`` (one row each) does not name."""
+    auth = auth_repos.withColumn("_auth", F.lit(True))
     return (
         findings.join(auth, "repo", "left")
         .filter((F.col("rule_id") != "A001") | F.col("_auth").isNotNull())

@@ -14,8 +14,12 @@ def scan_log_rollup_stream(
     return scan_log_rollup(scan_log.withWatermark("ts", lateness), bucket)
 
 
-def first_answers_stream(registry: DataFrame, max_age: str = "24 hours") -> DataFrame:
-    """One registry answer per package within the watermark; repeats are dropped."""
+def answers_stream(registry: DataFrame, max_age: str = "24 hours") -> DataFrame:
+    """Registry answers without exact repeats within the watermark.
+
+    A renewed answer has its own ``checked_at`` and goes through, so that ``fresh_registry`` over what was written
+    sees the newest one and its age. State is bounded by the watermark.
+    """
     return registry.withWatermark("checked_at", max_age).dropDuplicatesWithinWatermark(
-        ["ecosystem", "name", "exists"]
+        ["ecosystem", "name", "exists", "checked_at"]
     )

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from codesift import schemas
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import detect
-from codesift.operators.repo_rules import first_access_finding_per_file, repos_with_auth
-from codesift.sources.sinks import export_findings
+from codesift.operators.packages import scanned_imports, unknown_imports
+from codesift.operators.repo_rules import (
+    drop_access_findings_outside,
+    first_access_finding_per_file,
+    lower_django_routes,
+    repos_with_auth,
+)
+
+RAW = ["repo", "path", "language", "line_no", "rule_id", "severity", "variant", "evidence", "line"]
+_FINDINGS = (
+    "repo STRING, path STRING, language STRING, line_no INT, rule_id STRING, severity STRING, variant STRING, "
+    "evidence STRING, line STRING"
+)
+_IMPORTS = (
+    "repo STRING, path STRING, language STRING, ecosystem STRING, package STRING, line_no INT, line STRING"
+)
 
 
 def findings_stream(files: DataFrame) -> DataFrame:
@@ -21,29 +36,44 @@ def findings_stream(files: DataFrame) -> DataFrame:
     return detect(files, list(DETECTORS.values()))
 
 
-def scan_stream(files: DataFrame, findings_path: str, auth_path: str) -> DataStreamWriter:
-    """Append each batch's findings, and the repositories in which it saw an auth word.
+def scan_stream(files: DataFrame, folder: str) -> DataStreamWriter:
+    """Write what each batch shows below ``folder``: findings, imports, paths, repositories with an auth word.
 
-    Whether a repository has access control is only known once all its files have
-    arrived, so access findings are published by ``published_findings`` from both
-    tables. Batches carry their id, which lets a repeated batch be told apart.
+    Auth words, settings modules and local packages of a repository are only known once all its files have arrived, so
+    ``published_findings`` applies the rules that need them. Every batch has its own folder, which a repeated batch
+    writes anew. The batch is kept while its four tables are written, so its files are read once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = attach_metadata(first_access_finding_per_file(findings_stream(batch)))
-        export_findings(found).write.mode("overwrite").parquet(
-            f"{findings_path}/batch={batch_id}"
-        )
-        repos_with_auth(batch).write.mode("overwrite").parquet(f"{auth_path}/batch={batch_id}")
+        kept = batch.persist()
+        tables = {
+            "findings": first_access_finding_per_file(findings_stream(kept).select(*RAW)),
+            "imports": scanned_imports(kept),
+            "paths": kept.select("repo", "path", F.lit(False).alias("is_dir")),
+            "auth": repos_with_auth(kept),
+        }
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        kept.unpersist()
 
     return files.writeStream.foreachBatch(write)
 
 
-def published_findings(findings: DataFrame, auth: DataFrame) -> DataFrame:
-    """Stored findings without access findings of repositories that never showed an auth word."""
-    seen = auth.select("repo").distinct().withColumn("_auth", F.lit(True))
-    return (
-        findings.join(seen, "repo", "left")
-        .filter((F.col("rule_id") != "A001") | F.col("_auth").isNotNull())
-        .drop("_auth", "batch")
-    )
+def published_findings(
+    spark: SparkSession, folder: str, registry: DataFrame | None = None, listing: DataFrame | None = None
+) -> DataFrame:
+    """What ``scan`` finds in the files that have landed so far under the directory profile's repository rules.
+
+    Without a listing the paths that have landed stand for it; without a registry packages are not checked.
+    """
+
+    def stored(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}/*")
+
+    paths = stored("paths", schemas.REPO_LISTING) if listing is None else listing
+    auth = stored("auth", "repo STRING").distinct()
+    found = lower_django_routes(stored("findings", _FINDINGS), paths)
+    found = drop_access_findings_outside(found, auth)
+    if registry is not None:
+        found = found.unionByName(unknown_imports(stored("imports", _IMPORTS), registry, paths))
+    return attach_metadata(found)

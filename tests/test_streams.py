@@ -5,13 +5,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from codesift.functions import paths
-from codesift.operators.catalog import attach_metadata
-from codesift.operators.repo_rules import drop_access_findings_without_auth, first_access_finding_per_file
-from codesift.operators.engine import detect
 from codesift.operators.detectors import DETECTORS
+from codesift.operators.engine import detect
+from codesift.operators.packages import fresh_registry
+from codesift.plans.scan import scan
 from codesift.sources.cases import cases
-from codesift.sources.files import file_table_stream, source_files_stream
-from codesift.streaming.history import first_answers_stream, scan_log_rollup_stream
+from codesift.sources.files import PROFILES, file_table_stream, source_files_stream
+from codesift.streaming.history import answers_stream, scan_log_rollup_stream
 from codesift.streaming.scan import published_findings, scan_stream
 
 
@@ -28,43 +28,74 @@ def _files(spark):
 
 
 def test_scan_stream_publishes_the_batch_findings(spark, tmp_path):
-    folder, found, auth = (str(tmp_path / n) for n in ("in", "found", "auth"))
-    files = _files(spark)
-    files.repartition(3).write.parquet(folder)
-    stream = file_table_stream(spark, folder, max_files=1)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    extra = [
+        ("dj", "app/settings.py", "DEBUG = True"),
+        ("dj", "app/views.py", "import gone\nimport app\nclass V(View):\n    def get(self, request):\n"
+         "        return Order.objects.filter(id=1)\n"),
+        ("dj", "auth.py", "@login_required\ndef f():\n    pass\n"),
+        ("dj", "app/migrations/m.py", "import gone\n"), ("dj", "setup.py", ""),
+    ]
+    more = spark.createDataFrame(extra, "repo string, path string, code string").select(
+        "repo", "path", paths.language_of(F.col("path")).alias("language"),
+        F.length("code").cast("long").alias("size_bytes"), "code",
+    )
+    files = _files(spark).unionByName(more)
+    registry = spark.createDataFrame(
+        [("pypi", name, False, datetime(2024, 1, 1)) for name in ("gone", "app")],
+        "ecosystem string, name string, exists boolean, checked_at timestamp",
+    )
+    files.repartition(3).write.parquet(source)
+    stream = file_table_stream(spark, source, max_files=1)
     query = (
-        scan_stream(stream, found, auth)
+        scan_stream(stream, folder)
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(180)
-    got = published_findings(spark.read.parquet(found), spark.read.parquet(auth))
-    whole = attach_metadata(
-        drop_access_findings_without_auth(
-            first_access_finding_per_file(detect(files, list(DETECTORS.values()))), files
-        )
-    )
-    keys = ["repo", "rule_id", "severity"]
-    left = sorted(tuple(r) for r in got.select("file", "line", *keys).collect())
-    right = sorted(tuple(r) for r in whole.select("path", "line_no", *keys).collect())
+    query.awaitTermination(240)
+    got = published_findings(spark, folder, registry)
+    whole = scan(files, PROFILES["directory"], registry=registry)
+    assert sorted(got.columns) == sorted(whole.columns)
+    kept = [c for c in whole.columns if c != "evidence"]
+    left, right = (sorted(map(str, frame.select(*kept).collect())) for frame in (got, whole))
     assert left == right and len(left) > 100
+    rules = {(r["path"], r["rule_id"], r["severity"]) for r in got.filter("repo = 'dj'").collect()}
+    assert ("app/views.py", "A001", "low") in rules and ("app/views.py", "P001", "high") in rules
+    assert not any(path == "app/migrations/m.py" for path, _, _ in rules)
 
 
 def test_binary_files_stream(spark, tmp_path):
     root = tmp_path / "tree"
     (root / "one" / "src").mkdir(parents=True)
     (root / "one" / "src" / "a.py").write_bytes(b"s.verify = False\r\n")
-    stream = source_files_stream(spark, str(root))
+    (root / "one" / ".github" / "_x").mkdir(parents=True)
+    (root / "one" / ".github" / "_x" / "__init__.PY").write_bytes(b"\ns.verify = False\n")
+    (root / "one" / ".github" / "_x" / "notes.md").write_bytes(b"s.verify = False\n")
+    stream = source_files_stream(spark, str(root), settle_seconds=0)
     query = (
         detect(stream, [DETECTORS["tls_disabled"]])
         .writeStream.format("memory").queryName("tls_found").trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
     rows = spark.table("tls_found").collect()
-    assert [(r["repo"], r["path"], r["line_no"], r["rule_id"]) for r in rows] == [
-        ("one", "src/a.py", 1, "C003")
+    assert sorted((r["repo"], r["path"], r["line_no"], r["rule_id"]) for r in rows) == [
+        ("one", ".github/_x/__init__.PY", 2, "C003"), ("one", "src/a.py", 1, "C003"),
     ]
 
 
+def test_binary_files_stream_goes_on(spark, tmp_path):
+    """A restarted stream reads what landed since, once."""
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    for name in ("a.py", "_b.py"):
+        (root / "one").mkdir(parents=True, exist_ok=True)
+        (root / "one" / name).write_bytes(b"x = 1\n")
+        query = (
+            source_files_stream(spark, str(root), settle_seconds=0).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["_b.py", "a.py"]
+
+
 def test_scan_log_rollup_stream(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(f"r{i}", i, 10, start + timedelta(minutes=7 * i)) for i in range(60)]
@@ -89,18 +120,20 @@ def test_scan_log_rollup_stream(spark, tmp_path):
     assert got == expected
 
 
-def test_repeated_registry_answers_are_dropped(spark, tmp_path):
+def test_registry_answers_are_renewed(spark, tmp_path):
     start = datetime(2024, 1, 1)
-    rows = [("npm", "left", True, start), ("npm", "left", True, start + timedelta(hours=1)),
-            ("npm", "left", False, start + timedelta(hours=2)), ("pypi", "left", True, start)]
+    rows = [("npm", "left", True, start), ("npm", "left", True, start),
+            ("npm", "left", True, start + timedelta(hours=20)), ("pypi", "left", True, start)]
     schema = "ecosystem string, name string, exists boolean, checked_at timestamp"
     folder = str(tmp_path / "registry")
     spark.createDataFrame(rows, schema).write.parquet(folder)
     stream = spark.readStream.schema(schema).parquet(folder)
     query = (
-        first_answers_stream(stream).writeStream.format("memory").queryName("answers")
+        answers_stream(stream).writeStream.format("memory").queryName("answers")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
-    got = sorted((r["ecosystem"], r["name"], r["exists"]) for r in spark.table("answers").collect())
-    assert got == [("npm", "left", False), ("npm", "left", True), ("pypi", "left", True)]
+    assert spark.table("answers").count() == 3
+    now = F.lit(start + timedelta(hours=30))
+    fresh = fresh_registry(spark.table("answers"), now).collect()
+    assert [(r["ecosystem"], r["name"]) for r in fresh] == [("npm", "left")]
