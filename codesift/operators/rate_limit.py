@@ -5,15 +5,16 @@ are younger than the window; rejected requests are not recorded. The decision
 depends on earlier decisions, so it is a fold in time order, but only within a
 segment: after a silence as long as the window nothing is remembered.
 
-Segments of usual size are folded side by side, each streaming through a task.
-A segment too large for one task is walked one window at a time: within a window
-at most ``limit`` requests can be accepted, and they are among the first few
-after the known times at which a place becomes free, so every task only passes
-on those few.
+Segments are folded side by side, each streaming through a task. Time is cut into
+ranges that hold a bounded number of a segment's requests, and a range starts from
+what was accepted within the window before it: at most ``limit`` rows per key,
+which folded again are accepted again. So a hot key never meets in one task as a
+whole, and there are as many jobs as such ranges, however many windows there are.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,10 +26,8 @@ from pyspark.sql import functions as F
 from codesift.functions import patterns as P
 from codesift.session import new_table_path
 
-HOT_REQUESTS = 100_000_000
+RANGE_REQUESTS = 100_000_000
 _SALTS = 1024
-_BYTES_PER_REQUEST = 1
-_FLUSH_ROWS = 200_000
 
 
 def _micros() -> Column:
@@ -95,148 +94,90 @@ def _accept(limit: int, width: int):
                         recorded.clear()
                     fold(micros[start:stop], recorded, decided[start:stop])
                 accepted[keyed] = decided
-            yield batch.assign(accepted=accepted).drop(columns=["segment", "micros"])
+            yield batch.assign(accepted=accepted)
 
     return decide
 
 
-def _fold_segments(placed: DataFrame, schema: str, limit: int, width: int) -> DataFrame:
+def _fold_segments(placed: DataFrame, limit: int, width: int) -> DataFrame:
+    types = {name: placed.schema[name].dataType.simpleString() for name in placed.columns}
+    schema = ", ".join(f"{name} {kind}" for name, kind in types.items()) + ", accepted boolean"
     # Requests without a key need no order: a salt spreads them over the tasks.
     salt = F.when(F.col("key").isNull(), F.pmod(F.hash("request_id"), F.lit(_SALTS)))
     ordered = (
-        placed.select("key", "ts", "request_id", "segment", _micros().alias("micros"))
-        .repartition("key", "segment", salt)
+        placed.repartition("key", "segment", salt)
         .sortWithinPartitions("key", "segment", "micros", "request_id")
     )
     return ordered.mapInPandas(_accept(limit, width), schema)
 
 
-def hot_cells(segments: DataFrame, hot_requests: int) -> DataFrame:
-    """Cells of the segments that hold more requests than one task should see."""
-    total = F.sum("requests").over(Window.partitionBy("key", "segment"))
-    return (
-        segments.withColumn("total", total)
-        .filter(F.col("total") > hot_requests)
-        .select("key", "cell")
-    )
-
+def time_bounds(
+    placed: DataFrame, segments: DataFrame, width: int, range_requests: int
+) -> list[int]:
+    """Times (micros) that cut the requests so that no segment has many more than ``range_requests`` between two.
 
-def _first_after(window: DataFrame, free: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` requests at or after each free time.
-
-    The rank limit runs before the shuffle, so each task sends ``limit`` rows per
-    place. ``free`` holds at most ``limit + 1`` rows for each hot key.
+    Only segments that hold more than that are looked at, by counts per key and 256th of a window: a range ends where the
+    busiest key of each such cell has used it up. The list has about one entry per ``range_requests`` requests.
     """
-    in_order = Window.partitionBy("key", "place").orderBy("micros", "request_id")
-    return (
-        window.join(F.broadcast(free), "key")
-        .filter(F.col("micros") >= F.col("free_from"))
-        .withColumn("rank", F.row_number().over(in_order))
-        .filter(F.col("rank") <= limit)
-        .select("key", "micros", "request_id")
-        .distinct()
+    large = (
+        segments.groupBy("key", "segment").agg(F.sum("requests").alias("total"))
+        .filter(F.col("total") > range_requests).select("key", "segment")
     )
-
-
-def _walk_hot_keys(
-    requests: DataFrame, cells: list[tuple], limit: int, width: int
-) -> DataFrame:
-    """(key, request_id) accepted in the given (key, cell) pairs, window by window.
-
-    Each step reads one window of the hot keys in parallel and brings at most
-    ``limit * (limit + 1)`` requests per hot key to the driver; there are fewer hot
-    keys than requests divided by the hot size. Accepted requests go to a table.
-    """
-    spark = requests.sparkSession
-    key_type = requests.schema["key"].dataType.simpleString()
-    id_type = requests.schema["request_id"].dataType.simpleString()
-    ts_type = requests.schema["ts"].dataType.simpleString()
-    by_cell: dict[int, list] = {}
-    for key, cell in cells:
-        by_cell.setdefault(cell, []).append(key)
-
-    table = new_table_path(spark, "accepted")
-    recorded: dict = {}
-    rows: list[tuple] = []
-
-    def flush() -> None:
-        frame = spark.createDataFrame(rows, f"key {key_type}, request_id {id_type}")
-        frame.write.mode("append").parquet(table)
-        rows.clear()
-
-    for cell, keys in sorted(by_cell.items()):
-        start = cell * width
-        free = []
-        for key in keys:
-            # Places of requests that are still young at the start become free later.
-            held = [t for t in recorded.get(key, []) if start - t < width]
-            recorded[key] = held
-            times = [start] * (len(held) < limit) + [t + width for t in held]
-            free += [(key, place, time) for place, time in enumerate(times)]
-        bounds = [F.timestamp_micros(F.lit(t)).cast(ts_type) for t in (start, start + width)]
-        window = requests.filter(
-            (F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1])
-        ).withColumn("micros", _micros())
-        places = spark.createDataFrame(free, f"key {key_type}, place int, free_from long")
-        nearest: dict = {}
-        for key, micros, request_id in _first_after(window, places, limit).collect():
-            nearest.setdefault(key, []).append((micros, request_id))
-        for key in keys:
-            held = recorded[key]
-            times = sorted([start] * (limit - len(held)) + [t + width for t in held])
-            queue = iter(sorted(nearest.get(key, [])))
-            for time in times:
-                request = next((r for r in queue if r[0] >= time), None)
-                if request is None:
-                    break
-                held.append(request[0])
-                rows.append((key, request[1]))
-        if len(rows) >= _FLUSH_ROWS:
-            flush()
-    flush()
-    return spark.read.parquet(table)
-
-
-def _may_be_hot(requests: DataFrame, hot_requests: int) -> bool:
-    """A segment can only be hot if the whole table holds that many (compressed) requests."""
-    size = int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size > hot_requests * _BYTES_PER_REQUEST
+    fine = max(1, width // 256)
+    cells = (
+        placed.join(large, ["key", "segment"], "left_semi")
+        .groupBy("key", F.floor(F.col("micros") / fine).alias("fine")).agg(F.count("*").alias("requests"))
+        .groupBy("fine").agg(F.max("requests").alias("requests"))
+    )
+    total = cells.agg(F.sum("requests")).first()[0] or 0
+    ranges = math.ceil(total / range_requests)
+    if ranges < 2:
+        return []
+    shares = ", ".join(str(place / ranges) for place in range(1, ranges))
+    cuts = cells.agg(F.expr(f"percentile(fine, array({shares}), requests)")).first()[0]
+    return sorted({math.ceil(cut) * fine for cut in cuts})
 
 
 def rate_limit(
     requests: DataFrame,
     limit: int = P.SCAN_LIMIT,
     window_seconds: int = P.SCAN_WINDOW_SECONDS,
-    hot_requests: int = HOT_REQUESTS,
+    range_requests: int = RANGE_REQUESTS,
 ) -> DataFrame:
     """Requests (``key, ts, request_id``) with ``accepted``. A null key is never limited.
 
-    Rows stream through each task in order, so no segment is held as a whole; segments
-    of more than ``hot_requests`` requests never meet in one task at all.
+    Rows stream through each task in order, so no segment is held as a whole. Ranges of time follow each other; what one
+    has accepted within the last window is read by the next from the shared folder. No request passes the driver, and
+    where the cuts lie does not change the result.
     """
     width = window_seconds * 1_000_000
     segments = busy_segments(requests, window_seconds)
-    placed = requests.withColumn("cell", F.floor(_micros() / width)).join(
-        segments.drop("requests"), ["key", "cell"], "left"
-    )
-    types = {name: requests.schema[name].dataType.simpleString() for name in requests.columns}
-    schema = (
-        f"key {types['key']}, ts {types['ts']}, request_id {types['request_id']}, accepted boolean"
+    placed = (
+        requests.withColumn("micros", _micros())
+        .withColumn("cell", F.floor(F.col("micros") / width))
+        .join(segments.drop("requests"), ["key", "cell"], "left")
+        .select("key", "ts", "request_id", "segment", "micros")
     )
-    cells: list[tuple] = []
-    if _may_be_hot(requests, hot_requests):
-        hot = hot_cells(segments, hot_requests)
-        cells = [tuple(row) for row in hot.collect()]
-    if not cells:
-        return _fold_segments(placed, schema, limit, width)
+    kept = ["key", "ts", "request_id", "accepted"]
+    bounds = time_bounds(placed, segments, width, range_requests)
+    if not bounds:
+        return _fold_segments(placed, limit, width).select(*kept)
 
     spark = requests.sparkSession
-    hot = spark.createDataFrame(cells, f"key {types['key']}, cell long")
-    usual = placed.join(hot, ["key", "cell"], "left_anti")
-    accepted = _walk_hot_keys(requests, cells, limit, width).withColumn("accepted", F.lit(True))
-    decided = (
-        placed.join(hot, ["key", "cell"], "left_semi")
-        .join(accepted, ["key", "request_id"], "left")
-        .select("key", "ts", "request_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-    )
-    return _fold_segments(usual, schema, limit, width).unionByName(decided)
+    # In time order, so that every range reads its own files.
+    path = new_table_path(spark, "requests")
+    placed.repartitionByRange("micros", "request_id").sortWithinPartitions("micros").write.parquet(path)
+    timed = spark.read.schema(placed.schema).parquet(path)
+    target = new_table_path(spark, "decided")
+    schema = _fold_segments(timed, limit, width).schema
+    done: list[str] = []
+    for place, (start, stop) in enumerate(zip([None, *bounds], [*bounds, None])):
+        since = F.lit(True) if start is None else F.col("micros") >= start
+        part = timed.filter(since if stop is None else since & (F.col("micros") < stop))
+        if done:
+            young = F.col("accepted") & F.col("key").isNotNull() & (F.col("micros") > start - width)
+            part = part.unionByName(spark.read.schema(schema).parquet(*done).filter(young).drop("accepted"))
+        decided = _fold_segments(part, limit, width).filter(since)
+        done.append(f"{target}/{place}")
+        decided.write.parquet(done[-1])
+    return spark.read.schema(schema).parquet(*done).select(*kept)

@@ -506,11 +506,11 @@ def rate_limit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk for segments too large for one task, with a low bound for what that is."""
+    """Segments cut into ranges of time, with a low bound for what one task may see of a key."""
     requests = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("key"), "ts", F.col("event_id").alias("request_id")
     )
-    return rate_limit(requests, 20, 5 * DAY, hot_requests=100)
+    return rate_limit(requests, 20, 5 * DAY, range_requests=1000)
 
 
 QUERIES: dict[str, Query] = {

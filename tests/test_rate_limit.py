@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from codesift.operators.rate_limit import busy_segments, hot_cells, rate_limit
+from codesift.operators.rate_limit import busy_segments, rate_limit, time_bounds
 from codesift.streaming.rate_limit import rate_limit_stream
 
 START = datetime(2024, 1, 1)
@@ -44,7 +44,7 @@ def test_batch_is_the_loop(spark, limit, window):
 
 
 @pytest.mark.parametrize("limit,window", [(5, 3600), (1, 600), (3, 1800)])
-def test_hot_segments_are_walked_window_by_window(spark, limit, window):
+def test_hot_segments_are_cut_into_ranges_of_time(spark, limit, window):
     rng = random.Random(limit)
     rows, now = [], START
     for number in range(900):
@@ -55,8 +55,10 @@ def test_hot_segments_are_walked_window_by_window(spark, limit, window):
     rows += [("hot", START, 10_000 + i) for i in range(12)]
     rows += [("hot", START + timedelta(seconds=window), 20_000 + i) for i in range(12)]
     frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long").repartition(4)
-    segments = busy_segments(frame, window)
-    assert 0 < hot_cells(segments, 30).count() < segments.count()
+    width = window * 1_000_000
+    placed = frame.withColumn("micros", F.unix_micros("ts")).withColumn("cell", F.floor(F.col("micros") / width)).join(
+        busy_segments(frame, window).drop("requests"), ["key", "cell"])
+    assert len(time_bounds(placed, busy_segments(frame, window), width, 30)) > 3
     got = {r["request_id"]: r["accepted"] for r in rate_limit(frame, limit, window, 30).collect()}
     assert got == _loop(rows, limit, window)
 
