@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from codesift.functions import patterns as P
 from codesift.functions.taint import has_taint
 from codesift.functions.text import is_comment, matches
+from codesift.operators.catalog import RuleText, add_rule
 from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import Detector, Line, detect, report
 from codesift.operators.reports import rule_evaluation
 
-MAX_WINDOW = 200
-MAX_RULES = 1000
-
 
 @dataclass(frozen=True)
 class RuleSpec:
@@ -39,17 +37,14 @@ class RuleSpec:
 def rule_specs(table: DataFrame) -> list[RuleSpec]:
     """Rules from a table with a column per field of ``RuleSpec`` (nulls take the default).
 
-    A rule table is configuration: more than ``MAX_RULES`` rows are refused.
+    A rule table is configuration: every row becomes part of the plan, so it is read on the driver.
     """
-    rows = table.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table may hold at most {MAX_RULES} rows")
     return [
         RuleSpec(**{
             name: tuple(value) if isinstance(value, list) else value
             for name, value in row.asDict().items() if value is not None
         })
-        for row in rows
+        for row in table.collect()
     ]
 
 
@@ -57,8 +52,8 @@ def detector_of(spec: RuleSpec) -> Detector:
     """Columns for a rule given as data. Without ``words`` every line is tested."""
     if spec.severity not in ("high", "medium", "low"):
         raise ValueError(f"unknown severity {spec.severity!r}")
-    if not (0 <= spec.before <= MAX_WINDOW and 0 <= spec.after <= MAX_WINDOW):
-        raise ValueError(f"windows may reach at most {MAX_WINDOW} lines")
+    if spec.before < 0 or spec.after < 0:
+        raise ValueError("a window cannot end before it begins")
 
     def finding(line: Line) -> Column:
         fires = matches(line.text, spec.trigger) & ~is_comment(line.text, P.COMMENT_COMMON)
@@ -79,11 +74,15 @@ def detector_of(spec: RuleSpec) -> Detector:
     )
 
 
-def register_detector(name: str, detector: Detector | RuleSpec) -> None:
-    """Add a rule to the scan. Existing names are kept as they are."""
+def register_detector(name: str, detector: Detector | RuleSpec, text: RuleText | None = None) -> None:
+    """Add a rule to the scan, with what it says. Existing names are kept as they are.
+
+    Without a text the rule's name is its class and title.
+    """
     if name in DETECTORS:
         raise ValueError(f"a detector named {name!r} exists")
     DETECTORS[name] = detector if isinstance(detector, Detector) else detector_of(detector)
+    add_rule(detector.rule_id, text or RuleText(name, {"": (name, "", "")}))
 
 
 def validate_rule(

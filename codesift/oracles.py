@@ -746,7 +746,7 @@ _RULE_ROWS = ", ".join(
     f"({q(r)}, {s}, {q(c)}, {q(w)}, {q(o)}, {k})" for r, s, c, w, o, k in RULES
 )
 _MESSAGE_ROWS = ", ".join(
-    f"({q(r)}, {q(v)}, {q(t)}, {q(f)})" for r, v, t, _, f in MESSAGES
+    f"({q(r)}, {q(v)}, {q(t)}, {q(d)}, {q(f)})" for r, v, t, d, f in MESSAGES
 )
 _SEV = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
@@ -950,7 +950,7 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
     )
     extra, _ = sql_injection()
     sql["sql_var_lookback"] = with_(
-        [CORPUS, scanned(False), *extra[:3]], "SELECT repo, path, CAST(n AS INTEGER) AS line_no FROM via"
+        [CORPUS, scanned(False), "sqlf AS (SELECT * FROM ln)", *extra[1:3]], "SELECT repo, path, CAST(n AS INTEGER) AS line_no FROM via"
     )
     sql["secret_scan_documents"] = _text_scan_sql("documents", False)
     sql["secret_scan_documents_skipping"] = _text_scan_sql("documents", True)
@@ -962,6 +962,17 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
               m("line", "\\btoken\\s*=") + " AND " + _not(
                   m("line", P.COMMENT_COMMON), m(win(1, 1), "^\\s*[-*]\\s"))),
     )
+    sql["rule_spec_pages"] = with_(
+        [TEXTS["pages"], scanned(False)],
+        found("X002", "'low'", "''", "''", "ln",
+              "contains(line, '<script>') AND " + _not(m("line", P.COMMENT_COMMON), m("line", '<html lang="de">'))),
+    )
+    sql["rule_spec_conversations"] = with_(
+        [TEXTS["conversations"], scanned(False)],
+        found("X003", "'low'", "''", "''", "ln",
+              m("line", "(?:^|\\s)que\\s") + " AND " + _not(
+                  m("line", P.COMMENT_COMMON), m(win(1, 2), "(?:^|\\s)dans\\s"))),
+    )
     sql["repo_has_auth"] = with_(
         [CORPUS], f"SELECT repo, bool_or({m('code', P.AUTH_WORDS)}) AS has_auth FROM files GROUP BY repo"
     )
@@ -1004,9 +1015,10 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
     )
     sql["export_findings"] = directory_sql(
         "SELECT f.repo, f.path AS file, f.line_no AS line, f.rule_id, f.severity, vuln_class, "
-        "replace(t.title, '{evidence}', f.evidence) AS title, t.fix, trim(f.line) AS code, cwe, "
+        "replace(t.title, '{evidence}', f.evidence) AS title, replace(t.detail, '{evidence}', f.evidence) AS detail, "
+        f"t.fix, {strip('f.line')} AS code, cwe, "
         "owasp_category, owasp_rank FROM final f JOIN texts t ON t.rule_id = f.rule_id AND t.variant = f.variant",
-        f"texts(rule_id, variant, title, fix) AS (VALUES {_MESSAGE_ROWS})",
+        f"texts(rule_id, variant, title, detail, fix) AS (VALUES {_MESSAGE_ROWS})",
     )
     rules = (
         "rules(rule_id, rule_seq, vuln_class, cwe, owasp_category, owasp_rank) AS "
@@ -1017,7 +1029,7 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
         "owasp_category, CAST(owasp_rank AS INTEGER) AS owasp_rank, "
         "replace(t.title, '{evidence}', evidence) AS title "
         "FROM raw JOIN rules USING (rule_id) JOIN texts t USING (rule_id, variant)",
-        rules, f"texts(rule_id, variant, title, fix) AS (VALUES {_MESSAGE_ROWS})",
+        rules, f"texts(rule_id, variant, title, detail, fix) AS (VALUES {_MESSAGE_ROWS})",
     )
     sql["report_blocks"] = raw_sql(
         f"SELECT CAST({_SEV} AS INTEGER) AS sev_rank, severity, repo, path, line_no, rule_id FROM raw "
@@ -1039,9 +1051,10 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
     sql["severity_rollup"] = raw_sql(
         "SELECT repo, severity, count(*) AS findings FROM raw GROUP BY ROLLUP (repo, severity)"
     )
-    sql["severity_high"] = raw_sql(
-        "SELECT repo, path, line_no, rule_id FROM raw WHERE severity = 'high'"
-    )
+    for severity in ("high", "medium", "low"):
+        sql[f"severity_{severity}"] = raw_sql(
+            f"SELECT repo, path, line_no, rule_id FROM raw WHERE severity = '{severity}'"
+        )
     sql["files_with_findings"] = raw_sql(
         "SELECT repo, path, count(*) AS findings FROM raw GROUP BY repo, path"
     )

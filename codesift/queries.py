@@ -17,8 +17,8 @@ from codesift.operators import packages, reports, repo_rules
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS, access
 from codesift.operators.detectors.crypto import DIGEST_NAMES
-from codesift.operators.detectors.injection import SQL_INJECTION, assigned_sql_above
-from codesift.operators.engine import Line, candidates, detect, scannable
+from codesift.operators.detectors.injection import assigned_sql_above
+from codesift.operators.engine import Detector, Line, candidates, detect, report, scannable
 from codesift.operators.extension import RuleSpec, detector_of
 from codesift.operators.rate_limit import rate_limit
 from codesift.plans.scan import order_findings, raw_findings, report_order, scan
@@ -289,8 +289,9 @@ def first_access_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_var_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executed names with their SQL assignment in the 14 lines above, without other gates."""
-    rows = candidates(corpus.code_corpus(spark, sf_dir), [SQL_INJECTION], skip_minified=False)
+    """Executed names with their SQL assignment in the 14 lines above, on every line of every file."""
+    every_line = Detector("I001", (), "", lambda line: report("I001", "high"), before=14)
+    rows = candidates(corpus.code_corpus(spark, sf_dir), [every_line], skip_minified=False)
     return rows.filter(assigned_sql_above(Line())).select("repo", "path", "line_no")
 
 
@@ -317,6 +318,23 @@ def rule_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*DETECTOR_COLUMNS)
 
 
+def rule_spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages with an inline script, unless they belong to a German page."""
+    spec = RuleSpec(
+        "X002", r"<script>", "low", words=("<script>",), cleared_by_line=(r'<html lang="de">',), skip_tests=False
+    )
+    return detect(pages(spark, sf_dir), [detector_of(spec)], skip_minified=False).select(*DETECTOR_COLUMNS)
+
+
+def rule_spec_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of turns with one French word and without another near them."""
+    spec = RuleSpec(
+        "X003", r"(?:^|\s)que\s", "low", before=1, after=2, cleared_by_window=(r"(?:^|\s)dans\s",), skip_tests=False
+    )
+    found = detect(conversations(spark, sf_dir), [detector_of(spec)], skip_minified=False)
+    return found.select(*DETECTOR_COLUMNS)
+
+
 # --- repository rules and packages ------------------------------------------------
 
 
@@ -403,7 +421,7 @@ def scan_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exported_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_findings(corpus_scan(spark, sf_dir)).select(
-        "repo", "file", "line", "rule_id", "severity", "vuln_class", "title", "fix", "code", "cwe",
+        "repo", "file", "line", "rule_id", "severity", "vuln_class", "title", "detail", "fix", "code", "cwe",
         "owasp_category", "owasp_rank",
     )
 
@@ -434,9 +452,12 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.severity_rollup(_raw(spark, sf_dir))
 
 
-def severity_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    high = reports.severity_view(_raw(spark, sf_dir), "high")
-    return high.select("repo", "path", "line_no", "rule_id")
+def _severity(severity: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        view = reports.severity_view(_raw(spark, sf_dir), severity)
+        return view.select("repo", "path", "line_no", "rule_id")
+
+    return query
 
 
 def files_with_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,6 +560,8 @@ QUERIES: dict[str, Query] = {
     "secret_scan_pages": _text_scan(pages),
     "secret_scan_conversations": _text_scan(conversations),
     "rule_spec_documents": rule_spec,
+    "rule_spec_pages": rule_spec_pages,
+    "rule_spec_conversations": rule_spec_conversations,
     "repo_has_auth": repo_auth,
     "repo_auth_filter": repo_auth_filter,
     "django_settings": django_settings,
@@ -557,7 +580,7 @@ QUERIES: dict[str, Query] = {
     "scan_summary": scan_summary,
     "severity_gate": severity_gate,
     "severity_rollup": severity_rollup,
-    "severity_high": severity_high,
+    **{f"severity_{name}": _severity(name) for name in ("high", "medium", "low")},
     "files_with_findings": files_with_findings,
     "nested_results": nested_results,
     "fleet_report": fleet_report,

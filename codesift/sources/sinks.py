@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift import schemas
 from codesift.functions import patterns as P
+from codesift.functions.text import strip
 from codesift.operators.packages import fresh_registry
 
 
@@ -22,7 +23,7 @@ def export_findings(findings: DataFrame) -> DataFrame:
         "title",
         "detail",
         "fix",
-        F.trim(F.col("line")).alias("code"),
+        strip(F.col("line")).alias("code"),
         "cwe",
         "owasp_category",
         "owasp_rank",
