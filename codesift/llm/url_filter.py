@@ -4,11 +4,12 @@ A url's path becomes a sequence of segments. Lexical classes (numbers, hexadecim
 from the start. Going down level by level, a node with many children turns its rare children into a wildcard, and children
 that are statistically alike (the same kinds of children below, labelled rates that do not differ significantly from their
 pool's) are merged into one branch. A template is a whole path of such tokens in a host's tree. It is rejected if its
-labelled urls are bad beyond doubt: the smoothed share of bad ones, with the overall share as prior, reaches the threshold.
+own labelled urls are bad beyond doubt: the smoothed share of bad ones reaches the threshold. The prior is the overall
+share, but never more than even, and a template without labelled urls has no purity: what is bad elsewhere rejects nothing.
 
 Everything is counting by node with partial aggregation, over distinct (host, lexical path) rows; a host's tree is spread
-over the tasks by node, so that a host with a third of all urls is no single group. Levels are handled one after another;
-below the last one the rest of a path is one token.
+over the tasks by node, so that a host with a third of all urls is no single group. Levels are handled one after another
+until no path is longer; a path that is alone in its node is not followed further, as nothing below can change it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm.common import LOWER, UPPER, stored
+from codesift.session import new_table_path
 
 
 @dataclass(frozen=True)
@@ -39,11 +41,10 @@ class Rule:
 class Trees:
     """How trees are grown and judged."""
 
-    levels: int = 6  # below, the rest of a path is one token
     many: int = 24  # children of a node from which rare ones become a wildcard
     rare: float = 0.05  # share of a node's urls up to which a child is rare
     alike: float = 2.0  # standard errors up to which a child's labelled rate is that of its pool
-    prior: float = 4.0  # urls that the overall share counts as
+    prior: float = 4.0  # urls that the overall share, at most one half, counts as
     reject: float = 0.8  # smoothed share of bad urls from which a template is rejected
 
 
@@ -85,21 +86,22 @@ def segments(path: Column) -> Column:
 
 def templates(counts: DataFrame, how: Trees) -> DataFrame:
     """``counts`` (host, parts, n, good, bad; distinct host and parts) with the template of each row."""
-    last = how.levels
-    tokens = F.when(F.size("parts") > last, F.concat(F.slice("parts", 1, last), F.array(F.lit("**")))).otherwise(
-        F.col("parts")
-    )
-    rows = counts.withColumn("tokens", tokens).withColumn("node", F.lit(""))
-    for level in range(last + 1):
-        token = F.get("tokens", F.lit(level))
-        rows = rows.withColumn("token", token).withColumn("below", F.coalesce(_kind(F.get("tokens", F.lit(level + 1))), F.lit("")))
-        here = rows.filter("token IS NOT NULL")
-        children = here.groupBy("host", "node", "token").agg(
+    spark = counts.sparkSession
+    target = new_table_path(spark, "url-levels")
+    rows = counts.withColumn("node", F.lit(""))
+    level = 0
+    while True:
+        token = F.get("parts", F.lit(level))
+        rows = rows.withColumn("token", token).withColumn("below", _kind(F.get("parts", F.lit(level + 1))))
+        children = rows.groupBy("host", "node", "token").agg(
             F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"),
             F.array_sort(F.collect_set("below")).alias("kinds"),  # a handful of kinds
+            F.count(F.lit(1)).alias("paths"),
+        )
+        nodes = children.groupBy("host", "node").agg(
+            F.sum("n").alias("all"), F.count(F.lit(1)).alias("children"), F.sum("paths").alias("paths")
         )
-        nodes = children.groupBy("host", "node").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("children"))
-        children = children.join(nodes, ["host", "node"]).withColumn(
+        children = children.drop("paths").join(nodes, ["host", "node"]).withColumn(
             "branch",
             F.when((F.col("children") >= how.many) & (F.col("n") <= how.rare * F.col("all")), "*").otherwise(F.col("token")),
         )
@@ -115,16 +117,21 @@ def templates(counts: DataFrame, how: Trees) -> DataFrame:
         merged = branches.filter("good + bad > 0").join(pools, ["host", "node", "kinds"]).filter(alike).select(
             "host", "node", "branch", F.concat(F.lit("+"), F.array_join("kinds", "|")).alias("pool")
         )
-        named = children.select("host", "node", "token", "branch").join(merged, ["host", "node", "branch"], "left").select(
-            "host", "node", "token", F.coalesce("pool", "branch").alias("name")
+        named = children.select("host", "node", "token", "branch", "paths").join(merged, ["host", "node", "branch"], "left").select(
+            "host", "node", "token", F.coalesce("pool", "branch").alias("name"), "paths"
         )
-        rows = rows.join(named, ["host", "node", "token"], "left").withColumn(
-            "node", F.when(F.col("name").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "name"))
-        ).drop("token", "below", "name")
-        rows = stored(rows, "url-level")
-        if rows.filter(F.size("tokens") > level + 1).isEmpty():
+        alone = F.col("paths") == 1
+        rest = F.array_join(F.slice("parts", level + 2, F.size("parts")), "/")
+        longer = F.size("parts") > level + 1
+        rows.join(named, ["host", "node", "token"]).withColumn(
+            "node", F.concat("node", F.lit("/"), "name", F.when(alone & longer, F.concat(F.lit("/"), rest)).otherwise(""))
+        ).withColumn("done", alone | ~longer).drop("token", "below", "name", "paths").write.parquet(f"{target}/{level}")
+        rows = spark.read.parquet(f"{target}/{level}").filter("NOT done").drop("done")
+        level += 1
+        if rows.isEmpty():
             break
-    return rows.drop("tokens").withColumnRenamed("node", "template")
+    placed = spark.read.parquet(*(f"{target}/{number}" for number in range(level)))
+    return placed.filter("done").drop("done").withColumnRenamed("node", "template")
 
 
 def _kind(token: Column) -> Column:
@@ -138,11 +145,11 @@ def judge_urls(
 ) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, template and purity.
 
-    The longest rule decides where one fits; elsewhere the url's template does: ``block`` if its smoothed purity reaches
-    the limit, else ``allow``. ``labelled`` has columns url and bad (0 or 1); without it, the urls that rules decide are
-    the labels. A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed unless its
-    own (empty) template is rejected. Ids may be null or repeat; an empty table gives an empty result; other columns are
-    not read.
+    The longest rule decides where one fits; elsewhere the url's template does: ``block`` if it has labelled urls and their
+    smoothed purity reaches the limit, else ``allow``. Purity is null for a template without labelled urls. ``labelled``
+    has columns url and bad (0 or 1); without it, the urls that rules decide are the labels. A null url, or one without
+    ``://``, has an empty host and path, fits no rule and is allowed unless its own (empty) template is rejected. Ids may
+    be null or repeat; an empty table gives an empty result; other columns are not read.
     """
     how, rules = how or Trees(), list(rules)
     url = F.col(url_col)
@@ -173,8 +180,9 @@ def judge_urls(
     seen = (totals["good"] or 0) + (totals["bad"] or 0)
     share = (totals["bad"] or 0) / seen if seen else 0.0
     placed = templates(counts, how)
+    labels, prior = F.sum(F.col("good") + F.col("bad")), how.prior * min(share, 0.5)
     purity = placed.groupBy("host", "template").agg(
-        ((F.sum("bad") + how.prior * share) / (F.sum(F.col("good") + F.col("bad")) + how.prior)).alias("purity")
+        F.when(labels > 0, (F.sum("bad") + prior) / (labels + how.prior)).alias("purity")
     )
     verdicts = placed.select("host", "parts", "template").join(purity, ["host", "template"])
     ruled = judged.filter("rule IS NOT NULL").drop("parts").select(

@@ -234,6 +234,29 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_urls_without_labels_of_their_own_are_allowed(spark):
+    rules = (url_filter.Rule("net", "/es/", "block"), url_filter.Rule("com", "/", "allow"))
+    urls = [f"http://big.net/es/{n}" for n in range(90)] + [f"http://a.com/{n}" for n in range(10)]
+    free = [None, "", "http://clean.org/a/b", "http://big.net/de/1", "http://other.net/x"]
+    pages = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
+    found = {row.page_id: row for row in url_filter.judge_urls(pages, rules).collect()}
+    assert {found[n].verdict for n in range(90)} == {"block"} and len(found) == 105
+    assert {(found[n].verdict, found[n].purity) for n in range(100, 105)} == {("allow", None)}
+
+
+def test_url_trees_go_down_to_the_end_of_a_path(spark):
+    deep = "/".join("abcdefghij")
+    labelled = spark.createDataFrame(
+        [(f"http://h.org/{deep}/spam/{n}", 1) for n in range(30)] + [(f"http://h.org/{deep}/blog/{n}", 0) for n in range(30)],
+        "url string, bad int",
+    )
+    urls = [f"http://h.org/{deep}/spam/77", f"http://h.org/{deep}/blog/77", f"http://h.org/z/{deep}/only/1", "http://h.org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {row.page_id: (row.verdict, row.template) for row in url_filter.judge_urls(pages, (), labelled=labelled).collect()}
+    assert found == {0: ("block", f"/{deep}/spam/<n>"), 1: ("allow", f"/{deep}/blog/<n>"),
+                     2: ("allow", f"/z/{deep}/only/<n>"), 3: ("allow", "/a")}
+
+
 def test_grammar_marks_what_stands_around():
     scorer = toxicity.Scorer({"grumb": 4.0})
     place = dict(zip(toxicity.FEATURES, range(9), strict=True))
