@@ -3,10 +3,10 @@
 Inverse document frequencies are counted over all documents in a fixed number of hashed terms. The benchmark's passages
 become TF-IDF rows, and a randomised singular value decomposition of that matrix, computed by Spark in passes over its rows
 (partial products are added up per term), gives the latent space. Every document is cut into overlapping windows, as long
-as the items they are compared with; a window whose weight lies mostly on terms foreign to the benchmark cannot have a high
-cosine and is passed over, all others are projected and compared with all items of their length. A candidate is confirmed by
-the longest common subsequence of words around the window: nearly the whole item, or most of it together with its answer
-(the item's last words), which is how paraphrases are told from chance.
+as the items they are compared with. A candidate is confirmed by the longest common subsequence of words around the window:
+nearly the whole item, or most of it together with its answer (the item's last words), which is how paraphrases are told
+from chance. So a window with too few benchmark words around it for any item of its length can confirm none and is passed
+over; all others, however rare the foreign words in them, are projected and compared with all items of their length.
 
 The items are the query set: they are held by every executor in blocks of a bounded size; all documents are searched.
 """
@@ -33,16 +33,17 @@ RANK, EXTRA = 96, 8
 PASSES = 2
 #: Window lengths in words; an item is compared with windows of the longest one that is not longer than itself.
 LENGTHS = (4, 8, 16, 32, 64)
-#: Least cosine in the latent space, and least share of a window's weight on the benchmark's terms.
-LEAST_COSINE, LEAST_SHARE = 0.5, 0.4
+#: Least cosine in the latent space.
+LEAST_COSINE = 0.5
 #: Share of an item's words in the common subsequence that confirms it alone, or together with its answer.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Share of an item's last words that count as its answer.
 ANSWER_SHARE = 0.25
 #: Items that executors hold at a time.
 ITEMS = 20_000
-#: Characters of text handled at a time.
+#: Characters of text handled at a time, words whose vectors are held at a time, windows compared at a time.
 BATCH_CHARS = 1 << 18
+SPAN_WORDS, WINDOWS = 1 << 14, 1 << 12
 
 
 def normal_words(texts: list[str | None]):
@@ -231,6 +232,7 @@ class Searcher:
         self.by_length = {length: np.flatnonzero(items.lengths == length) for length in sorted(set(items.lengths.tolist()))}
         self.positions = [_positions(words) for words in items.words]
         self.answers = [_positions(words[len(words) - self.answer_size(words) :]) for words in items.words]
+        self.sizes = np.array([len(words) for words in items.words])
 
     @staticmethod
     def answer_size(words: np.ndarray) -> int:
@@ -243,11 +245,10 @@ class Searcher:
         if not len(words.hashes):
             return found
         terms = terms_of(words.hashes)
-        weights = self.space.inverse[terms]
         rows = self.space.row[terms]
-        energy = np.concatenate([[0.0], np.cumsum(weights.astype(float) ** 2)])
-        inside = np.concatenate([[0.0], np.cumsum(np.where(rows >= 0, weights, 0).astype(float) ** 2)])
+        inside = np.concatenate([[0], np.cumsum(rows >= 0)])
         sizes = np.diff(words.first)
+        windows = []
         for length, members in self.by_length.items():
             step = max(1, length // 4)
             counts = np.where(sizes >= length // 2, 1 + np.maximum(sizes - length + step - 1, 0) // step, 0)
@@ -255,27 +256,43 @@ class Searcher:
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             starts = words.first[text] + np.minimum(place * step, np.maximum(sizes[text] - length, 0))
             ends = np.minimum(starts + length, words.first[text + 1])
-            share = (inside[ends] - inside[starts]) / np.maximum(energy[ends] - energy[starts], 1e-9)
-            near = np.flatnonzero(share >= LEAST_SHARE)
-            for first in range(0, len(near), 4096):
-                self.compare(words, weights, rows, text, starts, ends, near[first : first + 4096], members, found)
+            around = self.around(words, inside, text, starts, ends, self.sizes[members].max())
+            near = np.flatnonzero(around / self.sizes[members].min() >= PARAPHRASE)  # else no item can be confirmed
+            windows.append((members, text[near], starts[near], ends[near]))
+        for first in range(0, len(rows), SPAN_WORDS):
+            spans = [(m, t, s, e, *np.searchsorted(s, [first, first + SPAN_WORDS])) for m, t, s, e in windows]
+            last = max((int(e[end - 1]) for _, _, _, e, begin, end in spans if end > begin), default=first)
+            there = first + np.flatnonzero(rows[first:last] >= 0)
+            if not len(there):
+                continue
+            along = self.space.inverse[terms[there], None] * self.space.vectors[rows[there]]
+            sums = np.zeros((len(there) + 1, along.shape[1]))
+            np.cumsum(along, axis=0, dtype=float, out=sums[1:])
+            for members, text, starts, ends, begin, end in spans:
+                for low in range(begin, end, WINDOWS):
+                    some = slice(low, min(low + WINDOWS, end))
+                    vectors = sums[inside[ends[some]] - inside[first]] - sums[inside[starts[some]] - inside[first]]
+                    self.compare(words, inside, text[some], starts[some], ends[some], vectors, members, found)
         return [self.best(hits) for hits in found]
 
-    def compare(self, words, weights, rows, text, starts, ends, near, members, found) -> None:
-        length = int((ends[near] - starts[near]).max())
-        places = np.minimum(starts[near, None] + np.arange(length), len(rows) - 1)
-        used = (np.arange(length) < (ends - starts)[near, None]) & (rows[places] >= 0)
-        vectors = np.zeros((len(near), self.space.vectors.shape[1]), dtype=np.float32)
-        for k in range(length):
-            on = np.flatnonzero(used[:, k])
-            vectors[on] += weights[places[on, k], None] * self.space.vectors[rows[places[on, k]]]
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        cosines = vectors @ self.items.vectors[members].T
-        for k, m in zip(*np.nonzero(cosines >= LEAST_COSINE), strict=True):
-            item, which = int(members[m]), int(text[near[k]])
-            share = self.share(words, which, int(starts[near[k]]), int(ends[near[k]]), item)
+    @staticmethod
+    def around(words, inside, text, starts, ends, size):
+        """How many benchmark words stand within ``size`` words of each window."""
+        return (
+            inside[np.minimum(ends + size, words.first[text + 1])] - inside[np.maximum(starts - size, words.first[text])]
+        )
+
+    def compare(self, words, inside, text, starts, ends, vectors, members, found) -> None:
+        vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        cosines = vectors @ self.items.vectors[members].astype(np.float32).T
+        windows, which = np.nonzero(cosines >= LEAST_COSINE)
+        items = members[which]
+        around = self.around(words, inside, text[windows], starts[windows], ends[windows], self.sizes[items])
+        for k in np.flatnonzero(around / self.sizes[items] >= PARAPHRASE):
+            window, item = windows[k], int(items[k])
+            share = self.share(words, int(text[window]), int(starts[window]), int(ends[window]), item)
             if share is not None:
-                found[which].append((item, float(cosines[k, m]), share))
+                found[int(text[window])].append((item, float(cosines[window, which[k]]), share))
 
     def share(self, words, text: int, start: int, end: int, item: int) -> float | None:
         """Share of the item's words found in order around a window, or None if that does not confirm it."""

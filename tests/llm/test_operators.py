@@ -357,6 +357,32 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert not any(row.contaminated for row in decontamination.contaminated(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_finds_paraphrases_with_rare_words(spark):
+    """More items than the latent space has dimensions; 25 to 40 % of the words replaced by rare ones, the answer kept."""
+    rng = random.Random(31)
+    weights = [1 / (k + 1) for k in range(5000)]
+    made = lambda n: [f"z{k}z" for k in rng.choices(range(5000), weights, k=n)]
+    items = [(n, made(rng.randrange(15, 60))) for n in range(200)]
+    rows, expected = [], {}
+    for number in range(300):
+        text = made(200)
+        if number < 200:
+            own = list(items[number][1])
+            answer = decontamination.Searcher.answer_size(np.array(own))
+            gone = rng.sample(range(len(own) - answer), min(len(own) - answer, int(rng.uniform(0.25, 0.4) * len(own))))
+            for k in gone:
+                own[k] = f"rare{number}x{k}"
+            text[100:100] = own
+            expected[number] = number
+        rows.append((number, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(own)) for n, own in items], "item_id long, text string")
+    found = {row.doc_id: row.item_ids for row in decontamination.contaminated(docs, bench).collect()}
+    recall = sum(item in found[number] for number, item in expected.items()) / len(expected)
+    assert recall >= 0.99, recall
+    assert not any(found[number] for number in range(200, 300))
+
+
 def test_bit_parallel_subsequence():
     rng = random.Random(7)
     for _ in range(50):
