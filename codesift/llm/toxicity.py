@@ -4,7 +4,8 @@ Words are classed as insult, threat, target (who is addressed), negation, report
 transducers are composed into one: reported speech marks what a speech verb introduces, negation what follows a negating
 word, target what stands near an addressed person, and the insult and threat transducers emit what is left to score. The
 composed machine reads a clause word by word and emits events such as ``insult+target`` or ``insult+negated``. A document's
-score is a logistic function of its events, whose weights are learned; a word alone never scores, a matched clause does.
+score is a logistic function of its events, whose weights are learned. An insult without a target is an event as well, as
+learned vocabularies come without targets; without labels one such word stays below the threshold. Threats need a target.
 
 The seed vocabulary is part of the grammar. Insult stems of other vocabularies are learned from labelled rows: a stem (the
 first letters of a word, or a whole word) is taken if even a cautious estimate of its odds is far above those of clean rows.
@@ -294,8 +295,11 @@ def learn(
 
 
 def seed_weights() -> np.ndarray:
-    """Weights without labels: two matched clauses with strong words, or one that is aimed at somebody, are toxic."""
-    return np.array([0.8, 0.6, 0.4, 0.0, 0.2, 0.6, -0.8, -0.6, 0.4, -2.5])
+    """Weights without labels: two clauses with an insult, or one that is aimed at somebody, are toxic.
+
+    One untargeted word, however short the text, and one that is negated or reported stay below the threshold.
+    """
+    return np.array([0.6, 0.3, 0.3, 0.0, 0.05, 2.0, -2.0, -2.0, 0.4, -2.5])
 
 
 def fit(values: np.ndarray, toxic: np.ndarray, times: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> np.ndarray:

@@ -288,6 +288,14 @@ def test_toxicity_learns_other_words(spark, empty):
     assert toxicity.score_texts(["you pathetic idiot, you worthless scum", "hello"], toxicity.Scorer({}), seeds).round()[0] == 1
 
 
+def test_one_untargeted_word_is_not_toxic_without_labels():
+    model = toxicity.ToxicityModel({}, toxicity.FEATURES, toxicity.seed_weights())
+    below = ["garbage", "stupid", "the garbage truck", "garbage " + "word " * 2000, "he is not an idiot", "they said idiot"]
+    above = ["you idiot", "you idiot " + "word " * 2000, "pathetic. worthless", "you kill"]
+    scores = toxicity.score_texts(below + above, toxicity.Scorer({}), model) >= toxicity.THRESHOLD
+    assert scores.tolist() == [False] * len(below) + [True] * len(above)
+
+
 def plain_removed(rows, window):
     first, out = {}, []
     split = [(i, (t or "").encode().split()) for i, t in rows]
