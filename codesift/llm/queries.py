@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm import (
-    bpe, decontamination, exact_dedup, language_id, sharding, simhash, substring_dedup, token_counts, toxicity,
-    url_filter,
+    alignment, bpe, decontamination, exact_dedup, fill_in_middle, language_id, license_scan, sharding, simhash,
+    substring_dedup, token_counts, toxicity, url_filter,
 )
 from codesift.llm.common import held_out, may_learn, sha256_text, table, text_of
 
@@ -89,6 +89,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scanned.select("doc_id", "n_words", license_scan.base_places().alias("base"), license_scan.labelled().alias("all"))
+    starts = F.transform("base", lambda place: place["first"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), license_scan.names(F.col("base")).alias("base_labels"),
+        license_scan.names(F.col("all")).alias("labels"), license_scan.confidence(F.col("all")).alias("score"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_text(F.col("output")).alias("output_sha256"),
+        sha256_text(again).alias("restored_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(sha256_text(F.col("groups")))
+    return alignment.align(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), carry={"groups_sha256": digest},
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -100,6 +128,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_license_scan": op11_license_scan,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -129,4 +160,28 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    "op12_fill_in_middle": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(u) AS n, ('0x' || hex[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || hex[9:16])::BIGINT % (len(u) + 1) AS b,
+                ('0x' || hex[17:24])::BIGINT % 100 AS c, ('0x' || hex[25:32])::BIGINT % 100 AS d
+            FROM units
+        ), cut AS (
+            SELECT doc_id, n, text, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS prefix,
+                coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+                coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS suffix,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90
+                    THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
