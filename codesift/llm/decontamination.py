@@ -5,10 +5,15 @@ become TF-IDF rows, and a randomised singular value decomposition of that matrix
 (partial products are added up per term), gives the latent space. Every document is cut into overlapping windows, as long
 as the items they are compared with. A candidate is confirmed by the longest common subsequence of words around the window:
 nearly the whole item, or most of it together with its answer (the item's last words), which is how paraphrases are told
-from chance. So a window with too few benchmark words around it for any item of its length can confirm none and is passed
-over; all others, however rare the foreign words in them, are projected and compared with all items of their length.
+from chance.
 
-The items are the query set: they are held by every executor in blocks of a bounded size; all documents are searched.
+That rule says where it is of no use to look: an item of n words needs 0.6 n of them around a window, so of its rarest
+0.4 n + t words at least t must stand there. Only windows that see so many marked words of some item are projected and
+compared, with those items; however rare the foreign words are, no window that an item could be confirmed
+at is passed over, and no item that it could not confirm is compared. Items of fewer words than the shortest window are found by their exact sequence of words.
+
+The items are the query set, which all documents are searched for: executors hold a block of a bounded number at a time,
+one pass over the documents for each.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.common import in_batches, parts_of, stored
+from codesift.llm.common import column, in_batches, parts_of, spare_name, stored
 from codesift.llm.words import PUNCTUATION, words_of
 
 #: Hashed terms.
@@ -39,11 +44,13 @@ LEAST_COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Share of an item's last words that count as its answer.
 ANSWER_SHARE = 0.25
+#: Marked words of an item that must stand around a window (fewer for short items).
+MARKS = 4
 #: Items that executors hold at a time.
 ITEMS = 20_000
-#: Characters of text handled at a time, words whose vectors are held at a time, windows compared at a time.
+#: Characters of text handled at a time, and pairs of windows and items compared at a time.
 BATCH_CHARS = 1 << 18
-SPAN_WORDS, WINDOWS = 1 << 14, 1 << 12
+WINDOWS = 1 << 9
 
 
 def normal_words(texts: list[str | None]):
@@ -178,19 +185,22 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_co
 
 
 def item_blocks(benchmark: DataFrame, space: Space, id_col: str, text_col: str, size: int = ITEMS) -> Iterator[Items]:
-    """The items in blocks of about ``size``; those with fewer words than the shortest window match nothing."""
-    count = benchmark.count()
-    blocks = max(1, -(-count // size))
-    numbered = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
+    """The items in blocks of about ``size``; equal items are spread by a number of their own."""
+    numbered = stored(
+        benchmark.select(
+            F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("number")
+        ).dropna(), "items",
+    )
+    blocks = max(1, -(-numbered.count() // size))
     for block in range(blocks):
-        rows = numbered.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "text").collect()
+        rows = numbered.filter(F.pmod(F.xxhash64("number"), F.lit(blocks)) == block).orderBy("id", "text").collect()
         words = normal_words([row["text"] for row in rows])
         each = [words.hashes[words.first[k] : words.first[k + 1]] for k in range(len(rows))]
-        usable = [k for k in range(len(rows)) if len(each[k]) >= LENGTHS[0]]
+        usable = [k for k in range(len(rows)) if len(each[k])]
         if not usable:
             continue
         vectors = np.stack([_projected(each[k], space) for k in usable])
-        lengths = [max(length for length in LENGTHS if length <= len(each[k])) for k in usable]
+        lengths = [max((length for length in LENGTHS if length <= len(each[k])), default=0) for k in usable]
         yield Items(np.array([rows[k]["id"] for k in usable]), [each[k] for k in usable], np.array(lengths), vectors)
 
 
@@ -229,10 +239,28 @@ class Searcher:
 
     def __init__(self, space: Space, items: Items) -> None:
         self.space, self.items = space, items
-        self.by_length = {length: np.flatnonzero(items.lengths == length) for length in sorted(set(items.lengths.tolist()))}
+        self.lengths = sorted(set(items.lengths.tolist()) - {0})
+        self.vectors = items.vectors.astype(np.float32)
         self.positions = [_positions(words) for words in items.words]
         self.answers = [_positions(words[len(words) - self.answer_size(words) :]) for words in items.words]
         self.sizes = np.array([len(words) for words in items.words])
+        self.needed = np.zeros(len(items.words), dtype=np.int64)
+        self.exact: dict[tuple[int, ...], list[int]] = {}
+        marks: list[tuple[int, int]] = []
+        for item, words in enumerate(items.words):
+            if not items.lengths[item]:
+                self.exact.setdefault(tuple(words.tolist()), []).append(item)
+                continue
+            least = int(np.ceil(PARAPHRASE * len(words) - 1e-9))
+            self.needed[item] = min(MARKS, least)
+            rarest = np.argsort(-space.inverse[terms_of(words)], kind="stable")[: len(words) - least + self.needed[item]]
+            marks.extend((word, item) for word in words[rarest].tolist())
+        marks.sort()
+        self.mark_items = np.array([item for _, item in marks], dtype=np.int64)
+        self.mark_words, first = np.unique(np.array([word for word, _ in marks], dtype=np.uint64), return_index=True)
+        self.mark_first = np.append(first, len(marks))
+        self.mark_terms = np.zeros(TERMS, dtype=bool)
+        self.mark_terms[terms_of(self.mark_words)] = True
 
     @staticmethod
     def answer_size(words: np.ndarray) -> int:
@@ -248,33 +276,73 @@ class Searcher:
         rows = self.space.row[terms]
         inside = np.concatenate([[0], np.cumsum(rows >= 0)])
         sizes = np.diff(words.first)
-        windows = []
-        for length, members in self.by_length.items():
+        self.find_exact(words, found)
+        clusters = self.clusters(words, terms)
+        for length in self.lengths:
+            own = self.items.lengths[clusters[0]] == length
+            if not own.any():
+                continue
             step = max(1, length // 4)
             counts = np.where(sizes >= length // 2, 1 + np.maximum(sizes - length + step - 1, 0) // step, 0)
             text = np.repeat(np.arange(len(texts)), counts)
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             starts = words.first[text] + np.minimum(place * step, np.maximum(sizes[text] - length, 0))
             ends = np.minimum(starts + length, words.first[text + 1])
-            around = self.around(words, inside, text, starts, ends, self.sizes[members].max())
-            near = np.flatnonzero(around / self.sizes[members].min() >= PARAPHRASE)  # else no item can be confirmed
-            windows.append((members, text[near], starts[near], ends[near]))
-        for first in range(0, len(rows), SPAN_WORDS):
-            spans = [(m, t, s, e, *np.searchsorted(s, [first, first + SPAN_WORDS])) for m, t, s, e in windows]
-            last = max((int(e[end - 1]) for _, _, _, e, begin, end in spans if end > begin), default=first)
-            there = first + np.flatnonzero(rows[first:last] >= 0)
-            if not len(there):
-                continue
-            along = self.space.inverse[terms[there], None] * self.space.vectors[rows[there]]
-            sums = np.zeros((len(there) + 1, along.shape[1]))
-            np.cumsum(along, axis=0, dtype=float, out=sums[1:])
-            for members, text, starts, ends, begin, end in spans:
-                for low in range(begin, end, WINDOWS):
-                    some = slice(low, min(low + WINDOWS, end))
-                    vectors = sums[inside[ends[some]] - inside[first]] - sums[inside[starts[some]] - inside[first]]
-                    self.compare(words, inside, text[some], starts[some], ends[some], vectors, members, found)
+            windows, items = self.pairs(words, starts, length, *(part[own] for part in clusters))
+            around = self.around(words, inside, text[windows], starts[windows], ends[windows], self.sizes[items])
+            enough = around / self.sizes[items] >= PARAPHRASE
+            windows, items = windows[enough], items[enough]
+            for low in range(0, len(windows), WINDOWS):
+                some = slice(low, low + WINDOWS)
+                self.compare(words, terms, rows, text, starts, ends, windows[some], items[some], found)
         return [self.best(hits) for hits in found]
 
+    def find_exact(self, words, found) -> None:
+        """Items shorter than every window, by their words in order."""
+        for size in sorted({len(sequence) for sequence in self.exact}):
+            there = np.flatnonzero(np.isin(words.hashes, [s[0] for s in self.exact if len(s) == size]))
+            text = np.searchsorted(words.first, there, side="right") - 1
+            for place, k in zip(there.tolist(), text.tolist(), strict=True):
+                if place + size <= words.first[k + 1]:
+                    for item in self.exact.get(tuple(words.hashes[place : place + size].tolist()), ()):
+                        found[k].append((item, 1.0, 1.0))
+
+    def clusters(self, words, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first, last): stretches of words that hold as many marks of an item as the rule asks for."""
+        places = np.flatnonzero(self.mark_terms[terms])
+        which = np.searchsorted(self.mark_words, words.hashes[places])
+        which[which == len(self.mark_words)] = 0
+        hit = self.mark_words[which] == words.hashes[places] if len(self.mark_words) else np.zeros(len(places), dtype=bool)
+        places, which = places[hit], which[hit]
+        counts = self.mark_first[which + 1] - self.mark_first[which]
+        places = np.repeat(places, counts)
+        items = self.mark_items[
+            np.arange(len(places)) + np.repeat(self.mark_first[which] - (np.cumsum(counts) - counts), counts)
+        ]
+        text = np.searchsorted(words.first, places, side="right") - 1
+        order = np.lexsort((places, items, text))
+        places, items, text = places[order], items[order], text[order]
+        begin = np.arange(len(places))
+        end = begin + self.needed[items] - 1
+        begin = begin[end < len(places)]
+        end = end[end < len(places)]
+        reach = self.items.lengths[items[begin]] + 2 * self.sizes[items[begin]]
+        near = (items[begin] == items[end]) & (text[begin] == text[end]) & (places[end] - places[begin] < reach)
+        return items[begin[near]], places[begin[near]], places[end[near]]
+
+    def pairs(
+        self, words, starts: np.ndarray, length: int, items: np.ndarray, first: np.ndarray, last: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): windows, given by their ordered starts, with a cluster of an item in the item's reach of them."""
+        size = self.sizes[items]
+        text = np.searchsorted(words.first, first, side="right") - 1
+        low = np.searchsorted(starts, np.maximum(words.first[text], last - size - length + 1))
+        high = np.searchsorted(starts, np.minimum(words.first[text + 1] - 1, first + size), side="right")
+        counts = np.maximum(high - low, 0)
+        windows = np.arange(counts.sum()) + np.repeat(low - (np.cumsum(counts) - counts), counts)
+        both = np.unique(windows * len(self.sizes) + np.repeat(items, counts))
+        return both // len(self.sizes), both % len(self.sizes)
+
     @staticmethod
     def around(words, inside, text, starts, ends, size):
         """How many benchmark words stand within ``size`` words of each window."""
@@ -282,17 +350,25 @@ class Searcher:
             inside[np.minimum(ends + size, words.first[text + 1])] - inside[np.maximum(starts - size, words.first[text])]
         )
 
-    def compare(self, words, inside, text, starts, ends, vectors, members, found) -> None:
-        vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        cosines = vectors @ self.items.vectors[members].astype(np.float32).T
-        windows, which = np.nonzero(cosines >= LEAST_COSINE)
-        items = members[which]
-        around = self.around(words, inside, text[windows], starts[windows], ends[windows], self.sizes[items])
-        for k in np.flatnonzero(around / self.sizes[items] >= PARAPHRASE):
-            window, item = windows[k], int(items[k])
+    def compare(self, words, terms, rows, text, starts, ends, windows, items, found) -> None:
+        """Confirm those pairs of windows and items whose vectors are alike in the latent space."""
+        distinct, which = np.unique(windows, return_inverse=True)
+        vectors = np.zeros((len(distinct), self.space.vectors.shape[1]), dtype=np.float32)
+        lengths = ends[distinct] - starts[distinct]
+        each = np.repeat(np.arange(len(distinct)), lengths)
+        places = np.arange(len(each)) + np.repeat(starts[distinct] - (np.cumsum(lengths) - lengths), lengths)
+        each, places = each[rows[places] >= 0], places[rows[places] >= 0]
+        if len(each):
+            along = self.space.inverse[terms[places], None] * self.space.vectors[rows[places]]
+            begins = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            vectors[each[begins]] = np.add.reduceat(along, begins, axis=0)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        cosines = np.einsum("ij,ij->i", vectors[which], self.vectors[items])
+        for k in np.flatnonzero(cosines >= LEAST_COSINE).tolist():
+            window, item = int(windows[k]), int(items[k])
             share = self.share(words, int(text[window]), int(starts[window]), int(ends[window]), item)
             if share is not None:
-                found[int(text[window])].append((item, float(cosines[window, which[k]]), share))
+                found[int(text[window])].append((item, float(cosines[k]), share))
 
     def share(self, words, text: int, start: int, end: int, item: int) -> float | None:
         """Share of the item's words found in order around a window, or None if that does not confirm it."""
@@ -318,25 +394,33 @@ class Searcher:
         return [kept[item] for item in sorted(kept)]
 
 
-def matches(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text",
-) -> Column:
-    """A column of ``docs``: array of (item_id, cosine, share) of the benchmark items that a text contains.
+MATCHES = "array<struct<item_id: bigint, cosine: double, share: double>>"
+
+
+def with_matches(
+    docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_id_col: str = "item_id",
+    item_text_col: str = "text", block: int = ITEMS,
+) -> DataFrame:
+    """``docs`` with a column ``name``: array of (item_id, cosine, share) of the benchmark items that a text contains.
 
-    Null and empty texts contain none; null items, items without id and items of fewer words than the shortest window match
-    nothing; items that repeat are reported as often as they stand in the benchmark; an empty benchmark or table gives
-    empty arrays or no rows. Other columns of either table are not read. Whole texts are searched.
+    Null and empty texts contain none; null items, items without id and items without words match nothing; items that
+    repeat are reported as often as they stand in the benchmark; an empty benchmark or table gives empty arrays or no
+    rows. Rows of ``docs`` may repeat; its other columns stay as they are, whatever their names. Whole texts are searched;
+    a task holds some 100 bytes a character of the longest. Executors hold the items of one block: with several, the
+    documents are written between the passes.
     """
-    kind = "array<struct<item_id: bigint, cosine: double, share: double>>"
     space = fit_space(docs, benchmark, text_col, item_text_col)
     context = docs.sparkSession.sparkContext
     shared_space = context.broadcast(space)
-    parts = []
-    for items in item_blocks(benchmark, space, item_id_col, item_text_col):
-        shared = context.broadcast(items)
-        parts.append(_searched(kind, shared_space, shared)(F.col(text_col)))
-    return F.concat(*parts) if parts else F.array().cast(kind)
+    own = [column(each) for each in docs.columns]
+    parts: list[str] = []
+    for items in item_blocks(benchmark, space, item_id_col, item_text_col, block):
+        if parts:
+            docs = stored(docs, "searched")
+        parts.append(spare_name([*docs.columns, name], "_found"))
+        docs = docs.withColumn(parts[-1], _searched(MATCHES, shared_space, context.broadcast(items))(column(text_col)))
+    found = F.concat(*map(column, parts)) if parts else F.array().cast(MATCHES)
+    return docs.select(*own, found.alias(name))
 
 
 def _searched(kind: str, space, items):
@@ -357,8 +441,7 @@ def _searched(kind: str, space, items):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, contaminated, item_ids, share and cosine of the best match (null without one)."""
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    found = rows.select(F.col(id_col), matches(rows, benchmark, text_col).alias("found"))
+    found = with_matches(docs.select(F.col(id_col), F.col(text_col)), benchmark, "found", text_col)
     return found.select(
         id_col, (F.size("found") > 0).alias("contaminated"), F.col("found.item_id").alias("item_ids"),
         F.array_max("found.share").alias("share"), F.array_max("found.cosine").alias("cosine"),

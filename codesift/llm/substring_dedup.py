@@ -11,7 +11,8 @@
    a shard alone; its windows count as runs of one window each, which are dealt by their words.
 4. The results go back to all runs, from there as intervals to their documents. Only documents with intervals are shuffled.
 
-Words are compared as 64-bit hashes.
+Words of up to seven bytes are compared as they are, longer ones by XXH64, and runs by a 64-bit hash that mixes at every
+step, so no arrangement of words cancels out. A task holds some 50 bytes a character of the text it works on.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from codesift.llm.common import bitmap, in_batches, in_bitmap, parts, parts_of, stored, text_of
 from codesift.llm.fm_index import FMIndex, earliest_owners
-from codesift.llm.words import mixed, power_tables, words_of
+from codesift.llm.words import mixed, words_of
 
 WINDOW = 50
 SHINGLE = 8
@@ -70,7 +71,8 @@ class Runs:
         self.hashes, self.first = words.hashes, words.first
         empty = np.zeros(0, dtype=np.int64)
         self.text = self.start = self.windows = empty
-        self.anchor = self.key = np.zeros(0, dtype=np.uint64)
+        self.lengths = empty
+        self.anchor = np.zeros(0, dtype=np.uint64)
         if len(self.hashes) < window:
             return
         least = anchors(self.hashes, window, shingle)
@@ -88,11 +90,24 @@ class Runs:
         stops = np.append(np.flatnonzero(fresh | ~inside), count)
         self.windows = stops[np.searchsorted(stops, begins, side="right")] - begins
         self.anchor, self.text, self.start = least[begins], text[begins], begins
-        ends = begins + self.windows + window - 1
-        up, down = power_tables(len(self.hashes) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: len(self.hashes)])])
-        self.key = mixed((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-
+        self.lengths = self.windows + window - 1
+
+    def keys(self, on: np.ndarray) -> np.ndarray:
+        """A hash of all words of some runs, in order: two stretches of a power of two words that cover a run."""
+        found = np.zeros(len(on), dtype=np.uint64)
+        if not len(on):
+            return found
+        begins, lengths = self.start[on], self.lengths[on]
+        level = np.frexp(lengths.astype(float))[1] - 1  # floor of the logarithm
+        stretches, size = self.hashes, 1
+        for power in range(int(level.max()) + 1):
+            some = np.flatnonzero(level == power)
+            left, right = stretches[begins[some]], stretches[begins[some] + lengths[some] - size]
+            found[some] = mixed(mixed(left * _A + right * _B) + lengths[some].astype(np.uint64))
+            if 2 * size > len(self.hashes):
+                break
+            stretches, size = mixed(stretches[:-size] * _A + mixed(stretches[size:]) * _B), 2 * size
+        return found
 
     def place(self, on: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
         """A hash of where some runs stand: document, text and word."""
@@ -141,13 +156,14 @@ def removed_intervals(
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, key, found in batches_of(batches, crowded.value):
             on = np.flatnonzero(in_bitmap(repeated.value, found.anchor))
-            order, first = _grouped(found.text[on], found.key[on])
-            on = on[order]  # equal runs of a document are one row with their starts
+            keys = found.keys(on)
+            order, first = _grouped(found.text[on], keys)
+            on, keys = on[order], keys[order]  # equal runs of a document are one row with their starts
             text = found.text[on]
             starts = (found.start[on] - found.first[text]).astype(np.int32)
-            one, text = on[first], text[first]
+            one, run, text = on[first], keys[first], text[first]
             columns = [
-                doc[text], key[text], found.key[one].view(np.int64), found.place(one, doc, key),
+                doc[text], key[text], run.view(np.int64), found.place(one, doc, key),
                 found.windows[one].astype(np.int32),
             ]
             offsets = pa.array(np.append(first, len(on)).astype(np.int32))
@@ -176,10 +192,11 @@ def removed_intervals(
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             flat = np.repeat(found.start[on] - offsets[:-1], lengths) + np.arange(offsets[-1])
             hot_here = in_bitmap(crowded.value, found.anchor[on])
-            dealt = mixed(np.where(hot_here, found.key[on], found.anchor[on])) % np.uint64(shards)
+            run = found.keys(on)
+            dealt = mixed(np.where(hot_here, run, found.anchor[on])) % np.uint64(shards)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(dealt.astype(np.int32)), pa.array(found.key[on].view(np.int64)),
+                    pa.array(dealt.astype(np.int32)), pa.array(run.view(np.int64)),
                     pa.array(doc[found.text[on]]),
                     pa.ListArray.from_arrays(
                         pa.array(offsets.astype(np.int32)), pa.array(found.hashes[flat].view(np.int64))

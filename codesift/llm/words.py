@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: Bytes that part words: space and tab to carriage return.
 BLANKS = np.zeros(256, dtype=bool)
@@ -12,8 +13,8 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that part normalised words: ASCII that is neither letter nor digit.
 PUNCTUATION = np.array([code < 128 and not chr(code).isalnum() for code in range(256)])
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+#: Bytes of a word that fit into a number together with its length.
+_SHORT = 7
 
 
 @dataclass(frozen=True)
@@ -36,31 +37,29 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, remembered per worker."""
-    global _powers
-    if len(_powers[0]) < size:
-        size = max(size, 2 * len(_powers[0]))
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        tables = []
-        for base in (_BASE, inverse):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _powers = (tables[0], tables[1])
-    return _powers
-
-
 def words_of(texts: list[str], parting: np.ndarray = BLANKS) -> Words:
-    """Words are what bytes marked in ``parting`` part; equal words have equal hashes wherever they stand."""
+    """Words are what bytes marked in ``parting`` part; equal words have equal hashes wherever they stand.
+
+    Words of up to seven bytes are numbers of their own, turned about one to one; longer ones are told apart by XXH64.
+    """
     encoded = [text.encode("utf-8", "surrogatepass") for text in texts]
     data = np.frombuffer(b"\n".join(encoded) + b"\n", dtype=np.uint8)
     ends_of_texts = np.cumsum(np.fromiter((len(text) + 1 for text in encoded), dtype=np.int64, count=len(encoded)))
     blank = parting[data]
     before = np.concatenate([[True], blank[:-1]])
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-    up, down = power_tables(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    numbers = np.minimum(sizes, _SHORT + 1).astype(np.uint64) << np.uint64(56)
+    for place in range(_SHORT):
+        there = np.flatnonzero(sizes > place)
+        numbers[there] |= data[starts[there] + place].astype(np.uint64) << np.uint64(8 * place)
+    hashes = mixed(numbers)
+    long = np.flatnonzero(sizes > _SHORT)
+    if len(long):
+        view = memoryview(data)
+        hashes[long] = [
+            xxhash.xxh64_intdigest(view[start:end])
+            for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        ]
     first = np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
     return Words(hashes, first.astype(np.int64))
