@@ -34,20 +34,33 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without id stay."""
-    found = stored(simhash.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return without(docs, dropped)
+    """Of each group of near copies one row: that with the smallest id, of equal ids any, without an id only if none has.
+
+    Decided by row, so rows that share an id, or have none, stand for themselves. Null and empty texts are alike.
+    """
+    row = spare_name(docs.columns, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = stored(simhash.near_duplicates(numbered.select(row, column("text").alias("text")), row), "near-duplicates")
+    several = found.filter(F.col(row) != F.col("component_id")).select("component_id").distinct()
+    groups = found.join(several, "component_id", "left_semi").select(row, "component_id")
+    members = groups.join(numbered.select(row, column("doc_id").alias("_id")), row)
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("_id"), "_id", row)).alias("first"))
+    dropped = groups.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti").select(row)
+    return without(numbered, dropped, row).drop(row)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null and empty texts contain none. Each row is judged by its own text."""
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return docs.filter(F.size(decontamination.matches(docs, benchmark)) == 0)
+    found = spare_name(docs.columns, "_found")
+    return decontamination.with_matches(docs, benchmark, found).filter(F.size(found) == 0).drop(found)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, their number and the text that the ids decode to."""
+    """Documents with their token ids, their number and the text that the ids decode to; null and empty texts have none.
+
+    The new columns get other names where the documents have columns of theirs.
+    """
     path = tokenizer_file(TOKENIZER)
     ids, number, decoded = (spare_name(docs.columns, name) for name in ("token_ids", "n_tokens", "decoded"))
     return bpe.encode(docs, path, ids_col=ids, decoded_col=decoded).withColumn(number, F.size(ids).cast("long"))
