@@ -126,44 +126,75 @@ def _may_interest(text: Column, detectors: Sequence[Detector]) -> Column:
     return has_word(text, [w for d in detectors for w in d.words]) & text.rlike(hint)
 
 
-def _has_words(code: Column, detectors: Sequence[Detector]) -> Column:
+def has_detector_words(code: Column, detectors: Sequence[Detector]) -> Column:
     if not all(d.words for d in detectors):
         return F.lit(True)
     return has_word(code, [w for d in detectors for w in d.file_words or d.words])
 
 
-def scannable(files: DataFrame, denied_suffixes: Sequence[str] = ()) -> DataFrame:
-    """Files the line rules look at: not generated, not vendored, not on the deny list."""
-    skip = paths.is_generated_path(F.col("path")) | paths.is_vendor_file(F.col("path"))
+def is_skipped_path(path: Column, denied_suffixes: Sequence[str] = ()) -> Column:
+    """Files that no line rule reads: generated, vendored, on the deny list."""
+    skip = paths.is_generated_path(path) | paths.is_vendor_file(path)
     for ending in denied_suffixes:
-        skip = skip | F.translate("path", "\\", "/").endswith(ending)
-    return files.filter(~skip)
+        skip = skip | F.translate(path, "\\", "/").endswith(ending)
+    return skip
+
+
+def scannable(files: DataFrame, denied_suffixes: Sequence[str] = ()) -> DataFrame:
+    """Files the line rules look at."""
+    return files.filter(~is_skipped_path(F.col("path"), denied_suffixes))
+
+
+def file_flags(detectors: Sequence[Detector]) -> dict[str, FileFlag]:
+    return {flag.name: flag for d in detectors for flag in d.flags}
+
+
+def path_flags() -> list[Column]:
+    path = F.col("path")
+    return [
+        paths.is_test_file(path).alias("is_test"),
+        paths.in_example_dir(path).alias("is_example"),
+        paths.is_demo_path(path).alias("is_demo"),
+        paths.is_benchmark_path(path).alias("is_benchmark"),
+    ]
 
 
 def candidates(
     files: DataFrame, detectors: Sequence[Detector], skip_minified: bool = True
 ) -> DataFrame:
     """One row per line that may interest a detector, with its block of neighbours."""
-    flags = {flag.name: flag for d in detectors for flag in d.flags}
+    flags = file_flags(detectors)
     before = max(d.before for d in detectors)
     after = max(d.after for d in detectors)
 
     # Not a filter: Catalyst would move the search below a shuffle that spreads a small input,
     # and into the scan's single task.
-    searched = F.when(_has_words(F.col("code"), detectors), split_lines(F.col("code")))
+    searched = F.when(has_detector_words(F.col("code"), detectors), split_lines(F.col("code")))
     rows = files.select("repo", "path", "language", "code", searched.alias("lines"))
     rows = rows.select(
         "repo",
         "path",
         "language",
         "lines",
-        paths.is_test_file(F.col("path")).alias("is_test"),
-        paths.in_example_dir(F.col("path")).alias("is_example"),
-        paths.is_demo_path(F.col("path")).alias("is_demo"),
-        paths.is_benchmark_path(F.col("path")).alias("is_benchmark"),
+        *path_flags(),
         *[F.when(F.col("lines").isNotNull(), flag.column()).alias(name) for name, flag in flags.items()],
     )
 
+    no_rows = F.size("lines") == 0
+    if skip_minified:
+        no_rows = no_rows | paths.has_long_line(F.col("lines"))
+    kept = ["repo", "path", "language", "is_test", "is_example", "is_demo", "is_benchmark", *flags]
+    blocks = line_blocks(rows, kept, ~no_rows, before, after).filter(F.col("block").isNotNull())
+    blocks = blocks.select(*kept, "block.*")
+    hits = blocks.select("*", F.explode_outer(interesting_lines(detectors)).alias("at"))
+    return hits.filter(F.col("at").isNotNull()).select(*kept, "segment", "at", *line_at())
+
+
+def line_blocks(rows: DataFrame, kept: Sequence[str], wanted: Column, before: int, after: int) -> DataFrame:
+    """``kept`` columns with a ``block`` of ``lines`` per row, where a file is ``wanted``; else one row with null.
+
+    Blocks overlap by what a window needs before and after a line; ``low`` to ``high`` are the lines that are theirs.
+    """
     lines = F.col("lines")
 
     def block(start: Column) -> Column:
@@ -177,17 +208,15 @@ def candidates(
             F.slice(lines, first + 1, stop - first + 1).alias("segment"),
         )
 
-    no_rows = F.size(lines) == 0
-    if skip_minified:
-        no_rows = no_rows | paths.has_long_line(lines)
     starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(BLOCK_LINES))
     # The outer form keeps Catalyst from inferring a size filter that would split twice.
-    kept = ["repo", "path", "language", "is_test", "is_example", "is_demo", "is_benchmark", *flags]
-    blocks = rows.select(
-        *kept, F.explode_outer(F.when(~no_rows, F.transform(starts, block))).alias("block")
-    ).filter(F.col("block").isNotNull())
-    blocks = blocks.select(*kept, "block.*")
+    return rows.select(*kept, F.explode_outer(F.when(wanted, F.transform(starts, block))).alias("block"))
 
+
+def interesting_lines(
+    detectors: Sequence[Detector], wanted: Column | None = None, also: Callable[[Column], Column] | None = None
+) -> Column:
+    """Places within ``segment`` of the lines that may interest a detector where it is ``wanted``, or ``also``."""
     by_gate: dict[Callable[[], Column] | None, list[Detector]] = {}
     for detector in detectors:
         by_gate.setdefault(detector.gate, []).append(detector)
@@ -198,18 +227,19 @@ def candidates(
         for gate, group in by_gate.items():
             hit = _may_interest(text, group)
             found = found | (hit if gate is None else gate() & hit)
-        return found
-
-    hits = blocks.select(
-        "*", F.explode_outer(F.filter(F.sequence("low", "high"), interesting)).alias("at")
-    ).filter(F.col("at").isNotNull())
-    return hits.select(
-        *kept,
-        "segment",
-        "at",
+        if wanted is not None:
+            found = wanted & found
+        return found if also is None else found | also(text)
+
+    return F.filter(F.sequence("low", "high"), interesting)
+
+
+def line_at() -> list[Column]:
+    """Number and text of the line at a place of a block."""
+    return [
         (F.col("base") + F.col("at") + 1).alias("line_no"),
         F.element_at("segment", F.col("at") + 1).alias("line"),
-    )
+    ]
 
 
 _findings: dict[tuple, tuple[Column, dict, Detector]] = {}
@@ -247,28 +277,39 @@ def detect(
     """Findings of the selected detectors, file policy applied, metadata not yet attached."""
     if skip_minified:
         files = scannable(files, denied_suffixes)
+    findings, windows = finding_columns(files.sparkSession, detectors, policy)
+    kept = ["repo", "path", "language", "is_test", "is_demo", "line_no", "line"]
+    # The plain array is its own projection, which is compiled; a higher-order function around
+    # it, or the generator itself, would interpret every pattern test.
+    found = candidates(files, detectors, skip_minified).select("*", *windows)
+    found = found.select(*kept, F.array(*findings).alias("findings"))
+    found = found.select(*kept, F.explode_outer("findings").alias("finding"))
+    found = found.filter(F.col("finding").isNotNull())
+    return found.select(
+        "repo", "path", "language", "is_test", "is_demo", "line_no", "finding.*",
+        shown_line(detectors).alias("line"),
+    )
+
+
+def finding_columns(
+    spark: SparkSession, detectors: Sequence[Detector], policy: bool
+) -> tuple[list[Column], list[Column]]:
+    """Each detector's finding, and the windows that they read."""
     findings = []
     windows: dict[str, tuple[int, int]] = {}
     for detector in detectors:
-        finding, used = _finding(files.sparkSession, detector, policy)
+        finding, used = _finding(spark, detector, policy)
         findings.append(finding)
         windows |= used
-    indented = [d.rule_id for d in detectors if d.keep_indent]
-    kept = ["repo", "path", "language", "is_test", "is_demo", "line_no", "line"]
-    # The plain array is its own projection, which is compiled; a higher-order function around
-    # it, or the generator itself, would interpret every pattern test.
-    texts = [
+    return findings, [
         window_text(F.col("segment"), F.col("at"), before, after).alias(name)
         for name, (before, after) in windows.items()
     ]
-    found = candidates(files, detectors, skip_minified).select("*", *texts)
-    found = found.select(*kept, F.array(*findings).alias("findings"))
-    found = found.select(*kept, F.explode_outer("findings").alias("finding"))
-    found = found.filter(F.col("finding").isNotNull())
-    shown = F.when(F.col("finding.rule_id").isin(indented), rstrip(F.col("line"))).otherwise(
+
+
+def shown_line(detectors: Sequence[Detector]) -> Column:
+    """The line as a finding shows it."""
+    indented = [d.rule_id for d in detectors if d.keep_indent]
+    return F.when(F.col("finding.rule_id").isin(indented), rstrip(F.col("line"))).otherwise(
         strip(F.col("line"))
     )
-    return found.select(
-        "repo", "path", "language", "is_test", "is_demo", "line_no", "finding.*",
-        shown.alias("line"),
-    )

@@ -2,58 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.functions import patterns as P
 from codesift.functions import paths
 from codesift.functions.imports import ecosystem_of, normalize_package, package_of, raw_import
 from codesift.functions.text import split_lines, strip
+from codesift.operators.nesting import nearest_marked
+from codesift.session import written_table
 
-_IMPORT_HINT = "import|require|from"
+IMPORT_HINT = "import|require|from"
 
 
-def _is_migration(path: Column) -> Column:
+def is_migration(path: Column) -> Column:
     return F.array_contains(paths.parts(path), "migrations") & (paths.suffix(path) == ".py")
 
 
+def import_of(line: Column, language: Column) -> Column:
+    """(ecosystem, package) that a line imports; null without one, for built-in modules and for path aliases."""
+    module = raw_import(line, language)
+    package = package_of(module, language)
+    # Python compares the top-level name with the standard library, JavaScript the whole module.
+    builtin = F.when(language == "python", package.isin(P.PYTHON_STDLIB)).otherwise(module.isin(P.JS_BUILTINS))
+    alias_path = (language != "python") & module.startswith("@/")
+    found = F.struct(ecosystem_of(language).alias("ecosystem"), package.alias("package"))
+    return F.when((module != "") & ~builtin & ~alias_path, found)
+
+
 def import_lines(files: DataFrame) -> DataFrame:
     """One row per import line, built-in modules left out. No shuffle: all of it is per file."""
     language = F.col("language")
 
     def read(line: Column, index: Column) -> Column:
-        module = raw_import(line, language)
+        found = import_of(line, language)
         return F.when(
-            module != "",
+            found.isNotNull(),
             F.struct(
-                (index + 1).alias("line_no"), strip(line).alias("line"), module.alias("module")
+                found["ecosystem"].alias("ecosystem"), found["package"].alias("package"),
+                (index + 1).alias("line_no"), strip(line).alias("line"),
             ),
         )
 
     found = F.array_compact(F.transform(split_lines(F.col("code")), read))
-    rows = (
-        files.filter(F.col("code").rlike(_IMPORT_HINT))
+    return (
+        files.filter(F.col("code").rlike(IMPORT_HINT))
         .select("repo", "path", "language", F.explode_outer(found).alias("found"))
         .filter(F.col("found").isNotNull())
         .select("repo", "path", "language", "found.*")
     )
-    # Python compares the top-level name with the standard library, JavaScript the whole module.
-    compared = F.when(language == "python", package_of(F.col("module"), language)).otherwise(
-        F.col("module")
-    )
-    builtin = F.when(language == "python", compared.isin(P.PYTHON_STDLIB)).otherwise(
-        compared.isin(P.JS_BUILTINS)
-    )
-    alias_path = (language != "python") & F.col("module").startswith("@/")
-    return rows.filter(~builtin & ~alias_path).select(
-        "repo",
-        "path",
-        "language",
-        ecosystem_of(language).alias("ecosystem"),
-        package_of(F.col("module"), language).alias("package"),
-        "line_no",
-        "line",
-    )
 
 
 def distinct_imports_per_file(imports: DataFrame) -> DataFrame:
@@ -94,28 +91,6 @@ def missing_imports(imports: DataFrame, registry: DataFrame) -> DataFrame:
     return named.join(absent, ["ecosystem", "registry_name"], "left_semi").drop("registry_name")
 
 
-def local_modules(listing: DataFrame) -> DataFrame:
-    """(repo, dir, module) for each directory and each ``.py`` file of the listing."""
-    path = F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(F.col("path"))
-    segments = F.split(path, "/")
-    # Every prefix of the path names a directory; the last segment names a file.
-    entry = F.transform(
-        segments,
-        lambda name, index: F.struct(
-            F.array_join(F.slice(segments, 1, index), "/").alias("dir"),
-            F.when(index < F.size(segments) - 1, name)
-            .when(name.endswith(".py"), F.regexp_replace(name, r"\.py$", ""))
-            .alias("module"),
-        ),
-    )
-    return (
-        listing.select("repo", F.explode(entry).alias("entry"))
-        .select("repo", "entry.*")
-        .filter(F.col("module").isNotNull() & (F.col("module") != ""))
-        .distinct()
-    )
-
-
 def marked_dirs(listing: DataFrame) -> DataFrame:
     """Directories that hold a project marker (a file or directory such as ``.git``)."""
     path = F.col("path")
@@ -135,43 +110,72 @@ def source_dirs(listing: DataFrame) -> DataFrame:
     return listing.select("repo", paths.directory_of(F.col("path")).alias("dir")).distinct()
 
 
-def project_roots(listing: DataFrame) -> DataFrame:
-    """Nearest marked directory at or above each (repo, dir), at most ten levels up."""
-    climbed = source_dirs(listing).select(
-        "repo", "dir", F.posexplode(paths.ancestors(F.col("dir"))).alias("depth", "ancestor")
+def project_roots(listing: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
+    """(repo, dir, root): nearest marked directory at or above each of ``dirs`` (all of the listing), ten levels at most."""
+    dirs = source_dirs(listing) if dirs is None else dirs
+    return nearest_marked(dirs, marked_dirs(listing), P.MAX_ANCESTORS)
+
+
+def existing_modules(places: DataFrame, listing: DataFrame) -> DataFrame:
+    """Those of ``places`` (repo, place: a path without suffix) where the listing has a ``.py`` file or a directory.
+
+    A directory need not be listed itself: it is there if any path lies below it. Places and paths are put in order, and
+    the path that follows ``place/`` lies below it or nothing does; so no path is taken apart into its parents.
+    """
+    path = F.col("path")
+    modules = listing.filter(~F.col("is_dir") & path.endswith(".py")).select(
+        "repo", F.regexp_replace(path, r"\.py$", "").alias("place")
     )
-    return (
-        climbed.join(marked_dirs(listing), ["repo", "ancestor"], "left_semi")
-        .groupBy("repo", "dir")
-        .agg(F.min_by("ancestor", "depth").alias("root"))
+    files = places.join(modules, ["repo", "place"], "left_semi")
+    listed = F.when(F.col("is_dir"), F.concat("path", F.lit("/"))).otherwise(path)
+    keys = listing.select("repo", listed.alias("key"), F.lit(None).cast("string").alias("place")).unionByName(
+        places.select("repo", F.concat("place", F.lit("/")).alias("key"), "place")
     )
+    # A repository is split by its top folders; what begins with a place lies in the same one.
+    from_below = Window.partitionBy("repo", F.substring_index("key", "/", 1)).orderBy(
+        F.desc("key"), F.col("place").isNotNull()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.last(F.when(F.col("place").isNull(), F.col("key")), ignorenulls=True).over(from_below)
+    folders = keys.withColumn("following", following).filter(
+        F.col("place").isNotNull() & F.startswith("following", F.col("key"))
+    )
+    return files.unionByName(folders.select("repo", "place")).distinct()
 
 
 def drop_local_packages(imports: DataFrame, listing: DataFrame) -> DataFrame:
-    """Drop imports of a module at the project root or beside the importing file."""
+    """Drop imports of a module at the project root or beside the importing file (where a project root exists).
+
+    ``imports`` are written once. Of the listing only repositories that import something are looked at.
+    """
+    imports = written_table(imports, "imports")
+    listing = listing.join(imports.select("repo").distinct(), "repo", "left_semi")
     with_dir = imports.withColumn("dir", paths.directory_of(F.col("path")))
-    rooted = with_dir.join(project_roots(listing), ["repo", "dir"], "left")
-    modules = local_modules(listing)
-    at_root = modules.select("repo", F.col("dir").alias("root"), F.col("module").alias("package"))
-    # Beside the file only counts where a project root exists.
-    beside = modules.select(
-        "repo", F.col("dir").alias("sibling_dir"), F.col("module").alias("package")
-    )
-    checked = rooted.withColumn("sibling_dir", F.when(F.col("root").isNotNull(), F.col("dir")))
-    return (
-        checked.join(at_root, ["repo", "root", "package"], "left_anti")
-        .join(beside, ["repo", "sibling_dir", "package"], "left_anti")
-        .select(*imports.columns)
+    roots = project_roots(listing, with_dir.select("repo", "dir").distinct())
+    rooted = with_dir.join(roots, ["repo", "dir"], "left").withColumn(
+        # A name that is itself a path names no module of the project.
+        "places", F.when(
+            F.col("root").isNotNull() & ~F.contains("package", F.lit("/")),
+            F.array(*[F.ltrim(F.concat(place, F.lit("/"), F.col("package")), F.lit("/")) for place in ("root", "dir")]),
+        ),
     )
+    rooted = written_table(rooted, "rooted-imports")
+    places = rooted.select("repo", F.explode("places").alias("place")).distinct()
+    local = existing_modules(places, listing)
+    for number in range(2):
+        at = local.withColumnRenamed("place", f"_place{number}")
+        rooted = rooted.withColumn(f"_place{number}", F.get("places", F.lit(number))).join(
+            at, ["repo", f"_place{number}"], "left_anti"
+        )
+    return rooted.select(*imports.columns)
 
 
 def scanned_imports(files: DataFrame) -> DataFrame:
     """The imports that P001 looks at: those of migrations are left out."""
-    return import_lines(files.filter(~_is_migration(F.col("path"))))
+    return import_lines(files.filter(~is_migration(F.col("path"))))
 
 
 def unknown_imports(imports: DataFrame, registry: DataFrame, listing: DataFrame) -> DataFrame:
-    """P001 findings. The registry filter comes first: it leaves few rows for the other joins."""
+    """P001 findings. The registry filter comes first: it leaves few rows, and few repositories, for the rest."""
     missing = drop_aliased(missing_imports(imports, registry))
     first = distinct_imports_per_file(drop_local_packages(missing, listing))
     return first.select(

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions import paths
+from codesift.functions import patterns as P
 from codesift.operators.detectors.access import has_auth_words
+from codesift.operators.nesting import nearest_marked
+
+
+ACCESS = "A001"
 
 
 def first_access_finding_per_file(findings: DataFrame) -> DataFrame:
     """Keep every other finding and the first A001 of each file.
 
-    Only findings are shuffled, never code, and a window only holds one rule of one file.
+    Only access findings are shuffled, and of each task's part of a file one row; nothing else moves. ``findings`` is read
+    twice, so it should be a table.
     """
-    ranked = Window.partitionBy("repo", "path", "rule_id").orderBy("line_no")
-    return (
-        findings.withColumn("_rank", F.row_number().over(ranked))
-        .filter((F.col("rule_id") != "A001") | (F.col("_rank") == 1))
-        .drop("_rank")
+    access = findings.filter(F.col("rule_id") == ACCESS)
+    names = [name for name in findings.columns if name not in ("repo", "path")]
+    firsts = (
+        access.groupBy("repo", "path").agg(F.min_by(F.struct(*names), "line_no").alias("first"))
+        .select("repo", "path", "first.*").select(*findings.columns)
     )
+    return findings.filter(F.col("rule_id") != ACCESS).unionByName(firsts)
 
 
 def repos_with_auth(files: DataFrame) -> DataFrame:
@@ -37,17 +44,9 @@ def drop_access_findings_without_auth(findings: DataFrame, files: DataFrame) ->
 
 
 def drop_access_findings_outside(findings: DataFrame, auth_repos: DataFrame) -> DataFrame:
-    """Drop A001 in repositories that ``auth_repos`` (one row each) does not name."""
-    auth = auth_repos.withColumn("_auth", F.lit(True))
-    return (
-        findings.join(auth, "repo", "left")
-        .filter((F.col("rule_id") != "A001") | F.col("_auth").isNotNull())
-        .drop("_auth")
-    )
-
-
-def _explode_ancestors(dirs: DataFrame) -> DataFrame:
-    return dirs.select("*", F.posexplode(paths.ancestors(F.col("dir"))).alias("depth", "ancestor"))
+    """Drop A001 in repositories that ``auth_repos`` (one row each) does not name. Only A001 is joined."""
+    access = findings.filter(F.col("rule_id") == ACCESS).join(auth_repos, "repo", "left_semi")
+    return findings.filter(F.col("rule_id") != ACCESS).unionByName(access.select(*findings.columns))
 
 
 def settings_roots(listing: DataFrame) -> DataFrame:
@@ -74,32 +73,33 @@ def settings_roots(listing: DataFrame) -> DataFrame:
     )
 
 
-def dirs_with_settings(listing: DataFrame) -> DataFrame:
-    """The (repo, dir) rows that see a settings module in themselves or up to ten levels above.
+def dirs_with_settings(listing: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
+    """Those of ``dirs`` (repo, dir; by default of all Python files) that see a settings module in themselves or above.
 
     Derived from the listing alone, so file contents are not read a second time.
     """
-    dirs = listing.filter(F.col("path").endswith(".py")).select(
-        "repo", paths.directory_of(F.col("path")).alias("dir")
-    )
-    climbed = _explode_ancestors(dirs.distinct())
-    return climbed.join(settings_roots(listing), ["repo", "ancestor"], "left_semi").select(
-        "repo", "dir"
-    ).distinct()
+    if dirs is None:
+        dirs = listing.filter(F.col("path").endswith(".py")).select(
+            "repo", paths.directory_of(F.col("path")).alias("dir")
+        ).distinct()
+    return nearest_marked(dirs, settings_roots(listing), P.MAX_ANCESTORS).select("repo", "dir")
 
 
 def lower_django_routes(findings: DataFrame, listing: DataFrame) -> DataFrame:
-    """Python route findings of a project with a settings module become low."""
-    seen = dirs_with_settings(listing).withColumn("_django", F.lit(True))
-    hit = (
-        (F.col("rule_id") == "A001")
-        & (F.col("language") == "python")
-        & F.col("_django").isNotNull()
-    )
-    return (
-        findings.withColumn("dir", paths.directory_of(F.col("path")))
-        .join(seen, ["repo", "dir"], "left")
+    """Python route findings of a project with a settings module become low.
+
+    Only those findings are joined, and only their repositories are looked up in the listing. ``findings`` is read
+    several times, so it should be a table.
+    """
+    concerned = (F.col("rule_id") == ACCESS) & (F.col("language") == "python")
+    routes = findings.filter(concerned).withColumn("dir", paths.directory_of(F.col("path")))
+    dirs = routes.select("repo", "dir").distinct()
+    near = listing.join(dirs.select("repo").distinct(), "repo", "left_semi")
+    seen = dirs_with_settings(near, dirs).withColumn("_django", F.lit(True))
+    hit = F.col("_django").isNotNull()
+    lowered = (
+        routes.join(seen, ["repo", "dir"], "left")
         .withColumn("severity", F.when(hit, "low").otherwise(F.col("severity")))
         .withColumn("variant", F.when(hit, "route-django").otherwise(F.col("variant")))
-        .drop("dir", "_django")
     )
+    return findings.filter(~concerned).unionByName(lowered.select(*findings.columns))

@@ -23,6 +23,11 @@ def scan_summary(findings: DataFrame, scope: DataFrame) -> DataFrame:
     ).select("repo", "files_scanned", "total_findings", "high", "medium", "low", "truncated")
 
 
+def scope_of(files: DataFrame) -> DataFrame:
+    """Scope of files that were all read: (repo, files_scanned, truncated)."""
+    return files.groupBy("repo").agg(F.count("*").alias("files_scanned"), F.lit(False).alias("truncated"))
+
+
 def severity_rollup(findings: DataFrame) -> DataFrame:
     """Counts per repository and severity with sub-totals."""
     return findings.rollup("repo", "severity").agg(F.count("*").alias("findings"))

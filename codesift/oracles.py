@@ -800,6 +800,38 @@ def directory_sql(select: str, *more: str) -> str:
     return with_([*directory_tables(), *more], select, recursive=True)
 
 
+#: The corpus as it stands after each of three batches: the step is part of the repository's name.
+STEPS = CORPUS.replace(
+    "SELECT repo_kind || CAST(p_size AS VARCHAR) AS repo,",
+    "SELECT repo_kind || CAST(p_size AS VARCHAR) || '#' || CAST(step AS VARCHAR) AS repo,",
+).replace(
+    f"{_filled('scode')} AS code,",
+    f"CASE WHEN step = 2 AND p_partkey % 6 = 0 THEN '' ELSE {_filled('scode')} END AS code,",
+).replace("FROM part JOIN", "FROM (VALUES (0), (1), (2)) AS steps(step) JOIN part ON p_partkey % 3 <= step JOIN")
+
+
+def changes_sql() -> str:
+    columns = "repo, path, line_no, rule_id, severity, variant, evidence, line"
+    return with_(
+        [
+            *all_findings(STEPS), "listing AS (SELECT repo, path FROM corpus)", DJANGO, RAW, REGISTRY,
+            IMPORTS.replace(SPLIT + ",", ""), ROOTS, LOCAL, UNKNOWN,
+            f"authed AS (SELECT DISTINCT repo FROM files WHERE {m('code', P.AUTH_WORDS)})",
+            f"""tagged AS (
+  SELECT {columns} FROM raw WHERE rule_id <> 'A001' OR repo IN (SELECT repo FROM authed)
+  UNION ALL SELECT {columns} FROM unknown)""",
+            f"""views AS (
+  SELECT CAST(split_part(repo, '#', 2) AS INTEGER) AS step, split_part(repo, '#', 1) AS repo,
+         {columns.removeprefix('repo, ')} FROM tagged)""",
+            f"""signed AS (
+  SELECT step, 1 AS op, {columns} FROM views
+  UNION ALL SELECT step + 1, -1, {columns} FROM views WHERE step < 2)""",
+        ],
+        f"SELECT step AS batch, CAST(sum(op) AS INTEGER) AS op, {columns.removesuffix(', evidence, line')} "
+        f"FROM signed GROUP BY step, {columns} HAVING sum(op) <> 0", recursive=True,
+    )
+
+
 _PAGE_HOST = "regexp_extract(url, '^https?://([^/]+)/', 1)"
 _NAMES = """
 names AS (
@@ -1103,6 +1135,10 @@ FROM (SELECT rule_id, count(*) AS cases, count(DISTINCT repo) AS repos,
         FROM corpus c JOIN labels_ l USING (case_id)) GROUP BY rule_id)""",
         _evaluated(),
     )
+    sql["published_changes"] = changes_sql()
+    sql["scan_log_append"] = with_([_SCAN_LOG], "SELECT repo, findings, files, ts FROM scan_log")
+    for name in ("directory_files", "file_stream"):
+        sql[name] = with_([CORPUS], "SELECT repo, path, language, size_bytes, md5(code) AS code_md5 FROM files")
     sql["scan_log_rollup"] = with_(
         [_SCAN_LOG],
         "SELECT date_trunc('hour', ts) AS bucket_start, count(*) AS scans, CAST(sum(findings) AS BIGINT) AS findings, "

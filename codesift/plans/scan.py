@@ -9,24 +9,36 @@ from pyspark.sql import functions as F
 
 from codesift.operators.catalog import attach_metadata
 from codesift.operators.detectors import DETECTORS
-from codesift.operators.engine import Detector, detect
-from codesift.operators.packages import unknown_packages
+from codesift.operators.engine import Detector
+from codesift.operators.facts import Facts, file_facts, stored_facts
+from codesift.operators.packages import unknown_imports
 from codesift.operators.repo_rules import (
-    drop_access_findings_without_auth,
+    drop_access_findings_outside,
     first_access_finding_per_file,
     lower_django_routes,
 )
-from codesift.session import cut_lineage
 from codesift.sources.files import Profile, select_files
 
-_RAW = ["repo", "path", "language", "line_no", "rule_id", "severity", "variant", "evidence", "line"]
-
 
 def path_listing(files: DataFrame) -> DataFrame:
     """Listing made of the files themselves, where no fuller one is at hand."""
     return files.select("repo", "path", F.lit(False).alias("is_dir"))
 
 
+def scan_facts(
+    files: DataFrame, detectors: Sequence[Detector] | None = None, skip_minified: bool = True,
+    denied_suffixes: Sequence[str] = (),
+) -> Facts:
+    """The facts of the files, found in one pass over their text and stored."""
+    return stored_facts(file_facts(files, list(detectors or DETECTORS.values()), skip_minified, denied_suffixes))
+
+
+def line_findings(facts: Facts, listing: DataFrame | None = None) -> DataFrame:
+    """Findings of the line rules with every rule of one file or one project applied."""
+    listing = path_listing(facts.files) if listing is None else listing
+    return lower_django_routes(first_access_finding_per_file(facts.findings), listing)
+
+
 def raw_findings(
     files: DataFrame,
     detectors: Sequence[Detector] | None = None,
@@ -34,13 +46,8 @@ def raw_findings(
     skip_minified: bool = True,
     denied_suffixes: Sequence[str] = (),
 ) -> DataFrame:
-    """Findings of the line rules with every per-file rule applied."""
-    chosen = list(detectors or DETECTORS.values())
-    found = detect(files, chosen, skip_minified, True, denied_suffixes).select(*_RAW)
-    if any(d.rule_id == "A001" for d in chosen):
-        found = first_access_finding_per_file(found)
-        found = lower_django_routes(found, path_listing(files) if listing is None else listing)
-    return found
+    """``line_findings`` of files."""
+    return line_findings(scan_facts(files, detectors, skip_minified, denied_suffixes), listing)
 
 
 def scan(
@@ -51,27 +58,26 @@ def scan(
     detectors: Sequence[Detector] | None = None,
     skip_minified: bool = True,
     denied_suffixes: Sequence[str] = (),
-    materialize: bool = False,
 ) -> DataFrame:
-    """Findings with metadata.
+    """Findings with metadata. The text is read once, here; what is returned starts from the stored facts.
 
     Without a profile all files are read and no repository-wide filter applies.
-    With ``materialize`` the raw findings are checkpointed, after which the auth
-    words are only looked for in repositories that have access findings.
     """
     if profile is not None:
         files = select_files(files, profile)
-    paths = path_listing(files) if listing is None else listing
-    found = raw_findings(files, detectors, paths, skip_minified, denied_suffixes)
+    return found_in(scan_facts(files, detectors, skip_minified, denied_suffixes), profile, listing, registry)
+
+
+def found_in(
+    facts: Facts, profile: Profile | None = None, listing: DataFrame | None = None, registry: DataFrame | None = None,
+) -> DataFrame:
+    """What a scan under a profile finds in files whose facts are stored."""
+    paths = path_listing(facts.files) if listing is None else listing
+    found = line_findings(facts, paths)
     if profile is not None and profile.needs_repo_auth:
-        read = files
-        if materialize:
-            found = cut_lineage(found)
-            concerned = found.filter(F.col("rule_id") == "A001").select("repo").distinct()
-            read = files.join(concerned, "repo", "left_semi")
-        found = drop_access_findings_without_auth(found, read)
+        found = drop_access_findings_outside(found, facts.auth_repos)
     if registry is not None and (profile is None or profile.checks_packages):
-        found = found.unionByName(unknown_packages(files, registry, paths))
+        found = found.unionByName(unknown_imports(facts.imports, registry, paths))
     return attach_metadata(found)
 
 

@@ -21,11 +21,17 @@ from codesift.operators.detectors.injection import assigned_sql_above
 from codesift.operators.engine import Detector, Line, candidates, detect, report, scannable
 from codesift.operators.extension import RuleSpec, detector_of
 from codesift.operators.rate_limit import rate_limit
-from codesift.plans.scan import order_findings, raw_findings, report_order, scan
+from codesift.operators.facts import Facts
+from codesift.plans.scan import found_in, line_findings, order_findings, raw_findings, report_order, scan_facts
+from codesift.session import new_table_path, written_table
 from codesift.sources import corpus
 from codesift.sources.batches import dedupe_repos
-from codesift.sources.files import PROFILES, cap_files, scan_scope, select_files, text_corpus
-from codesift.sources.sinks import export_findings
+from codesift.sources.files import (
+    PROFILES, cap_files, scan_scope, select_files, source_files, source_files_stream, text_corpus,
+)
+from codesift.sources.sinks import append_scan_log, export_findings, load_scan_log
+from codesift.sources.tree import write_tree
+from codesift.streaming.scan import changes, publish_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,13 +60,19 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_corpus(turns, "place", "text", "role")
 
 
-def corpus_scan(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan of the corpus under the directory profile."""
+    return _found_in(spark, sf_dir, _directory_facts(spark, sf_dir))
+
+
+def _directory_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    """The facts of the files that the directory profile reads."""
+    return scan_facts(select_files(corpus.code_corpus(spark, sf_dir), PROFILES["directory"]))
+
+
+def _found_in(spark: SparkSession, sf_dir: str, facts: Facts) -> DataFrame:
     registry = packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of())
-    return scan(
-        corpus.code_corpus(spark, sf_dir), PROFILES["directory"],
-        corpus.code_listing(spark, sf_dir), registry, **options,
-    )
+    return found_in(facts, PROFILES["directory"], corpus.code_listing(spark, sf_dir), registry)
 
 
 def _as_of() -> Column:
@@ -284,7 +296,7 @@ def denied_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_access_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(corpus.code_corpus(spark, sf_dir), [DETECTORS["open_route"]])
+    found = written_table(detect(corpus.code_corpus(spark, sf_dir), [DETECTORS["open_route"]]), "routes")
     return repo_rules.first_access_finding_per_file(found).select("repo", "path", "line_no")
 
 
@@ -346,8 +358,9 @@ def repo_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_auth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus.code_corpus(spark, sf_dir)
-    kept = repo_rules.drop_access_findings_without_auth(_raw(spark, sf_dir), files)
+    facts = scan_facts(corpus.code_corpus(spark, sf_dir))
+    found = line_findings(facts, corpus.code_listing(spark, sf_dir))
+    kept = repo_rules.drop_access_findings_outside(found, facts.auth_repos)
     return kept.select("repo", "path", "line_no", "rule_id", "severity")
 
 
@@ -441,7 +454,8 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.scan_summary(corpus_scan(spark, sf_dir), _scope(spark, sf_dir))
+    facts = _directory_facts(spark, sf_dir)
+    return reports.scan_summary(_found_in(spark, sf_dir, facts), reports.scope_of(facts.files))
 
 
 def severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,6 +506,62 @@ def rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rule_evaluation(_raw(spark, sf_dir), corpus.labelled_cases(spark, sf_dir))
 
 
+# --- trees and streams ---------------------------------------------------------------
+
+
+def published_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of three batches of files changes in the published findings."""
+    folder = new_table_path(spark, "published")
+    batches = corpus.code_batches(spark, sf_dir)
+    registry = written_table(packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of()), "registry")
+    for number in range(3):
+        publish_batch(batches.filter(F.col("batch") == number).drop("batch"), number, folder, registry)
+    return changes(spark, folder).select(
+        F.col("batch").cast("int").alias("batch"), "op", "repo", "path", "line_no", "rule_id", "severity", "variant"
+    )
+
+
+def scan_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan history appended in batches of events, one of which is repeated."""
+    path = new_table_path(spark, "scan-log")
+    log = corpus.scan_log(spark, sf_dir).select(
+        "repo", F.col("findings").alias("total_findings"), F.col("files").alias("files_scanned"), "ts"
+    )
+    part = F.pmod(F.col("total_findings"), F.lit(3))
+    for number in (0, 1, 2, 1):
+        append_scan_log(log.filter(part == number), path, F.col("ts"), number)
+    return load_scan_log(spark, path).select("repo", "findings", "files", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The corpus as files below a folder that all executors share."""
+    root = new_table_path(spark, "tree-of-files")
+    files = corpus.code_corpus(spark, sf_dir).select(F.concat_ws("/", "repo", "path").alias("path"), "code")
+    write_tree(files, root)
+    return root
+
+
+def _shown_files(files: DataFrame) -> DataFrame:
+    return files.select("repo", "path", "language", "size_bytes", F.md5("code").alias("code_md5"))
+
+
+def directory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a directory tree, read back by bytes."""
+    return _shown_files(source_files(spark, _tree(spark, sf_dir)))
+
+
+def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream over the log of two listings; each is read once."""
+    root, log, out = _tree(spark, sf_dir), new_table_path(spark, "file-log"), new_table_path(spark, "file-stream")
+    for _ in range(2):
+        query = (
+            _shown_files(source_files_stream(spark, root, log, settle_seconds=0)).writeStream.format("parquet")
+            .option("path", out).option("checkpointLocation", f"{log}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # --- history and rate limits ----------------------------------------------------------
 
 
@@ -587,6 +657,10 @@ QUERIES: dict[str, Query] = {
     "top_rules": top_rules,
     "regression_diff": regression_diff,
     "rule_evaluation": rule_evaluation,
+    "published_changes": published_changes,
+    "scan_log_append": scan_log_append,
+    "directory_files": directory_files,
+    "file_stream": file_stream,
     "scan_log_rollup": scan_log_rollup,
     "recent_scans": recent_scans,
     "scan_totals": scan_totals,

@@ -20,6 +20,9 @@ def build_session(master: str | None = None, app: str = "codesift", **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # Above the largest file cap, so that ranks are limited before the shuffle.
         "spark.sql.optimizer.windowGroupLimitThreshold": "4000",
+        # Keyed state with maps and timers needs it.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -48,6 +51,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, its size known to the plans that join it."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so that several branches read it once."""
     shared_folder(df.sparkSession)

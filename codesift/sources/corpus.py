@@ -54,6 +54,17 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as three batches that land one after the other (``batch``); the last empties some files of the first."""
+    rows = _with_case(spark, sf_dir).select(
+        "repo", "path", paths.language_of(F.col("path")).alias("language"),
+        F.octet_length("code").cast("long").alias("size_bytes"), "code", "p_partkey",
+    )
+    key = F.col("p_partkey")
+    emptied = rows.filter(key % 6 == 0).withColumn("code", F.lit("")).withColumn("size_bytes", F.lit(0).cast("long"))
+    return rows.withColumn("batch", (key % 3).cast("int")).unionByName(emptied.withColumn("batch", F.lit(2))).drop("p_partkey")
+
+
 def expected_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, rule_id, severity, line_no) the cases promise for the corpus."""
     rows = [

@@ -13,7 +13,8 @@ from codesift.functions import patterns as P
 from codesift.functions import paths
 from codesift.functions.text import normalize_newlines
 from codesift.session import new_table_path
-from codesift.sources.tree import TreeSource, walk, with_text
+from codesift.sources.file_log import FileLog
+from codesift.sources.tree import read_texts, walk, with_text
 
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 CAP_SALTS = 64
@@ -72,13 +73,14 @@ def repo_listing(
 
 def source_files(
     spark: SparkSession, root: str, repo: str | None = None, profile: Profile | None = None,
-    listing: DataFrame | None = None,
+    listing: DataFrame | None = None, problems: bool = False,
 ) -> DataFrame:
     """Source files below ``root/<repo>/``, or below ``root`` when ``repo`` names it.
 
     Suffixes, skipped folders, sizes and caps are decided on the listing (``repo_listing`` of the same root, walked here
     where none is given), and only the chosen files are opened: contents are never joined or shuffled. Bytes that are not
-    UTF-8 are left out.
+    UTF-8 are left out. A file that is gone or may not be read by then is left out; with ``problems`` it stays, with null
+    ``code`` and its ``problem`` as a further column.
     """
     if listing is None:
         listing = repo_listing(spark, root, repo, profile.skip_dirs if profile else ())
@@ -86,34 +88,37 @@ def source_files(
     chosen = select_files(files, profile) if profile else files.filter(paths.language_of(F.col("path")).isNotNull())
     below = F.col("path") if repo is not None else F.ltrim(F.concat_ws("/", "repo", "path"), F.lit("/"))
     read = with_text(chosen.withColumn("_place", below), root, "_place", "size_bytes")
-    return read.select(
+    return _as_source_files(read, problems)
+
+
+def _as_source_files(read: DataFrame, problems: bool) -> DataFrame:
+    columns = [
         "repo", "path", paths.language_of(F.col("path")).alias("language"), "size_bytes",
         normalize_newlines(F.col("code")).alias("code"),
-    )
+    ]
+    return read.select(*columns, "problem") if problems else read.filter("problem IS NULL").select(*columns)
 
 
-def source_files_stream(spark: SparkSession, root: str, settle_seconds: float = 60, parts: int = 8) -> DataFrame:
-    """The same rows for files as they land below ``root/<repo>/``, hidden ones too.
+def source_files_stream(
+    spark: SparkSession, root: str, log: str, settle_seconds: float = 60, tasks: int | None = None,
+    files_per_trigger: int = 16, problems: bool = False,
+) -> DataFrame:
+    """The same rows for files as they land below ``root/<repo>/``, hidden ones and those directly below ``root`` too.
 
-    A batch reads the files written since the last one by their modification time, up to ``settle_seconds`` ago, so that
-    files still being written are left to the next. Files must carry the time at which they landed; a file that is
-    written anew is read anew. Each repository is read by ``parts`` tasks.
+    ``log`` is a folder for the ``FileLog`` that says what has landed. It is updated here once; ``FileLog(...).follow``
+    goes on doing so. A batch reads the files of the entries that were logged since the last one, by ``tasks`` tasks that
+    get about the same number of bytes.
     """
-    spark.dataSource.register(TreeSource)
-    raw = (
-        spark.readStream.format(TreeSource.name())
-        .option("settle", str(settle_seconds)).option("parts", str(parts)).load(root)
-    )
-    language = paths.language_of(F.col("path"))
-    return (
-        raw.withColumn("repo", F.substring_index("path", "/", 1))
-        .withColumn("path", F.regexp_replace("path", "^[^/]*/", ""))
-        .filter(language.isNotNull())
-        .select(
-            "repo", "path", language.alias("language"), F.col("length").alias("size_bytes"),
-            normalize_newlines(F.col("code")).alias("code"),
-        )
+    file_log = FileLog(spark, root, log)
+    file_log.update(settle_seconds)
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    entries = file_log.stream(files_per_trigger)
+    spread = entries.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int"))
+    read = read_texts(spread.select("path", "length"), root).select(
+        F.regexp_extract("path", "^(?:([^/]*)/)?", 1).alias("repo"),
+        F.regexp_replace("path", "^[^/]*/", "").alias("path"), F.col("length").alias("size_bytes"), "code", "problem",
     )
+    return _as_source_files(read, problems)
 
 
 def file_table_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

@@ -55,5 +55,14 @@ def scan_log_rows(summary: DataFrame, ts: Column) -> DataFrame:
     )
 
 
-def append_scan_log(summary: DataFrame, path: str, ts: Column) -> None:
-    scan_log_rows(summary, ts).write.mode("append").parquet(path)
+def append_scan_log(summary: DataFrame, path: str, ts: Column, batch: int) -> None:
+    """Append the scans of a batch. A batch that is repeated replaces what it wrote before, so it counts once.
+
+    Each batch has a folder of its own: no other batch is read or written, and two may be written at the same time.
+    """
+    scan_log_rows(summary, ts).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def load_scan_log(spark: SparkSession, path: str) -> DataFrame:
+    """All scans that were appended."""
+    return spark.read.schema(f"{schemas.SCAN_LOG}, batch LONG").parquet(path).drop("batch")

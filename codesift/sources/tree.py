@@ -1,4 +1,4 @@
-"""Directory trees, hidden names included, as tables and as a stream.
+"""Directory trees, hidden names included, as tables.
 
 Spark's file readers leave out names that begin with ``_`` or ``.``, and source trees are full of them
 (``__init__.py``, ``_app.tsx``, ``.github``). Here tasks list folders and read files through ``pyarrow.fs``, which knows
@@ -9,22 +9,24 @@ from __future__ import annotations
 
 import math
 import os
-import time
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from codesift.functions import paths
-from codesift.functions import patterns as P
 from codesift.session import new_table_path
 
-ENTRIES = "path STRING, is_dir BOOLEAN, is_link BOOLEAN, length LONG"
-TEXTS = "path STRING, length LONG, code STRING"
+#: ``modified`` is in nanoseconds since 1970.
+ENTRIES = "path STRING, is_dir BOOLEAN, is_link BOOLEAN, length LONG, modified LONG"
 BYTES_PER_TASK = 128 * 1024 * 1024
+#: What opening a file costs, in bytes that could be read meanwhile.
+BYTES_PER_OPEN = 64 * 1024
+#: Rows whose sizes are added up side by side before the parts are put one after the other.
+PACKING_BUCKETS = 4096
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 16 * 1024 * 1024
 
@@ -48,31 +50,45 @@ def _children(system: fs.FileSystem, base: str, folder: str) -> Iterator[tuple[s
         yield path, entry.type == fs.FileType.Directory, link, entry
 
 
-def _text(system: fs.FileSystem, base: str, path: str) -> str:
-    """A file as UTF-8 text without the bytes that are not."""
-    with system.open_input_stream(f"{base}/{path}", compression=None) as stream:
-        return stream.read().decode("utf-8", errors="ignore")
+def _text(system: fs.FileSystem, base: str, path: str) -> tuple[str | None, str | None]:
+    """A file as UTF-8 text without the bytes that are not, or why there is none.
 
-
-def walk(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) -> DataFrame:
+    Files that are gone or may not be read are told; other errors end the task, which Spark runs again.
+    """
+    try:
+        with system.open_input_stream(f"{base}/{path}", compression=None) as stream:
+            return stream.read().decode("utf-8", errors="ignore"), None
+    except FileNotFoundError:
+        return None, "missing"
+    except PermissionError:
+        return None, "denied"
+
+
+def walk(
+    spark: SparkSession, root: str, skip_dirs: Sequence[str] = (), listings: Accumulator | None = None
+) -> DataFrame:
     """Every file and folder below ``root``. One job per level of depth, folders spread over the tasks.
 
     Each level is a table on the shared folder, so a lost executor costs no more than its own folders. Links to folders
-    and folders named in ``skip_dirs`` are listed and not entered. A file that vanishes while the walk runs may or may not be listed.
+    and folders named in ``skip_dirs`` are listed and not entered. A file that vanishes while the walk runs may or may not
+    be listed. ``listings`` counts the folders that were listed.
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _opened(root)
-        rows: list[tuple[str, bool, bool, int]] = []
+        names = ["path", "is_dir", "is_link", "length", "modified"]
+        rows: list[tuple[str, bool, bool, int, int]] = []
         for batch in batches:
             for folder in batch["path"]:
+                if listings is not None:
+                    listings.add(1)
                 for path, is_dir, link, entry in _children(system, base, folder):
-                    rows.append((path, is_dir, link, entry.size or 0))
+                    rows.append((path, is_dir, link, entry.size or 0, entry.mtime_ns or 0))
                     if len(rows) == _BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=["path", "is_dir", "is_link", "length"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["path", "is_dir", "is_link", "length"])
+            yield pd.DataFrame(rows, columns=names)
 
     target = new_table_path(spark, "tree")
     tasks = 4 * spark.sparkContext.defaultParallelism
@@ -87,85 +103,74 @@ def walk(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) -> DataF
     return spark.read.schema(ENTRIES).parquet(*levels)
 
 
-def with_text(chosen: DataFrame, root: str, path_col: str = "path", size_col: str = "length") -> DataFrame:
-    """``chosen`` (a listing) with the ``code`` of each file; nothing else is opened.
+def packed(
+    listing: DataFrame, path_col: str = "path", size_col: str = "length", bytes_per_task: int = BYTES_PER_TASK
+) -> tuple[DataFrame, int]:
+    """``listing`` with the number of a task per row (``_task``), and how many tasks there are.
 
-    The listing is spread by the bytes it names, so tasks read about ``BYTES_PER_TASK`` each.
+    Rows are laid end to end by their bytes and cut every ``bytes_per_task``, so no task gets more than that and the file
+    it begins with. Sizes are added up within a fixed number of buckets of paths, then over the buckets; only sums leave
+    the executors, one row for each bucket.
     """
-    spark = chosen.sparkSession
-    total = chosen.agg(F.sum(size_col)).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / BYTES_PER_TASK))
+    bucket = F.pmod(F.xxhash64(path_col), F.lit(PACKING_BUCKETS))
+    weighed = listing.withColumn("_bytes", F.col(size_col) + F.lit(BYTES_PER_OPEN)).withColumn("_bucket", bucket)
+    sums = weighed.groupBy("_bucket").agg(F.sum("_bytes").alias("_sum"))  # at most PACKING_BUCKETS rows
+    before = F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")
+    offsets = sums.select("_bucket", before.alias("_before"))
+    total = sums.agg(F.sum("_sum")).first()[0] or 0
+    tasks = max(1, math.ceil(total / bytes_per_task))
+    in_bucket = F.sum("_bytes").over(Window.partitionBy("_bucket").orderBy(path_col, size_col)) - F.col("_bytes")
+    placed = weighed.withColumn("_within", in_bucket).join(F.broadcast(offsets), "_bucket")
+    task = F.floor((F.col("_before") + F.col("_within")) / bytes_per_task).cast("int")
+    return placed.select(*listing.columns, task.alias("_task")), tasks
+
+
+def read_texts(rows: DataFrame, root: str, path_col: str = "path") -> DataFrame:
+    """``rows`` with the ``code`` of each file, or null and the ``problem`` (missing, denied)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _opened(root)
         for batch in batches:
-            start = 0
-            texts: list[str] = []
-            held = 0
+            start, held = 0, 0
+            texts: list[tuple[str | None, str | None]] = []
             for at, path in enumerate(batch[path_col]):
                 texts.append(_text(system, base, path))
-                held += len(texts[-1])
-                if held >= _BATCH_BYTES:
-                    yield batch.iloc[start : at + 1].assign(code=texts)
+                held += len(texts[-1][0] or "")
+                if held >= _BATCH_BYTES or at + 1 == len(batch):
+                    code, problem = zip(*texts, strict=True)
+                    yield batch.iloc[start : at + 1].assign(code=code, problem=problem)
                     start, texts, held = at + 1, [], 0
-            if texts:
-                yield batch.iloc[start:].assign(code=texts)
-
-    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in chosen.schema)
-    return chosen.repartition(tasks, path_col).mapInPandas(read, f"{fields}, code STRING")
-
-
-class _Part(InputPartition):
-    def __init__(self, folder: str, part: int, after: int, until: int) -> None:
-        self.folder, self.part, self.after, self.until = folder, part, after, until
-
-
-class _TreeStreamReader(DataSourceStreamReader):
-    """Files by modification time: an offset is a time, a batch is what was written between two of them."""
 
-    def __init__(self, options: dict[str, str]) -> None:
-        self.root = options["path"]
-        self.parts = int(options.get("parts", "8"))
-        self.settle = float(options.get("settle", "60"))
+    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema)
+    return rows.mapInPandas(read, f"{fields}, code STRING, problem STRING")
 
-    def initialOffset(self) -> dict:
-        return {"until": -1}
 
-    def latestOffset(self) -> dict:
-        return {"until": time.time_ns() - int(self.settle * 1e9)}
+def with_text(
+    chosen: DataFrame, root: str, path_col: str = "path", size_col: str = "length",
+    bytes_per_task: int = BYTES_PER_TASK,
+) -> DataFrame:
+    """``chosen`` (a listing) with the ``code`` and ``problem`` of each file; nothing else is opened.
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        system, base = _opened(self.root)
-        tops = sorted(path for path, is_dir, link, _ in _children(system, base, "") if is_dir and not link)
-        return [
-            _Part(folder, part, start["until"], end["until"]) for folder in tops for part in range(self.parts)
-        ]
-
-    def read(self, partition: _Part) -> Iterator[tuple[str, int, str]]:
-        """Folders are shared out among the parts of a top folder by their path."""
-        system, base = _opened(self.root)
-        waiting = [partition.folder]
-        while waiting:
-            folder = waiting.pop()
-            own = sum(folder.encode()) % self.parts == partition.part
-            for path, is_dir, link, entry in _children(system, base, folder):
-                if is_dir:
-                    if not link:
-                        waiting.append(path)
-                elif own and path.lower().endswith(tuple(P.LANGUAGE_BY_SUFFIX)):
-                    if partition.after < (entry.mtime_ns or 0) <= partition.until:
-                        yield path, entry.size, _text(system, base, path)
-
-
-class TreeSource(DataSource):
-    """``spark.readStream.format("source_tree").load(root)``: path below the root, length, text."""
+    Small listings get smaller tasks, so that all cores read.
+    """
+    cores = chosen.sparkSession.sparkContext.defaultParallelism
+    total, files = chosen.agg(F.sum(size_col), F.count("*")).first()
+    share = math.ceil(((total or 0) + files * BYTES_PER_OPEN) / (2 * cores))
+    rows, tasks = packed(chosen, path_col, size_col, max(1, min(bytes_per_task, share)))
+    return read_texts(rows.repartitionById(tasks, F.col("_task")).drop("_task"), root, path_col)
 
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
 
-    def schema(self) -> str:
-        return TEXTS
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write the ``code`` of each row (path, code) as a file below ``root``. A repeated task writes the same again."""
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return _TreeStreamReader(self.options)
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _opened(root)
+        for batch in batches:
+            for path, code in zip(batch["path"], batch["code"], strict=True):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target, compression=None) as stream:
+                    stream.write(code.encode("utf-8"))
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    files.select("path", "code").mapInPandas(write, "files long").agg(F.sum("files")).collect()

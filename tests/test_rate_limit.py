@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from codesift.operators.rate_limit import busy_segments, rate_limit, time_bounds
-from codesift.streaming.rate_limit import rate_limit_stream
+from codesift.streaming.rate_limit import Limiter, limiter_state, rate_limit_stream
 
 START = datetime(2024, 1, 1)
 
@@ -121,3 +122,62 @@ def test_stream_is_the_batch(spark, tmp_path):
     got = {r["request_id"]: r["accepted"] for r in spark.read.parquet(out).collect()}
     expected = _loop(rows, 5, 3600)
     assert {k: v for k, v in got.items() if k < 10**6} == expected
+
+
+def test_stream_goes_on_from_the_batch(spark, tmp_path):
+    """Decisions of the batch limiter up to a time, then of the stream: as if the batch had decided all."""
+    rows = [r for r in _requests(5, 400) if r[0] is not None]
+    schema = "key string, ts timestamp, request_id long"
+    half = len(rows) // 2
+    while rows[half][1] == rows[half - 1][1]:
+        half += 1
+    since = rows[half][1]
+    decided = rate_limit(spark.createDataFrame(rows[:half], schema), 3, 3600)
+    state = limiter_state(decided, F.lit(since), 3600)
+    assert state.groupBy("key").count().filter("count > 3").count() == 0 and state.count() > 0
+    folder = str(tmp_path / "in")
+    for part in (rows[half:], [("end", rows[-1][1] + timedelta(days=2), 10**6)], [("end", rows[-1][1] + timedelta(days=4), 10**6 + 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "out")
+    query = (
+        rate_limit_stream(stream, 3, 3600, "1 hour", state).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(180)
+    got = {r["request_id"]: r["accepted"] for r in decided.collect() + spark.read.parquet(out).collect()}
+    whole = _loop(rows, 3, 3600)
+    assert {k: v for k, v in got.items() if k < 10**6} == whole
+    alone = _loop(rows[half:], 3, 3600)
+    assert any(alone[k] != whole[k] for k in alone)  # without the state it would differ
+
+
+def test_state_grows_with_new_requests_only():
+    """Of what waits, a batch reads and writes only the seconds into which its own requests fall."""
+    touched = []
+
+    class Waiting(dict):
+        def containsKey(self, key):
+            return key in self
+
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            touched.append(key[0])
+            self[key] = value
+
+    class Handle:
+        timers = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    limiter = Limiter(3, 60_000_000)
+    limiter.handle, limiter.waiting = Handle(), Waiting()
+    for batch in range(50):
+        frame = pd.DataFrame({"micros": [batch * 2_000_000 + k for k in range(4)], "request_id": range(4)})
+        list(limiter.handleInputRows(("k",), iter([frame]), None))
+        assert touched == [2 * batch]
+        touched.clear()
+    assert Handle.timers == [(2 * batch + 1) * 1000 for batch in range(50)]

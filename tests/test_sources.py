@@ -6,14 +6,17 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from codesift.operators.detectors import DETECTORS
+from codesift.operators.facts import file_facts
 from codesift.operators.repo_rules import dirs_with_settings
 from codesift.plans.scan import scan
+from codesift.queries import scan_summary
 from codesift.sources.batches import dedupe_repos, load_repo_batches
 from codesift.sources.files import (
     PROFILES, cap_files, repo_listing, scan_scope, select_files, source_files, spread,
 )
 from codesift.sources.sinks import (
-    append_scan_log, export_findings, load_package_registry, write_findings,
+    append_scan_log, export_findings, load_package_registry, load_scan_log, write_findings,
 )
 
 FILES = "repo string, path string, size_bytes long"
@@ -122,11 +125,20 @@ def test_directory_scan(spark, tree):
     ]
 
 
-def test_materialized_scan_is_the_same(spark, tree):
-    files = source_files(spark, tree)
-    plain = scan(files, PROFILES["directory"])
-    kept = scan(files, PROFILES["directory"], materialize=True)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect()))
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_text_is_read_once(spark, tree, tmp_path):
+    """One scan reads the code, without an exchange; what a scan returns starts from the stored facts."""
+    source_files(spark, tree).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    plan = _plan(file_facts(files, list(DETECTORS.values())))
+    assert plan.count("code:string") == 1 and "Exchange" not in plan
+    registry = spark.createDataFrame([("pypi", "x", False)], "ecosystem string, name string, exists boolean")
+    found = scan(files, PROFILES["directory"], registry=registry)
+    assert "code:string" not in _plan(found) and found.count() == 3
+    assert "code:string" not in _plan(scan_summary(spark, "/root/testdata/sf0.001"))
 
 
 def test_listing_reads_paths_only(spark, tree):
@@ -183,11 +195,11 @@ def test_findings_are_written_and_read(spark, tree, tmp_path):
         assert back.count() == 3
 
 
-def test_scan_log_is_appended(spark, tmp_path):
+def test_a_repeated_batch_of_the_scan_log_counts_once(spark, tmp_path):
     summary = spark.createDataFrame([("r", 3, 9)], "repo string, total_findings long, files_scanned long")
-    for hour in (1, 2):
-        append_scan_log(summary, str(tmp_path / "log"), F.lit(datetime(2024, 1, 1, hour)))
-    rows = spark.read.parquet(str(tmp_path / "log")).collect()
+    for batch in (1, 2, 1):
+        append_scan_log(summary, str(tmp_path / "log"), F.lit(datetime(2024, 1, 1, batch)), batch)
+    rows = load_scan_log(spark, str(tmp_path / "log")).collect()
     assert sorted((r["repo"], r["findings"], r["files"], r["ts"].hour) for r in rows) == [
         ("r", 3, 9, 1), ("r", 3, 9, 2)
     ]
