@@ -1,19 +1,20 @@
-"""Rules added by users: as data, or as a detector."""
+"""Rules added by users: as data, as a detector, or as a function over a file's lines."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesift.functions import paths
 from codesift.functions import patterns as P
 from codesift.functions.taint import has_taint
-from codesift.functions.text import is_comment, matches
+from codesift.functions.text import has_word, is_comment, matches, split_lines, strip
 from codesift.operators.catalog import RuleText, add_rule
 from codesift.operators.detectors import DETECTORS
-from codesift.operators.engine import Detector, Line, detect, report
+from codesift.operators.engine import Detector, Line, detect, path_flags, report, scannable
 from codesift.operators.reports import rule_evaluation
 
 
@@ -85,6 +86,60 @@ def register_detector(name: str, detector: Detector | RuleSpec, text: RuleText |
     add_rule(detector.rule_id, text or RuleText(name, {"": (name, "", "")}))
 
 
+@dataclass(frozen=True)
+class FunctionRule:
+    """A rule that columns cannot say, such as one that relates distant lines: a generator over the lines of a file.
+
+    ``find(lines, language, path)`` yields (line number from 1, severity, variant, evidence). Files without any of
+    ``words`` (lower case), of other ``languages`` or, with ``skip_tests``, of tests never reach it.
+    """
+
+    rule_id: str
+    find: Callable[[list[str], str, str], Iterable[tuple[int, str, str, str]]]
+    words: tuple[str, ...] = ()
+    languages: tuple[str, ...] = ()
+    skip_tests: bool = True
+
+
+def detect_by_function(
+    files: DataFrame, rule: FunctionRule, skip_minified: bool = True, denied_suffixes: Sequence[str] = ()
+) -> DataFrame:
+    """Findings of a rule given as a function, in the shape of ``detect``'s.
+
+    The function runs as a Python table function over Arrow batches; files are chosen, split and policed by columns before
+    it, and what it yields must be a finding: a line that the file has and a known severity, else the job fails with the
+    rule's name. A file is held as a whole by its task.
+    """
+    if skip_minified:
+        files = scannable(files, denied_suffixes)
+    wanted = F.lit(True)
+    if rule.words:
+        wanted = wanted & has_word(F.col("code"), rule.words)
+    if rule.languages:
+        wanted = wanted & F.col("language").isin(list(rule.languages))
+    if rule.skip_tests:
+        wanted = wanted & ~paths.is_test_file(F.col("path"))
+    rows = files.filter(wanted).select("repo", "path", "language", *path_flags(), split_lines(F.col("code")).alias("lines"))
+    if skip_minified:
+        rows = rows.filter(~paths.has_long_line(F.col("lines")))
+    find, rule_id = rule.find, rule.rule_id
+
+    class Findings:
+        def eval(self, lines, language, path):
+            lines = list(lines)
+            for line_no, severity, variant, evidence in find(lines, language, path):
+                if not 1 <= line_no <= len(lines) or severity not in ("high", "medium", "low"):
+                    raise ValueError(f"{rule_id} reports line {line_no}, severity {severity!r} in {path}")
+                yield int(line_no), severity, str(variant), str(evidence)
+
+    table = F.udtf(Findings, returnType="line_no int, severity string, variant string, evidence string", useArrow=True)
+    found = rows.lateralJoin(table(F.col("lines").outer(), F.col("language").outer(), F.col("path").outer()))
+    return found.select(
+        "repo", "path", "language", "is_test", "is_demo", "line_no", F.lit(rule_id).alias("rule_id"), "severity",
+        "variant", "evidence", strip(F.element_at("lines", F.col("line_no"))).alias("line"),
+    )
+
+
 def validate_rule(
     files: DataFrame, detectors: Sequence[Detector], labels: DataFrame, **limits
 ) -> DataFrame:

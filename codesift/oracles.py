@@ -751,12 +751,36 @@ _MESSAGE_ROWS = ", ".join(
 _SEV = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 
-def _selected_sql(name: str, select: str | None = None) -> str:
+LARGE = """
+files AS (
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'mono' ELSE 'r' || (l_orderkey % 4) END AS repo,
+         ['src', 'venv', 'lib', 'app/vendor', 'app', 'web'][l_orderkey % 6 + 1] || '/f' || l_orderkey || '_' || l_linenumber
+         || ['.py', '.js', '.PY', '.md', '.ts'][l_linenumber % 5 + 1] AS path,
+         CAST(max(l_partkey * 131 % 260000) AS BIGINT) AS size_bytes FROM lineitem GROUP BY 1, 2)"""
+
+
+def _scope_sql(name: str, source: str) -> str:
+    limit = PROFILES[name].max_files
+    cut = f"any_value(s.n > {limit})" if limit else "false"
+    counted = "inscope" if not PROFILES[name].size_before_cap else f"(SELECT * FROM inscope WHERE {_small(name)})"
+    return _selected_sql(
+        name, f"SELECT s.repo, count(c.path) AS files_scanned, {cut} AS truncated FROM "
+        f"(SELECT repo, count(*) AS n FROM {counted} GROUP BY repo) s LEFT JOIN chosen c ON s.repo = c.repo GROUP BY s.repo",
+        source,
+    )
+
+
+def _small(name: str) -> str:
+    limit = PROFILES[name].max_bytes
+    return f"size_bytes <= {limit}" if limit else "true"
+
+
+def _selected_sql(name: str, select: str | None = None, source: str = CORPUS) -> str:
     """Files a profile reads, as a chain of tables ending in ``chosen``."""
     profile = PROFILES[name]
     suffix = f"lower({_SUFFIX})" if profile.fold_suffix_case else _SUFFIX
     tables = [
-        CORPUS,
+        source,
         f"""inscope AS (
   SELECT * FROM files WHERE {_SUFFIX_CASE.format(suffix=suffix)} IS NOT NULL
     AND NOT list_has_any(string_split(path, '/'), {listed(list(profile.skip_dirs))}))""",
@@ -885,6 +909,19 @@ def _promised() -> str:
     return "promised(case_id, rule_id, severity, line_no) AS (VALUES " + ", ".join(rows) + ")"
 
 
+_EVALUATION = """SELECT rule_id, cases, repos, true_positives, false_positives, false_negatives,
+  round(CASE WHEN true_positives + false_positives > 0 THEN false_positives / (true_positives + false_positives) ELSE 0 END, 4) AS fp_rate,
+  CASE WHEN true_positives + false_positives > 0 THEN false_positives / (true_positives + false_positives) ELSE 0 END < 0.1
+    AND cases >= 10 AND repos >= 20 AS accepted
+FROM (SELECT rule_id, count(*) AS cases, count(DISTINCT repo) AS repos,
+   count(*) FILTER (fired AND expect_fire) AS true_positives,
+   count(*) FILTER (fired AND NOT expect_fire) AS false_positives,
+   count(*) FILTER (NOT fired AND expect_fire) AS false_negatives
+  FROM (SELECT c.repo, c.path, l.rule_id, l.expect_fire,
+          EXISTS (SELECT 1 FROM raw r WHERE r.repo = c.repo AND r.path = c.path AND r.rule_id = l.rule_id) AS fired
+        FROM corpus c JOIN labels_ l USING (case_id)) GROUP BY rule_id)"""
+
+
 def _build() -> dict[str, str]:
     sql: dict[str, str] = {}
     docs = TEXTS["documents"]
@@ -893,6 +930,8 @@ def _build() -> dict[str, str]:
     )
     for name in PROFILES:
         sql[f"select_files_{name}"] = _selected_sql(name)
+        sql[f"select_large_{name}"] = _selected_sql(name, "SELECT repo, path, size_bytes FROM chosen", LARGE)
+        sql[f"scan_scope_{name}"] = _scope_sql(name, LARGE)
     sql["scan_scope"] = _selected_sql(
         "service",
         "SELECT c.repo, count(*) AS files_scanned, "
@@ -1005,6 +1044,18 @@ SELECT lower(owner) || '/site' AS repo_key, owner, repo, CAST(batch_no AS INTEGE
               m("line", "(?:^|\\s)que\\s") + " AND " + _not(
                   m("line", P.COMMENT_COMMON), m(win(1, 2), "(?:^|\\s)dans\\s"))),
     )
+    sql["function_rule"] = with_(
+        [docs, _EVERY, "marked AS (SELECT *, min(n) OVER (PARTITION BY path, line) AS earliest FROM every)"],
+        f"SELECT repo, path, CAST(n AS INTEGER) AS line_no, 'X010' AS rule_id, 'low' AS severity, '' AS variant, "
+        f"CAST(earliest AS VARCHAR) AS evidence, {strip('line')} AS line FROM marked WHERE length(line) >= 20 AND n > earliest",
+    )
+    verify = found("C003", "'high'", "''", "''", "ln", f"NOT is_test AND {_PYTHON} AND " + m("line", "verify\\s*=\\s*False")
+                   + " AND " + _not(m("line", P.COMMENT_COMMON)))
+    sql["rule_validation"] = with_(
+        [CORPUS, scanned(), f"raw AS ({verify})", _evaluated()], _EVALUATION.replace(
+            "JOIN labels_ l USING (case_id)", "JOIN labels_ l USING (case_id) WHERE l.rule_id = 'C003'"
+        ),
+    )
     sql["repo_has_auth"] = with_(
         [CORPUS], f"SELECT repo, bool_or({m('code', P.AUTH_WORDS)}) AS has_auth FROM files GROUP BY repo"
     )
@@ -1122,17 +1173,7 @@ WHERE coalesce(a.n, 0) <> coalesce(e.n, 0)""",
         _promised(),
     )
     sql["rule_evaluation"] = raw_sql(
-        """SELECT rule_id, cases, repos, true_positives, false_positives, false_negatives,
-  round(CASE WHEN true_positives + false_positives > 0 THEN false_positives / (true_positives + false_positives) ELSE 0 END, 4) AS fp_rate,
-  CASE WHEN true_positives + false_positives > 0 THEN false_positives / (true_positives + false_positives) ELSE 0 END < 0.1
-    AND cases >= 10 AND repos >= 20 AS accepted
-FROM (SELECT rule_id, count(*) AS cases, count(DISTINCT repo) AS repos,
-   count(*) FILTER (fired AND expect_fire) AS true_positives,
-   count(*) FILTER (fired AND NOT expect_fire) AS false_positives,
-   count(*) FILTER (NOT fired AND expect_fire) AS false_negatives
-  FROM (SELECT c.repo, c.path, l.rule_id, l.expect_fire,
-          EXISTS (SELECT 1 FROM raw r WHERE r.repo = c.repo AND r.path = c.path AND r.rule_id = l.rule_id) AS fired
-        FROM corpus c JOIN labels_ l USING (case_id)) GROUP BY rule_id)""",
+        _EVALUATION,
         _evaluated(),
     )
     sql["published_changes"] = changes_sql()

@@ -19,7 +19,7 @@ from codesift.operators.detectors import DETECTORS, access
 from codesift.operators.detectors.crypto import DIGEST_NAMES
 from codesift.operators.detectors.injection import assigned_sql_above
 from codesift.operators.engine import Detector, Line, candidates, detect, report, scannable
-from codesift.operators.extension import RuleSpec, detector_of
+from codesift.operators.extension import FunctionRule, RuleSpec, detect_by_function, detector_of, validate_rule
 from codesift.operators.rate_limit import rate_limit
 from codesift.operators.facts import Facts
 from codesift.plans.scan import found_in, line_findings, order_findings, raw_findings, report_order, scan_facts
@@ -106,6 +106,22 @@ def _selected(profile: str) -> Query:
     return query
 
 
+def _selected_large(profile: str) -> Query:
+    """The files of few, large repositories that a profile reads: its cap, its size rule and their order show."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return select_files(corpus.large_listing(spark, sf_dir), PROFILES[profile])
+
+    return query
+
+
+def _scope_large(profile: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scan_scope(corpus.large_listing(spark, sf_dir), PROFILES[profile])
+
+    return query
+
+
 def scan_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_scope(corpus.code_corpus(spark, sf_dir), PROFILES["service"])
 
@@ -347,6 +363,27 @@ def rule_spec_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*DETECTOR_COLUMNS)
 
 
+def _repeats(lines: list[str], language: str, path: str):
+    """Lines of some length that stand in the file before, with the number of the first one."""
+    first: dict[str, int] = {}
+    for number, line in enumerate(lines, 1):
+        if len(line) >= 20 and first.setdefault(line, number) != number:
+            yield number, "low", "", str(first[line])
+
+
+def function_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule across lines, given as a function, over the documents: lines that repeat."""
+    rule = FunctionRule("X010", _repeats, skip_tests=False)
+    return detect_by_function(documents(spark, sf_dir), rule, skip_minified=False).select(*DETECTOR_COLUMNS)
+
+
+def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new rule judged over the labelled corpus before it is added."""
+    files = corpus.code_corpus(spark, sf_dir)
+    spec = RuleSpec("C003", r"verify\s*=\s*False", words=("verify",), languages=("python",))
+    return validate_rule(files, [detector_of(spec)], corpus.labelled_cases(spark, sf_dir).filter("rule_id = 'C003'"))
+
+
 # --- repository rules and packages ------------------------------------------------
 
 
@@ -607,6 +644,8 @@ def rate_limit_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "lines_explode": lines_explode,
     **{f"select_files_{name}": _selected(name) for name in PROFILES},
+    **{f"select_large_{name}": _selected_large(name) for name in PROFILES},
+    **{f"scan_scope_{name}": _scope_large(name) for name in PROFILES},
     "scan_scope": scan_scopes,
     "cap_files": capped_files,
     "file_classify": file_classify,
@@ -630,6 +669,8 @@ QUERIES: dict[str, Query] = {
     "secret_scan_pages": _text_scan(pages),
     "secret_scan_conversations": _text_scan(conversations),
     "rule_spec_documents": rule_spec,
+    "function_rule": function_rule,
+    "rule_validation": rule_validation,
     "rule_spec_pages": rule_spec_pages,
     "rule_spec_conversations": rule_spec_conversations,
     "repo_has_auth": repo_auth,

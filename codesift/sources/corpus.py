@@ -122,6 +122,23 @@ def package_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, size_bytes) of few, large repositories made of order lines: a third of all rows in one of them,
+    skipped folders, other suffixes, and sizes on both sides of the limit."""
+    key = F.col("l_orderkey")
+    folder = F.element_at(
+        F.array(*[F.lit(name) for name in ("src", "venv", "lib", "app/vendor", "app", "web")]), (key % 6 + 1).cast("int")
+    )
+    suffix = F.element_at(
+        F.array(*[F.lit(name) for name in (".py", ".js", ".PY", ".md", ".ts")]), (F.col("l_linenumber") % 5 + 1).cast("int")
+    )
+    return _table(spark, sf_dir, "lineitem").select(
+        F.when(key % 3 == 0, F.lit("mono")).otherwise(F.concat(F.lit("r"), (key % 4).cast("string"))).alias("repo"),
+        F.concat(folder, F.lit("/f"), key.cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), suffix).alias("path"),
+        ((F.col("l_partkey") * 131) % 260_000).cast("long").alias("size_bytes"),
+    ).groupBy("repo", "path").agg(F.max("size_bytes").alias("size_bytes"))
+
+
 def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan history derived from the event stream: one scan per event."""
     return _table(spark, sf_dir, "events").select(

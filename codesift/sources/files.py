@@ -16,7 +16,6 @@ from codesift.session import new_table_path
 from codesift.sources.file_log import FileLog
 from codesift.sources.tree import read_texts, walk, with_text
 
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 CAP_SALTS = 64
 
 
@@ -131,17 +130,12 @@ def file_table_stream(spark: SparkSession, path: str, max_files: int = 1000) ->
 
 
 def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small table over the cores; a large one is left as it was read.
+    """A table that would be read by fewer tasks than there are cores, dealt out to them; any other as it is.
 
-    A few megabytes can come out as one task (one row group), whose rows may stand
-    for much work. The table's size is checked first: above some megabytes per core
-    the scan has splits enough and nothing is shuffled.
+    A few megabytes can come out as one task (one row group), whose rows may stand for much work.
     """
-    if table.isStreaming:
-        return table
     cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > cores * SPREAD_BYTES_PER_CORE:
+    if table.isStreaming or table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores * 2, *keys)
 

@@ -10,7 +10,7 @@ from codesift.operators.catalog import RuleText, attach_metadata
 from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import detect
 from codesift.operators.extension import (
-    RuleSpec, detector_of, register_detector, rule_specs, validate_rule,
+    FunctionRule, RuleSpec, detect_by_function, detector_of, register_detector, rule_specs, validate_rule,
 )
 from codesift.operators.repo_rules import (
     dirs_with_settings, drop_access_findings_without_auth, first_access_finding_per_file,
@@ -234,3 +234,29 @@ def test_bad_specs_and_names_are_refused():
         detector_of(RuleSpec("Z", "x", before=-1))
     with pytest.raises(ValueError):
         register_detector("open_route", RuleSpec("Z", "x"))
+
+
+def test_rules_as_functions(spark):
+    """A function sees whole files of its languages that hold its words, and may only report what is there."""
+    files = spark.createDataFrame(
+        [("r", "a.py", "python", "open(x)\npass\nclose(x)\n  open(y)"), ("r", "b.py", "python", "nothing"),
+         ("r", "tests/c.py", "python", "open(z)"), ("r", "d.js", "javascript", "open(z)"), ("r", "e.py", "python", ""),
+         ("r", "upstream/f.py", "python", "open(z)"), ("r", "g.py", "python", "open(q)\n" + "x" * 600)], CODE)
+
+    def unclosed(lines, language, path):
+        text = "\n".join(lines)
+        for number, line in enumerate(lines, 1):
+            name = line.strip().removeprefix("open(").removesuffix(")")
+            if "open(" in line and f"close({name})" not in text:
+                yield number, "medium", language, name
+
+    rule = FunctionRule("X020", unclosed, ("open",), ("python",))
+    found = detect_by_function(files, rule)
+    assert [tuple(r) for r in found.select("path", "line_no", "severity", "evidence", "line").collect()] == [
+        ("a.py", 4, "medium", "y", "open(y)")]
+    assert found.columns == detect(files, [DETECTORS["tls_disabled"]]).columns
+    assert {r["path"] for r in detect_by_function(files, rule, skip_minified=False).collect()} == {"a.py", "upstream/f.py", "g.py"}
+    for bad in ((9, "low", "", ""), (1, "severe", "", "")):
+        wrong = FunctionRule("X021", lambda lines, language, path, bad=bad: [bad])
+        with pytest.raises(Exception, match="X021"):
+            detect_by_function(files, wrong).collect()
