@@ -3,13 +3,15 @@
 A url's path becomes a sequence of segments. Lexical classes (numbers, hexadecimal ids, with their endings) are wildcards
 from the start. Going down level by level, a node with many children turns its rare children into a wildcard, and children
 that are statistically alike (the same kinds of children below, labelled rates that do not differ significantly from their
-pool's) are merged into one branch. A template is a whole path of such tokens in a host's tree. It is rejected if its
+pool's) are merged into one branch. Children without labels join a pool of the same kinds that several labelled ones
+vouch for, and are judged with it. A template is a whole path of such tokens in a host's tree. It is rejected if its
 own labelled urls are bad beyond doubt: the smoothed share of bad ones reaches the threshold. The prior is the overall
 share, but never more than even, and a template without labelled urls has no purity: what is bad elsewhere rejects nothing.
 
 Everything is counting by node with partial aggregation, over distinct (host, lexical path) rows; a host's tree is spread
-over the tasks by node, so that a host with a third of all urls is no single group. Levels are handled one after another
-until no path is longer; a path that is alone in its node is not followed further, as nothing below can change it.
+over the tasks by node, so that a host with a third of all urls is no single group. Branching levels are handled one after
+another until no path is longer: tokens that all paths of a node share are passed in one step, and a path that is alone in
+its node is not followed further, as nothing below can change it.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ class Trees:
 
     many: int = 24  # children of a node from which rare ones become a wildcard
     rare: float = 0.05  # share of a node's urls up to which a child is rare
+    vouchers: int = 5  # labelled branches of a pool from which branches without labels join it
     alike: float = 2.0  # standard errors up to which a child's labelled rate is that of its pool
     prior: float = 4.0  # urls that the overall share, at most one half, counts as
     reject: float = 0.8  # smoothed share of bad urls from which a template is rejected
@@ -79,7 +82,7 @@ def segments(path: Column) -> Column:
             .when(stem.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}$"), "<h>")
             .otherwise(stem)
         )
-        return F.concat(kind, F.when(F.length(ending) <= 8, ending).otherwise(F.lit(".*")))
+        return F.concat(kind, ending)
 
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), lexical)
 
@@ -88,11 +91,12 @@ def templates(counts: DataFrame, how: Trees) -> DataFrame:
     """``counts`` (host, parts, n, good, bad; distinct host and parts) with the template of each row."""
     spark = counts.sparkSession
     target = new_table_path(spark, "url-levels")
-    rows = counts.withColumn("node", F.lit(""))
+    rows = counts.withColumn("node", F.lit("")).withColumn("left", F.col("parts"))
     level = 0
     while True:
-        token = F.get("parts", F.lit(level))
-        rows = rows.withColumn("token", token).withColumn("below", _kind(F.get("parts", F.lit(level + 1))))
+        rows = _down_chains(rows)
+        token = F.get("left", F.lit(0))
+        rows = rows.withColumn("token", token).withColumn("below", _kind(F.get("left", F.lit(1))))
         children = rows.groupBy("host", "node", "token").agg(
             F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"),
             F.array_sort(F.collect_set("below")).alias("kinds"),  # a handful of kinds
@@ -113,25 +117,52 @@ def templates(counts: DataFrame, how: Trees) -> DataFrame:
         )
         seen = F.col("good") + F.col("bad")
         error = F.sqrt(seen * F.col("rate") * (1 - F.col("rate")))
-        alike = (F.col("members") > 1) & (F.abs(F.col("bad") - seen * F.col("rate")) <= how.alike * error)
-        merged = branches.filter("good + bad > 0").join(pools, ["host", "node", "kinds"]).filter(alike).select(
+        # A branch without labels differs from no rate; it needs more branches that vouch for it.
+        vouched = F.col("members") >= F.when(seen > 0, 2).otherwise(how.vouchers)
+        alike = vouched & (F.abs(F.col("bad") - seen * F.col("rate")) <= how.alike * error)
+        merged = branches.join(pools, ["host", "node", "kinds"]).filter(alike).select(
             "host", "node", "branch", F.concat(F.lit("+"), F.array_join("kinds", "|")).alias("pool")
         )
         named = children.select("host", "node", "token", "branch", "paths").join(merged, ["host", "node", "branch"], "left").select(
             "host", "node", "token", F.coalesce("pool", "branch").alias("name"), "paths"
         )
         alone = F.col("paths") == 1
-        rest = F.array_join(F.slice("parts", level + 2, F.size("parts")), "/")
-        longer = F.size("parts") > level + 1
+        rest = F.array_join(F.slice("left", F.lit(2), F.size("left")), "/")
+        longer = F.size("left") > 1
         rows.join(named, ["host", "node", "token"]).withColumn(
             "node", F.concat("node", F.lit("/"), "name", F.when(alone & longer, F.concat(F.lit("/"), rest)).otherwise(""))
-        ).withColumn("done", alone | ~longer).drop("token", "below", "name", "paths").write.parquet(f"{target}/{level}")
+        ).withColumn("done", alone | ~longer).withColumn("left", F.slice("left", F.lit(2), F.size("left"))).drop(
+            "token", "below", "name", "paths"
+        ).write.parquet(f"{target}/{level}")
         rows = spark.read.parquet(f"{target}/{level}").filter("NOT done").drop("done")
         level += 1
         if rows.isEmpty():
             break
     placed = spark.read.parquet(*(f"{target}/{number}" for number in range(level)))
-    return placed.filter("done").drop("done").withColumnRenamed("node", "template")
+    return placed.filter("done").drop("done", "left").withColumnRenamed("node", "template")
+
+
+def _down_chains(rows: DataFrame) -> DataFrame:
+    """Rows moved down past the tokens that all paths of their node share, but for the last of the shortest.
+
+    A node with one child neither makes a wildcard nor merges anything, so a chain of such nodes is one step, however
+    long. The first and the last path in order share what all share.
+    """
+    ends = rows.groupBy("host", "node").agg(
+        F.min("left").alias("first"), F.max("left").alias("last"), F.min(F.size("left")).alias("shortest")
+    )
+    same = F.zip_with("first", "last", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    until = F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)) - 1
+    chains = ends.select(
+        "host", "node", F.least(until, F.col("shortest") - 1).cast("int").alias("skipped")
+    ).filter("skipped > 0")
+    passed = F.array_join(F.slice("left", F.lit(1), F.col("skipped")), "/")
+    found = F.col("skipped").isNotNull()
+    return rows.join(chains, ["host", "node"], "left").select(
+        "host", "parts", "n", "good", "bad",
+        F.when(found, F.concat("node", F.lit("/"), passed)).otherwise(F.col("node")).alias("node"),
+        F.when(found, F.slice("left", F.col("skipped") + 1, F.size("left"))).otherwise(F.col("left")).alias("left"),
+    )
 
 
 def _kind(token: Column) -> Column:
