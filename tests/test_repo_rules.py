@@ -241,7 +241,7 @@ def test_rules_as_functions(spark):
     files = spark.createDataFrame(
         [("r", "a.py", "python", "open(x)\npass\nclose(x)\n  open(y)"), ("r", "b.py", "python", "nothing"),
          ("r", "tests/c.py", "python", "open(z)"), ("r", "d.js", "javascript", "open(z)"), ("r", "e.py", "python", ""),
-         ("r", "upstream/f.py", "python", "open(z)"), ("r", "g.py", "python", "open(q)\n" + "x" * 600)], CODE)
+         ("r", "pkg/dist/f.py", "python", "open(z)"), ("r", "g.py", "python", "open(q)\n" + "x" * 600)], CODE)
 
     def unclosed(lines, language, path):
         text = "\n".join(lines)
@@ -255,7 +255,7 @@ def test_rules_as_functions(spark):
     assert [tuple(r) for r in found.select("path", "line_no", "severity", "evidence", "line").collect()] == [
         ("a.py", 4, "medium", "y", "open(y)")]
     assert found.columns == detect(files, [DETECTORS["tls_disabled"]]).columns
-    assert {r["path"] for r in detect_by_function(files, rule, skip_minified=False).collect()} == {"a.py", "upstream/f.py", "g.py"}
+    assert {r["path"] for r in detect_by_function(files, rule, skip_minified=False).collect()} == {"a.py", "pkg/dist/f.py", "g.py"}
     for bad in ((9, "low", "", ""), (1, "severe", "", "")):
         wrong = FunctionRule("X021", lambda lines, language, path, bad=bad: [bad])
         with pytest.raises(Exception, match="X021"):
