@@ -21,10 +21,10 @@ from codesift.operators.engine import (
     file_flags,
     finding_columns,
     has_detector_words,
-    interesting_lines,
+    interesting,
     is_skipped_path,
-    line_at,
     line_blocks,
+    own_lines,
     path_flags,
     report,
     shown_line,
@@ -71,16 +71,19 @@ def file_facts(
     wanted = (F.col("_ruled") | F.col("_imported")) & (F.size("lines") > 0)
     blocks = line_blocks(rows, kept, wanted, before, after).select(*kept, "block.*")
     is_first = F.col("low").isNull() | ((F.col("base") == 0) & (F.col("low") == 0))
-    none = F.array().cast("array<int>")
-    places = F.concat(
-        F.when(is_first, F.array(F.lit(-1))).otherwise(none),  # the file itself
-        F.coalesce(interesting_lines(
-            detectors, F.col("_ruled"), lambda text: F.col("_imported") & text.rlike(IMPORT_HINT)
-        ), none),
+    # A null line before the first stands for the file itself.
+    lines = F.concat(
+        F.when(is_first, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")),
+        F.coalesce(own_lines(), F.array().cast("array<string>")),
     )
-    hits = blocks.select("*", F.explode_outer(places).alias("at"))
-    hits = hits.select(
-        *kept, "segment", "at", *[F.when(at >= 0, part).alias(name) for part, name in zip(line_at(), ("line_no", "line"))]
+    hits = blocks.select("*", is_first.cast("int").alias("_head"), F.posexplode_outer(lines).alias("_k", "line"))
+    text = F.col("line")
+    hits = hits.filter(
+        text.isNull() | (F.col("_ruled") & interesting(text, detectors)) | (F.col("_imported") & text.rlike(IMPORT_HINT))
+    )
+    place = F.when(text.isNull(), F.lit(-1)).otherwise(F.col("low") + F.col("_k") - F.col("_head"))
+    hits = hits.select(*kept, "segment", "base", "line", place.alias("at")).select(
+        *kept, "segment", "line", "at", F.when(at >= 0, F.col("base") + at + 1).alias("line_no")
     )
     findings, windows = finding_columns(files.sparkSession, detectors, policy)
     told = F.array(
