@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.functions import paths
@@ -14,19 +14,25 @@ from codesift.operators.nesting import nearest_marked
 ACCESS = "A001"
 
 
-def first_access_finding_per_file(findings: DataFrame) -> DataFrame:
-    """Keep every other finding and the first A001 of each file.
+def is_access() -> Column:
+    return F.col("rule_id") == ACCESS
 
-    Only access findings are shuffled, and of each task's part of a file one row; nothing else moves. ``findings`` is read
-    twice, so it should be a table.
-    """
-    access = findings.filter(F.col("rule_id") == ACCESS)
-    names = [name for name in findings.columns if name not in ("repo", "path")]
-    firsts = (
+
+def first_of_each_file(access: DataFrame) -> DataFrame:
+    """The first row of each file, by partial aggregation: of a task's part of a file one row is shuffled."""
+    names = [name for name in access.columns if name not in ("repo", "path")]
+    return (
         access.groupBy("repo", "path").agg(F.min_by(F.struct(*names), "line_no").alias("first"))
-        .select("repo", "path", "first.*").select(*findings.columns)
+        .select("repo", "path", "first.*").select(*access.columns)
     )
-    return findings.filter(F.col("rule_id") != ACCESS).unionByName(firsts)
+
+
+def first_access_finding_per_file(findings: DataFrame) -> DataFrame:
+    """Keep every other finding and the first A001 of each file. Only access findings are shuffled.
+
+    ``findings`` is read twice, so it should be a table.
+    """
+    return findings.filter(~is_access()).unionByName(first_of_each_file(findings.filter(is_access())))
 
 
 def repos_with_auth(files: DataFrame) -> DataFrame:
@@ -45,8 +51,8 @@ def drop_access_findings_without_auth(findings: DataFrame, files: DataFrame) ->
 
 def drop_access_findings_outside(findings: DataFrame, auth_repos: DataFrame) -> DataFrame:
     """Drop A001 in repositories that ``auth_repos`` (one row each) does not name. Only A001 is joined."""
-    access = findings.filter(F.col("rule_id") == ACCESS).join(auth_repos, "repo", "left_semi")
-    return findings.filter(F.col("rule_id") != ACCESS).unionByName(access.select(*findings.columns))
+    access = findings.filter(is_access()).join(auth_repos, "repo", "left_semi")
+    return findings.filter(~is_access()).unionByName(access.select(*findings.columns))
 
 
 def settings_roots(listing: DataFrame) -> DataFrame:
@@ -85,21 +91,19 @@ def dirs_with_settings(listing: DataFrame, dirs: DataFrame | None = None) -> Dat
     return nearest_marked(dirs, settings_roots(listing), P.MAX_ANCESTORS).select("repo", "dir")
 
 
-def lower_django_routes(findings: DataFrame, listing: DataFrame) -> DataFrame:
-    """Python route findings of a project with a settings module become low.
+def lower_django_routes(access: DataFrame, listing: DataFrame) -> DataFrame:
+    """Access findings, of which those on Python routes of a project with a settings module become low.
 
-    Only those findings are joined, and only their repositories are looked up in the listing. ``findings`` is read
-    several times, so it should be a table.
+    Only their repositories are looked up in the listing. ``access`` is read three times, so it should be a table.
     """
-    concerned = (F.col("rule_id") == ACCESS) & (F.col("language") == "python")
-    routes = findings.filter(concerned).withColumn("dir", paths.directory_of(F.col("path")))
-    dirs = routes.select("repo", "dir").distinct()
+    routes = access.withColumn("dir", paths.directory_of(F.col("path")))
+    dirs = routes.filter("language = 'python'").select("repo", "dir").distinct()
     near = listing.join(dirs.select("repo").distinct(), "repo", "left_semi")
     seen = dirs_with_settings(near, dirs).withColumn("_django", F.lit(True))
-    hit = F.col("_django").isNotNull()
-    lowered = (
+    hit = F.col("_django") & (F.col("language") == "python")
+    return (
         routes.join(seen, ["repo", "dir"], "left")
         .withColumn("severity", F.when(hit, "low").otherwise(F.col("severity")))
         .withColumn("variant", F.when(hit, "route-django").otherwise(F.col("variant")))
+        .select(*access.columns)
     )
-    return findings.filter(~concerned).unionByName(lowered.select(*findings.columns))

@@ -12,11 +12,8 @@ from codesift.operators.detectors import DETECTORS
 from codesift.operators.engine import Detector
 from codesift.operators.facts import Facts, file_facts, stored_facts
 from codesift.operators.packages import unknown_imports
-from codesift.operators.repo_rules import (
-    drop_access_findings_outside,
-    first_access_finding_per_file,
-    lower_django_routes,
-)
+from codesift.operators.repo_rules import first_of_each_file, is_access, lower_django_routes
+from codesift.session import written_table
 from codesift.sources.files import Profile, select_files
 
 
@@ -33,10 +30,20 @@ def scan_facts(
     return stored_facts(file_facts(files, list(detectors or DETECTORS.values()), skip_minified, denied_suffixes))
 
 
-def line_findings(facts: Facts, listing: DataFrame | None = None) -> DataFrame:
-    """Findings of the line rules with every rule of one file or one project applied."""
+def line_findings(
+    facts: Facts, listing: DataFrame | None = None, auth_repos: DataFrame | None = None
+) -> DataFrame:
+    """Findings of the line rules with every rule of one file or one project applied.
+
+    Access findings, the few that depend on other files, are a table of their own; all others go straight through. With
+    ``auth_repos`` access findings elsewhere are dropped.
+    """
     listing = path_listing(facts.files) if listing is None else listing
-    return lower_django_routes(first_access_finding_per_file(facts.findings), listing)
+    access = written_table(first_of_each_file(facts.findings.filter(is_access())), "access")
+    access = lower_django_routes(access, listing)
+    if auth_repos is not None:
+        access = access.join(auth_repos, "repo", "left_semi")
+    return facts.findings.filter(~is_access()).unionByName(access)
 
 
 def raw_findings(
@@ -73,9 +80,8 @@ def found_in(
 ) -> DataFrame:
     """What a scan under a profile finds in files whose facts are stored."""
     paths = path_listing(facts.files) if listing is None else listing
-    found = line_findings(facts, paths)
-    if profile is not None and profile.needs_repo_auth:
-        found = drop_access_findings_outside(found, facts.auth_repos)
+    needs_auth = profile is not None and profile.needs_repo_auth
+    found = line_findings(facts, paths, facts.auth_repos if needs_auth else None)
     if registry is not None and (profile is None or profile.checks_packages):
         found = found.unionByName(unknown_imports(facts.imports, registry, paths))
     return attach_metadata(found)

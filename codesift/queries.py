@@ -72,7 +72,12 @@ def _directory_facts(spark: SparkSession, sf_dir: str) -> Facts:
 
 def _found_in(spark: SparkSession, sf_dir: str, facts: Facts) -> DataFrame:
     registry = packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of())
-    return found_in(facts, PROFILES["directory"], corpus.code_listing(spark, sf_dir), registry)
+    return found_in(facts, PROFILES["directory"], _listing(spark, sf_dir), registry)
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing as a table, as a walk leaves it."""
+    return written_table(corpus.code_listing(spark, sf_dir), "listing")
 
 
 def _as_of() -> Column:
@@ -80,9 +85,7 @@ def _as_of() -> Column:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_findings(
-        corpus.code_corpus(spark, sf_dir), listing=corpus.code_listing(spark, sf_dir)
-    )
+    return raw_findings(corpus.code_corpus(spark, sf_dir), listing=_listing(spark, sf_dir))
 
 
 # --- sources -------------------------------------------------------------------
@@ -396,9 +399,7 @@ def repo_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_auth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = scan_facts(corpus.code_corpus(spark, sf_dir))
-    found = line_findings(facts, corpus.code_listing(spark, sf_dir))
-    kept = repo_rules.drop_access_findings_outside(found, facts.auth_repos)
-    return kept.select("repo", "path", "line_no", "rule_id", "severity")
+    return line_findings(facts, _listing(spark, sf_dir), facts.auth_repos).select("repo", "path", "line_no", "rule_id", "severity")
 
 
 def django_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,14 +444,14 @@ def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def local_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packages.import_lines(corpus.code_corpus(spark, sf_dir))
-    kept = packages.drop_local_packages(found, corpus.code_listing(spark, sf_dir))
+    kept = packages.drop_local_packages(found, _listing(spark, sf_dir))
     return kept.select("repo", "path", "package", "line_no")
 
 
 def unknown_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = packages.fresh_registry(corpus.package_registry(spark, sf_dir), _as_of())
     found = packages.unknown_packages(
-        corpus.code_corpus(spark, sf_dir), registry, corpus.code_listing(spark, sf_dir)
+        corpus.code_corpus(spark, sf_dir), registry, _listing(spark, sf_dir)
     )
     return found.select(*DETECTOR_COLUMNS)
 

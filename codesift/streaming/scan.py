@@ -24,7 +24,6 @@ from codesift.operators.facts import RAW, Facts, file_facts, stored_facts
 from codesift.operators.packages import drop_aliased, missing_imports, unknown_imports
 from codesift.operators.repo_rules import (
     ACCESS,
-    drop_access_findings_outside,
     first_access_finding_per_file,
     lower_django_routes,
 )
@@ -144,7 +143,7 @@ def repository_view(
     if listing is None:
         listing = files.select("repo", "path", F.lit(False).alias("is_dir"))
     auth = files.filter("has_auth").select("repo").distinct()
-    found = drop_access_findings_outside(lower_django_routes(written_table(access, "access"), listing), auth)
+    found = lower_django_routes(written_table(access, "access"), listing).join(auth, "repo", "left_semi")
     if registry is not None:
         found = found.unionByName(unknown_imports(imports, registry, listing))
     return found.select(*RAW)
