@@ -117,16 +117,12 @@ def links_between(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
         .groupBy("bits", "part").agg(F.collect_list("fingerprint").alias("prints"))  # about ``tile`` each
     )
     tiles = stored(tiles, "tiles")
-    partner_list = [  # the tiles that a population count is compared with; few, as parts are few
-        (bits, [(near, part) for near in range(bits, bits + radius + 1) for part in range(parts.get(near, 0))])
-        for bits in sorted(parts)
-    ]
-    partners = spark.createDataFrame(partner_list, "bits int, partners array<struct<bits: int, part: int>>")
-    lefts = (
-        tiles.withColumnRenamed("prints", "left").join(F.broadcast(partners), "bits")
-        .withColumn("partner", F.explode("partners"))
-        .filter("partner.bits > bits OR partner.part >= part")
-        .select("left", "partner.bits", "partner.part")
+    lefts = (  # every tile once for each tile it is compared with, by number
+        tiles.withColumnRenamed("prints", "left")
+        .withColumn("near", F.explode(F.sequence("bits", F.col("bits") + radius)))
+        .withColumn("partner", F.explode(F.sequence(F.lit(0), _lookup("near", parts) - 1)))
+        .filter("near > bits OR partner >= part")
+        .select("left", F.col("near").alias("bits"), F.col("partner").alias("part"))
     )
     pairs = lefts.join(tiles.withColumnRenamed("prints", "right"), ["bits", "part"])
 
