@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesift.llm.common import stored
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -124,14 +126,17 @@ def learn(
             yield pd.DataFrame({"lang": [language], "bucket": np.array([-1], dtype="int32"), "n": [seen[language]]})
 
     labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    counts = stored(
+        labelled.mapInPandas(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")),
+        "language-counts",
+    )
+    languages = counts.filter("bucket = -1").count()
+    if 4 * buckets * languages > MAX_MODEL_BYTES:
+        raise ValueError(f"{languages} languages x {buckets} buckets are more than {MAX_MODEL_BYTES} bytes")
     sums = (
-        labelled.mapInPandas(counted, "lang string, bucket int, n long")
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("sums"))  # at most buckets + 1 each
+        counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("sums"))  # at most buckets + 1 each
         .orderBy("lang").collect()
     )
-    if 4 * buckets * len(sums) > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(sums)} languages x {buckets} buckets are more than {MAX_MODEL_BYTES} bytes")
     log_probs = np.zeros((len(sums), buckets), dtype=np.float32)
     priors = np.zeros(len(sums))
     for k, row in enumerate(sums):
@@ -147,7 +152,7 @@ def learn(
 
 
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Language and probability of every text; ``und`` and 0 without text, letters or model."""
+    """Language and probability of every text; ``und`` and 0 without text, letters or model. Ties go to the first language."""
     count, languages = len(texts), len(model.languages)
     totals = np.zeros((languages, count))
     lettered = np.zeros(count, dtype=bool)
@@ -170,7 +175,12 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
 
 
 def predict(rows: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
-    """A struct column (lang, score) for the texts of ``rows``; the model goes to the executors as a broadcast."""
+    """A struct column (lang, score) for the texts of ``rows``; the model goes to the executors as a broadcast.
+
+    Every row is judged by its whole text alone: ids may be null or repeat, repeated rows get the same answer, and other
+    columns are not read. Null, empty and letterless texts, and all texts without a model, are ``und`` with score 0.
+    Of languages that tie, the first in alphabetical order is named.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
