@@ -1,13 +1,14 @@
 """The rate limiter in batch and as a stream against a plain loop."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from codesift.operators.rate_limit import busy_segments, rate_limit, time_bounds
+from codesift.operators.rate_limit import busy_segments, rate_limit, rounds, time_bounds
 from codesift.streaming.rate_limit import Limiter, limiter_state, rate_limit_stream
 
 START = datetime(2024, 1, 1)
@@ -64,6 +65,35 @@ def test_hot_segments_are_cut_into_ranges_of_time(spark, limit, window):
     assert got == _loop(rows, limit, window)
 
 
+def test_rounds_grow_with_windows_not_with_ranges():
+    """A window that is cut into many ranges is one round; ranges longer than the window stay single."""
+    bounds = [*range(0, 3000, 10), 10_000, 20_000]
+    made = list(rounds(bounds, 1000))
+    assert [made[0][0], made[-1][1]] == [None, None] and all(a[1] == b[0] for a, b in zip(made, made[1:]))
+    assert len(made) < 10 and any(together for *_, together in made)
+    assert all(stop - start <= 1000 for start, stop, together in made if together)
+    assert not any(together for start, *_, together in made if start is None or start >= 2990)
+
+
+@pytest.mark.parametrize("limit,window", [(1, 400), (4, 900), (30, 900), (500, 900)])
+def test_ranges_within_a_window_are_decided_side_by_side(spark, limit, window):
+    """Many ranges per window, instants with several requests, keys that never reach the limit, repeated ids."""
+    rng = random.Random(limit)
+    rows, now = [], START
+    for number in range(3000):
+        now += timedelta(milliseconds=rng.choice([0, 0, 300, 1500, 40_000 if rng.random() < 0.02 else 900]))
+        rows.append((rng.choice(["hot", "hot", "hot", "warm", "a", None]), now, number))
+    rows += [("hot", START + timedelta(seconds=window), 5000 + k) for k in range(40)]
+    rows += [("rare", START + timedelta(seconds=500 * k), 6000 + k) for k in range(6)]
+    frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long").repartition(3)
+    got = {r["request_id"]: r["accepted"] for r in rate_limit(frame, limit, window, 20).collect()}
+    assert got == _loop(rows, limit, window)
+    twice = rate_limit(frame.withColumn("request_id", F.lit(7)), limit, window, 20)
+    assert twice.count() == len(rows)
+    accepted = Counter(key for key, _, number in rows if got[number])
+    assert {r["key"]: r["count"] for r in twice.filter("accepted").groupBy("key").count().collect()} == accepted
+
+
 def test_small_arrow_batches_carry_state(spark):
     rows = _requests(9)
     frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long")
