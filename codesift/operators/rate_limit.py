@@ -265,5 +265,6 @@ def rate_limit(
     rows = spark.read.schema(timed.schema).parquet(*[path for path, _ in done])
     found = timed.join(rows.select("row", F.lit(True).alias("accepted")), "row", "left")
     decided = found.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    small = placed.join(large, ["key", "segment"], "left_anti").select(*placed.columns)
+    # Requests without a time fall into no range.
+    small = placed.filter(F.col("micros").isNotNull()).join(large, ["key", "segment"], "left_anti").select(*placed.columns)
     return decided.select(*kept).unionByName(_fold_segments(small, limit, width).select(*kept))

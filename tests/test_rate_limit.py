@@ -94,6 +94,17 @@ def test_ranges_within_a_window_are_decided_side_by_side(spark, limit, window):
     assert {r["key"]: r["count"] for r in twice.filter("accepted").groupBy("key").count().collect()} == accepted
 
 
+def test_ranges_leave_out_requests_without_a_time(spark):
+    rows = [("hot", START + timedelta(seconds=k), k) for k in range(200)]
+    odd = [("hot", START + timedelta(seconds=700), None), ("a", START, None), (None, START, None)]
+    timeless = [("hot", None, 1000), ("a", None, 1001), (None, None, 1002)]
+    frame = spark.createDataFrame(rows + odd + timeless, "key string, ts timestamp, request_id long")
+    got = rate_limit(frame, 3, 600, 10).collect()
+    assert sorted(map(str, (r[:3] for r in got))) == sorted(map(str, rows + odd))
+    assert sorted((str(r["key"]), str(r["request_id"])) for r in got if r["accepted"]) == [
+        ("None", "None"), ("a", "None"), ("hot", "0"), ("hot", "1"), ("hot", "2"), ("hot", "None")]
+
+
 def test_small_arrow_batches_carry_state(spark):
     rows = _requests(9)
     frame = spark.createDataFrame(rows, "key string, ts timestamp, request_id long")
