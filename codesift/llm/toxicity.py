@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -336,6 +337,40 @@ def stems_of(word: str) -> list[str]:
     return [word + "$", *(word[:size] for size in STEM_LETTERS if len(word) >= size)]
 
 
+#: Stems that a task holds before it hands their counts on, and rows of a batch of counts.
+HELD_STEMS, COUNT_ROWS = 1 << 16, 1 << 13
+STEM_COUNTS = "stem string, toxic boolean, n long"
+
+
+def count_stems(batches: Iterator[pa.RecordBatch], held_stems: int = HELD_STEMS) -> Iterator[pa.RecordBatch]:
+    """Partial counts (``STEM_COUNTS``) of the texts, by flag, in which a stem stands; the empty stem counts texts.
+
+    A task holds about ``held_stems`` stems and one text's, whatever its number of texts. A stem may be handed on several
+    times; the counts add up.
+    """
+    held = (Counter(), Counter())
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for toxic, counts in zip((False, True), held, strict=True):
+            items = iter(counts.items())
+            while some := list(islice(items, COUNT_ROWS)):
+                stems, numbers = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(stems, pa.string()), pa.array([toxic] * len(some), pa.bool_()), pa.array(numbers, pa.int64())],
+                    ["stem", "toxic", "n"],
+                )
+            counts.clear()
+
+    for part in parts_of(batches):
+        for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            words = set(WORD.findall(text.lower()))
+            held[toxic].update({stem for word in words for stem in stems_of(word)})
+            held[toxic][""] += 1  # rows
+            if len(held[False]) + len(held[True]) >= held_stems:
+                yield from handed()
+    yield from handed()
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     rows: int = LEARN_ROWS,
@@ -359,21 +394,8 @@ def learn(
         "toxicity-sample",
     )
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-        for part in parts_of(batches):
-            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(text.lower()))
-                held[toxic].update({stem for word in words for stem in stems_of(word)})
-                held[toxic][""] += 1  # rows
-        for toxic in (False, True):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held[toxic]), pa.string()), pa.array([toxic] * len(held[toxic]), pa.bool_()),
-                 pa.array(list(held[toxic].values()), pa.int64())], ["stem", "toxic", "n"],
-            )
-
     counts = stored(
-        texts.filter("_part < 3").select("_text", "_toxic").mapInArrow(counted, "stem string, toxic boolean, n long")
+        texts.filter("_part < 3").select("_text", "_toxic").mapInArrow(count_stems, STEM_COUNTS)
         .groupBy("stem").agg(
             F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"),
             F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("clean"),

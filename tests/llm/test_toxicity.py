@@ -1,8 +1,10 @@
 """The clause grammar of the toxicity operator, and the operator on rows that are null, long, repeated or clash."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,29 @@ def test_rows_of_every_kind(spark):
         assert by_id[1] == by_id[2] == by_id[5] == by_id[6]
         assert by_id[4] > by_id[5]  # whole texts are read
     assert docs.limit(0).select(T.score(docs, model)).count() == 0
+
+
+def test_counting_stems_holds_a_bounded_number():
+    """Counts are handed on in small batches before a task has read all its texts, and add up to the whole."""
+    texts = [f"word{'abcdefghij'[k % 10]}{chr(97 + k // 26)}{chr(97 + k % 26)} shared" for k in range(260)]
+    flags = [k % 3 == 0 for k in range(260)]
+    read = []
+
+    def batches():
+        for first in range(0, 260, 20):
+            read.append(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts[first : first + 20]), pa.array(flags[first : first + 20])], ["_text", "_toxic"])
+
+    whole, seen_at_first = Counter(), None
+    for batch in T.count_stems(batches(), held_stems=100):
+        seen_at_first = seen_at_first or len(read)
+        assert batch.num_rows <= 150
+        for stem, toxic, n in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            whole[stem, toxic] += n
+    assert seen_at_first < 4
+    expected = Counter()
+    for text, toxic in zip(texts, flags, strict=True):
+        stems = {stem for word in T.WORD.findall(text) for stem in T.stems_of(word)}
+        expected.update((stem, toxic) for stem in stems | {""})
+    assert whole == expected
